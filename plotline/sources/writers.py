@@ -14,8 +14,11 @@ MONTH = "tx_month"
 def _month() -> Column:
     """Partition of a transaction: year and month of its date.  A dedup key holds the date, so all
     copies of one transaction share a partition."""
-    d = D.compact(F.coalesce("transaction_date", F.lit("")))
-    return F.when(F.length(d) >= 5, F.substring(F.substring(d, 1, 7), F.lit(1), F.length(F.substring(d, 1, 7)) - 2)).otherwise("none")
+    d = F.substring(D.compact(F.coalesce("transaction_date", F.lit(""))), 1, 7)
+    # The letter keeps the folder name text when Spark infers partition types.
+    return F.when(
+        F.length(d) >= 5, F.concat(F.lit("m"), F.substring(d, F.lit(1), F.length(d) - 2))
+    ).otherwise("none")
 
 
 def write_transactions(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -45,7 +48,7 @@ def upsert_transactions(spark: SparkSession, batch: DataFrame, path: str) -> Non
         write_transactions(merge_duplicates(batch).drop("source_rank", "ingest_seq"), path, "append")
         return
     months = incoming.select(MONTH).distinct()
-    touched = stored.withColumn(MONTH, F.col(MONTH).cast("string")).join(F.broadcast(months), MONTH, "left_semi")
+    touched = stored.join(months, MONTH, "left_semi")
     # Stored rows are already merged, one per key; content decides among rows without a key.
     old = touched.drop(MONTH).withColumns({"source_rank": F.lit(0), "ingest_seq": F.lit("")})
     new = batch.withColumn("source_rank", F.col("source_rank") + 1)
