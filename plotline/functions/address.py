@@ -365,9 +365,9 @@ def geo_normalize(col: Column | str) -> Column:
     c = half_width(c, "digits")
     c = F.regexp_replace(F.replace(c, F.lit("巿"), F.lit("市")), "台(?=[北中南]市|東)", "臺")
     c = F.regexp_replace(c, f"^({_HAN}{{2,8}}[市縣])\\1", "$1")
-    up = F.regexp_replace(c, f"^高雄縣三民鄉(?!{_HAN}?[市鎮鄉])", "高雄市那瑪夏區")
+    up = F.regexp_replace(c, "^高雄縣三民鄉", "高雄市那瑪夏區")
     for old, new in K.GEO_COUNTY_UPGRADE.items():
-        up = F.regexp_replace(up, f"^{old}({_HAN}{{2,4}})[市鎮鄉]", f"{new}$1區")
+        up = F.regexp_replace(up, f"^{old}({_HAN}{{2,4}}?)[市鎮鄉]", f"{new}$1區")
         up = F.regexp_replace(up, f"^{old}", new)
     c = F.when(c.rlike("^(?:桃園|[臺台][北中南]|高雄)縣"), up).otherwise(c)
     c = F.regexp_replace(

@@ -10,10 +10,16 @@ from plotline import constants as K
 from plotline.functions.text import _c
 
 
+def rounded(col: Column | str, digits: int) -> Column:
+    """Half away from zero on the binary value (a tie that only exists in decimals is none)."""
+    scale = 10.0**digits
+    return F.round(_c(col) * scale, 0) / scale
+
+
 def ping(area: Column | str, digits: int | None = 2) -> Column:
     """Square metres to ping."""
     v = _c(area) / K.PING_SQM
-    return v if digits is None else F.round(v, digits)
+    return v if digits is None else rounded(v, digits)
 
 
 def sqm(area_ping: Column | str) -> Column:
@@ -23,7 +29,7 @@ def sqm(area_ping: Column | str) -> Column:
 def price_per_ping(unit_price: Column | str, digits: int | None = 2) -> Column:
     """Price per square metre to price per ping."""
     v = _c(unit_price) * K.PING_SQM
-    return v if digits is None else F.round(v, digits)
+    return v if digits is None else rounded(v, digits)
 
 
 def _shared(building: Column, main: Column, attached: Column, balcony: Column) -> Column:
@@ -34,14 +40,14 @@ def _shared(building: Column, main: Column, attached: Column, balcony: Column) -
 def public_ratio_shown(building, main, attached, balcony) -> Column:
     """Share of common area in percent for display: one digit, never below 0, else 0."""
     b, m = F.coalesce(_c(building), F.lit(0.0)), F.coalesce(_c(main), F.lit(0.0))
-    v = F.round(_shared(b, m, _c(attached), _c(balcony)) / b * 100, 1)
+    v = rounded(_shared(b, m, _c(attached), _c(balcony)) / b * 100, 1)
     return F.when((b > 0) & (m > 0), F.greatest(v, F.lit(0.0))).otherwise(0.0)
 
 
 def public_ratio_computed(building, main, attached, balcony) -> Column:
     """Share of common area as the computed search column: NULL unless building > main > 0."""
     b, m = _c(building), _c(main)
-    v = F.round(_shared(b, m, _c(attached), _c(balcony)) / b * 100, 1)
+    v = rounded(_shared(b, m, _c(attached), _c(balcony)) / b * 100, 1)
     return F.when((b > 0) & (m > 0) & (b > m), v)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from plotline.functions import address as A
+from plotline.functions import money as M
 from plotline.functions.text import blank
 from plotline.operators import filters as P
 from plotline.operators.gazetteer import city_of_district
@@ -244,4 +245,4 @@ def level_counts(geocoded: DataFrame) -> DataFrame:
     per = geocoded.groupBy(F.coalesce("level", F.lit("none")).alias("level")).agg(F.count("*").alias("rows"))
     total = per.agg(F.sum("rows").alias("total")).withColumn("k", F.lit(1))
     out = join_back(per.withColumn("k", F.lit(1)), total, ["k"])
-    return out.select("level", "rows", F.round(F.col("rows") / F.col("total") * 100, 1).alias("pct"))
+    return out.select("level", "rows", M.rounded(F.col("rows") / F.col("total") * 100, 1).alias("pct"))

@@ -35,12 +35,12 @@ def with_computed(tx: DataFrame) -> DataFrame:
     area, price = F.col("building_area"), F.col("total_price")
     return tx.withColumns(
         {
-            "ping": F.when(area > 0, F.round(area / K.PING_SQM, 1)),
+            "ping": F.when(area > 0, M.rounded(area / K.PING_SQM, 1)),
             "public_ratio": M.public_ratio_computed(
                 "building_area", "main_area", "attached_area", "balcony_area"
             ),
             "unit_price_per_ping": F.when(
-                (area > 0) & (price > 0), F.round(price / 10000.0 / (area / K.PING_SQM), 1)
+                (area > 0) & (price > 0), M.rounded(price / 10000.0 / (area / K.PING_SQM), 1)
             ),
             "roc_year": D.roc_year_computed("transaction_date"),
         }
@@ -98,11 +98,11 @@ def display_rows(
         F.coalesce(D.gregorian_text(text("transaction_date")), text("transaction_date")).alias("date"),
         text("transaction_date").alias("date_raw"),
         num("total_price", "long").alias("price"),
-        F.round(unit, 2).alias("unit_price_sqm"),
+        M.rounded(unit, 2).alias("unit_price_sqm"),
         M.price_per_ping(unit).alias("unit_price_ping"),
-        F.round(area, 2).alias("area_sqm"),
+        M.rounded(area, 2).alias("area_sqm"),
         M.ping(area).alias("area_ping"),
-        F.round(main, 2).alias("main_area_sqm"),
+        M.rounded(main, 2).alias("main_area_sqm"),
         M.public_ratio_shown(area, main, num("attached_area"), num("balcony_area")).alias("public_ratio"),
         text("floor_level").alias("floor"),
         text("total_floors").alias("total_floors"),

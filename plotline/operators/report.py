@@ -26,17 +26,17 @@ def summary(rows: DataFrame) -> DataFrame:
         whole_avg(F.col("price")).alias("avg_price"),
         _zero(F.min(_positive("price")), "long").alias("min_price"),
         _zero(F.max(_positive("price")), "long").alias("max_price"),
-        F.round(positive_avg(F.col("area_ping")), 2).alias("avg_ping"),
-        F.round(positive_avg(F.col("unit_price_ping")), 2).alias("avg_unit_price_ping"),
-        F.round(_zero(F.min(_positive("unit_price_ping"))), 2).alias("min_unit_price_ping"),
-        F.round(_zero(F.max(_positive("unit_price_ping"))), 2).alias("max_unit_price_ping"),
-        F.round(positive_avg(F.col("public_ratio")), 1).alias("avg_ratio"),
+        M.rounded(positive_avg(F.col("area_ping")), 2).alias("avg_ping"),
+        M.rounded(positive_avg(F.col("unit_price_ping")), 2).alias("avg_unit_price_ping"),
+        M.rounded(_zero(F.min(_positive("unit_price_ping"))), 2).alias("min_unit_price_ping"),
+        M.rounded(_zero(F.max(_positive("unit_price_ping"))), 2).alias("max_unit_price_ping"),
+        M.rounded(positive_avg(F.col("public_ratio")), 1).alias("avg_ratio"),
     )
 
 
 def community_summaries(rows: DataFrame, rounded: bool = True) -> DataFrame:
     """Per building project over display rows; blank names are left out."""
-    r = (lambda c, n: F.round(c, n)) if rounded else (lambda c, n: c)
+    r = (lambda c, n: M.rounded(c, n)) if rounded else (lambda c, n: c)
     return (
         rows.where(~blank("community_name"))
         .groupBy("community_name")
@@ -64,9 +64,9 @@ def spread(tx: DataFrame) -> DataFrame:
     base = used.agg(
         F.count("*").alias("total"),
         F.avg("price").alias("avg_price"), F.min("price").alias("min_price"), F.max("price").alias("max_price"),
-        F.round(F.avg("unit"), 1).alias("avg_unit"), F.min("unit").alias("min_unit"), F.max("unit").alias("max_unit"),
-        F.round(F.avg("ping"), 1).alias("avg_ping"), F.min("ping").alias("min_ping"), F.max("ping").alias("max_ping"),
-        F.round(F.avg("ratio"), 1).alias("avg_ratio"), F.min("ratio").alias("min_ratio"), F.max("ratio").alias("max_ratio"),
+        M.rounded(F.avg("unit"), 1).alias("avg_unit"), F.min("unit").alias("min_unit"), F.max("unit").alias("max_unit"),
+        M.rounded(F.avg("ping"), 1).alias("avg_ping"), F.min("ping").alias("min_ping"), F.max("ping").alias("max_ping"),
+        M.rounded(F.avg("ratio"), 1).alias("avg_ratio"), F.min("ratio").alias("min_ratio"), F.max("ratio").alias("max_ratio"),
     )
     one = lambda c: upper_median(used.withColumn("k", F.lit(1)), ["k"], c, f"median_{c}")
     out = join_back(base.withColumn("k", F.lit(1)), one("price"), ["k"])
@@ -127,7 +127,7 @@ def catalogue(tx: DataFrame) -> DataFrame:
     return by_district.groupBy("community_name").agg(
         F.sum("n").alias("tx_count"),
         F.coalesce(F.round(F.sum("p") / F.nullif(F.sum("pn"), F.lit(0)), 0), F.lit(0.0)).alias("avg_price"),
-        F.coalesce(F.round(F.sum("u") / F.nullif(F.sum("un"), F.lit(0)), 2), F.lit(0.0)).alias("avg_unit_price"),
+        F.coalesce(M.rounded(F.sum("u") / F.nullif(F.sum("un"), F.lit(0)), 2), F.lit(0.0)).alias("avg_unit_price"),
         F.coalesce(vote, F.lit("")).alias("district"),
     )
 
@@ -148,7 +148,7 @@ def coverage(tx: DataFrame) -> DataFrame:
         "geo": F.coalesce(F.col("lat") != 0, F.lit(False)),
         "community": ~blank("community_name"),
     }
-    share = lambda c: F.coalesce(F.round(F.count_if(c) / F.nullif(F.count("*"), F.lit(0)) * 100, 1), F.lit(0.0))
+    share = lambda c: F.coalesce(M.rounded(F.count_if(c) / F.nullif(F.count("*"), F.lit(0)) * 100, 1), F.lit(0.0))
     cols = [F.count("*").alias("total")]
     for n, c in has.items():
         cols += [F.count_if(c).alias(f"has_{n}"), share(c).alias(f"{n}_pct")]

@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from plotline.functions import address as A
+from plotline.functions import money as M
 from plotline.functions.text import blank, strip
 from plotline.operators import gazetteer as G
 
@@ -71,7 +72,7 @@ def standardise(
 
 def parse_quality(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Rows, and how many have a street, a city, a number, per group."""
-    share = lambda c: F.round(F.avg(F.when(blank(c), 0.0).otherwise(100.0)), 1)
+    share = lambda c: M.rounded(F.avg(F.when(blank(c), 0.0).otherwise(100.0)), 1)
     return df.groupBy(*by).agg(
         F.count("*").alias("rows"),
         F.count_if(~blank("street")).alias("with_street"),

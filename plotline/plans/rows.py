@@ -455,7 +455,7 @@ def _(spark, d):
     f"""SELECT id, n, list_sort(list_distinct(list_filter([CAST(n AS VARCHAR), translate(CAST(n AS VARCHAR), '0123456789', '０１２３４５６７８９'),
     translate(CAST(n AS VARCHAR), '0123456789', '零一二三四五六七八九'), {_NAMED},
     CASE WHEN n BETWEEN 10 AND 19 THEN concat('一十', CASE WHEN n % 10 > 0 THEN {_D.format('n % 10')} ELSE '' END) END,
-    CASE WHEN n BETWEEN 20 AND 29 THEN concat('廿', CASE WHEN n % 10 > 0 THEN {_D.format('n % 10')} ELSE '' END) END], x -> x IS NOT NULL))) AS v
+    CASE WHEN n BETWEEN 20 AND 29 THEN concat('廿', CASE WHEN n % 10 > 0 THEN {_D.format('n % 10')} ELSE '' END) END], lambda x: x IS NOT NULL))) AS v
     FROM (SELECT id, id % 999 + 1 AS n FROM tx_addr)""",
 )
 def _(spark, d):
@@ -659,7 +659,7 @@ def _(spark, d):
     # Noise of every kind the geocoding form removes.
     noisy = F.expr(
         "CASE id % 4 WHEN 0 THEN concat('null', address) WHEN 1 THEN concat(county_city, address_half) "
-        "WHEN 2 THEN concat(substr(address, 1, length(address) - 1), ' &#21414; ', substr(address, length(address), 1), '等共用部分') "
+        "WHEN 2 THEN concat(' ', county_city, ' &#21414; ', substr(address, length(county_city) + 1), '等共用部分') "
         "ELSE concat(county_city, district, '十興里３鄰', substr(address, length(county_city) + length(district) + 1)) END"
     )
     return frame(spark, d, "tx_addr").select("id", A.geo_normalize(noisy).alias("geo"))
