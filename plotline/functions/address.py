@@ -7,13 +7,11 @@ to right in a single pass and the row stays inside JVM expressions.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, functions as F
 
 from plotline import constants as K
 from plotline.functions.text import (
-    _FULL, _HALF, _c, blank, full_width_digits, half_width, number_variants, numeral_names,
+    _FULL, _HALF, _c, blank, bound, full_width_digits, half_width, number_variants, numeral_names,
     numeral_value, numerals_before, strip,
 )
 
@@ -38,11 +36,14 @@ def normalize(col: Column | str, for_query: bool = False) -> Column:
     c = F.translate(_c(col), _FULL + "巿臺", _HALF + "市台")
     if for_query:
         c = strip(c)
-    c = numerals_before(c, _UNITS + ("Ff" if for_query else ""))
-    sections = c
-    for i, name in reversed(list(enumerate(K.SECTION_NAMES, start=1))):
-        sections = F.regexp_replace(sections, f"(?<![0-9]){i}段", f"{name}段")
-    return F.when(c.rlike("[0-9]段"), sections).otherwise(c)
+
+    def sections(text: Column) -> Column:
+        named = text
+        for i, name in reversed(list(enumerate(K.SECTION_NAMES, start=1))):
+            named = F.regexp_replace(named, f"(?<![0-9]){i}段", f"{name}段")
+        return F.when(text.rlike("[0-9]段"), named).otherwise(text)
+
+    return bound(numerals_before(c, _UNITS + ("Ff" if for_query else "")), sections)
 
 
 def compact_form(col: Column | str) -> Column:
@@ -60,11 +61,6 @@ def rename_city(col: Column) -> Column:
 
 
 # --- splitting ------------------------------------------------------------
-def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with ``value`` computed once per row."""
-    return F.transform(F.array(value), use)[0]
-
-
 def _pieces(col: Column, pattern: str, groups: str) -> Column:
     """Array of captured groups: one replace that lists the groups, then a split."""
     return F.split(F.regexp_replace(col, "(?s)" + pattern + ".*$", groups), _SEP)
@@ -140,7 +136,7 @@ def parse(col: Column | str, district_col: Column | str | None = None, known_dis
         cols = part_columns(p, raw, d)
         return F.struct(*[cols[n].alias(n) for n in ADDRESS_PARTS])
 
-    return _bound(parts_struct(normalize(strip(raw)), known_districts), build)
+    return bound(parts_struct(normalize(strip(raw)), known_districts), build)
 
 
 def query_pieces(normal: Column | str) -> Column:
@@ -168,7 +164,7 @@ def parse_query(col: Column | str) -> Column:
         cols = query_columns(p)
         return F.struct(*[cols[n].alias(n) for n in QUERY_PARTS])
 
-    return _bound(query_pieces(normalize(col, for_query=True)), build)
+    return bound(query_pieces(normalize(col, for_query=True)), build)
 
 
 # --- cities and districts -------------------------------------------------
@@ -253,9 +249,7 @@ def link_form(col: Column | str) -> Column:
 
 def up_to_number(col: Column | str) -> Column:
     """Everything up to the first ``號``; the text itself if there is none."""
-    c = _c(col)
-    m = F.regexp_extract(c, r"(.*?[0-9]+號)", 1)
-    return F.when(m == "", c).otherwise(m)
+    return F.regexp_replace(_c(col), "^(.*?[0-9]+號).*$", "$1")
 
 
 def up_to_lane(col: Column | str) -> Column:
@@ -344,13 +338,14 @@ def _one_floor(c: Column) -> Column:
 
 def floor_info(col: Column | str) -> Column:
     """``九層/十五層`` to struct(floor '9', total '15')."""
-    c = F.coalesce(_c(col), F.lit(""))
-    p = F.split(c, "/")
-    two = F.size(p) == 2
-    return F.struct(
-        F.when(two, _one_floor(F.trim(p[0]))).otherwise(_one_floor(F.trim(c))).alias("floor"),
-        F.when(two, _one_floor(F.trim(F.get(p, F.lit(1))))).otherwise("").alias("total"),
-    )
+    def read(p: Column) -> Column:
+        two = F.size(p) == 2
+        return F.struct(
+            _one_floor(F.trim(F.when(two, p[0]).otherwise(F.array_join(p, "/")))).alias("floor"),
+            F.when(two, _one_floor(F.trim(F.get(p, F.lit(1))))).otherwise("").alias("total"),
+        )
+
+    return bound(F.split(F.coalesce(_c(col), F.lit("")), "/"), read)
 
 
 def floor_or_raw(col: Column | str) -> Column:
@@ -358,30 +353,36 @@ def floor_or_raw(col: Column | str) -> Column:
 
 
 # --- geocoding forms ------------------------------------------------------
+def _upgrade_county(c: Column) -> Column:
+    """``桃園縣中壢市`` to ``桃園市中壢區``: a renamed county takes its township along."""
+    old = "|".join(K.GEO_COUNTY_UPGRADE)
+    city = F.create_map(*[F.lit(x) for kv in K.GEO_COUNTY_UPGRADE.items() for x in kv])
+    town = F.regexp_replace(
+        F.regexp_replace(c, f"^(?:{old})", ""), f"^({_HAN}{{2,4}}?)[市鎮鄉]", "$1區"
+    )
+    upgraded = F.when(
+        c.startswith("高雄縣三民鄉"), F.regexp_replace(c, "^高雄縣三民鄉", "高雄市那瑪夏區")
+    ).otherwise(F.concat(city[F.regexp_extract(c, f"^({old})", 1)], town))
+    return F.when(c.rlike(f"^(?:{old})"), upgraded).otherwise(c)
+
+
 def geo_normalize(col: Column | str) -> Column:
     """Geocoding form: 臺 spelling, counties upgraded, no floor, shared-part or village tails."""
-    c = F.regexp_replace(strip(_c(col)), "^null", "")
-    c = F.regexp_replace(c, "&[^;；]+[;；]", "")
-    c = half_width(c, "digits")
-    c = F.regexp_replace(F.replace(c, F.lit("巿"), F.lit("市")), "台(?=[北中南]市|東)", "臺")
+    c = F.regexp_replace(strip(_c(col)), "^null|&[^;；]+[;；]", "")
+    c = F.translate(c, "０１２３４５６７８９巿", "0123456789市")
+    c = F.regexp_replace(c, "台(?=[北中南]市|東)", "臺")
     c = F.regexp_replace(c, f"^({_HAN}{{2,8}}[市縣])\\1", "$1")
-    up = F.regexp_replace(c, "^高雄縣三民鄉", "高雄市那瑪夏區")
-    for old, new in K.GEO_COUNTY_UPGRADE.items():
-        up = F.regexp_replace(up, f"^{old}({_HAN}{{2,4}}?)[市鎮鄉]", f"{new}$1區")
-        up = F.regexp_replace(up, f"^{old}", new)
-    c = F.when(c.rlike("^(?:桃園|[臺台][北中南]|高雄)縣"), up).otherwise(c)
+    c = bound(c, _upgrade_county)
     c = F.regexp_replace(
         c, r"(?:[一二三四五六七八九百十]+樓|[0-9]+(?:樓|[Ff])|等?共用|房屋|地下|店(?!區)).*$", ""
     )
-    c = F.regexp_replace(c, f"(?<=[區鎮鄉市縣]){_HAN}{{2,4}}里[0-9]*鄰?", "")
-    return F.nullif(F.regexp_replace(c, r"\s+", ""), F.lit(""))
+    c = F.regexp_replace(c, f"(?<=[區鎮鄉市縣]){_HAN}{{2,4}}里[0-9]*鄰?|\\s+", "")
+    return F.nullif(c, F.lit(""))
 
 
 def geo_base(geo: Column | str) -> Column:
     """Up to the house number; expects the geocoding form."""
-    c = _c(geo)
-    m = F.regexp_extract(c, "^(.+?[0-9]+(?:之[0-9]+)?號)", 1)
-    return F.when(m == "", c).otherwise(m)
+    return F.regexp_replace(_c(geo), "^(.+?[0-9]+(?:之[0-9]+)?號).*$", "$1")
 
 
 def _geo_rest(geo: Column | str) -> Column:
@@ -401,22 +402,30 @@ def geo_road_base(geo: Column | str) -> Column:
 
 def geo_complete(geo: Column | str, district: Column | str, city: Column) -> Column:
     """Put the city (and district) in front of a geocoding form that has none."""
-    c, d = _c(geo), F.coalesce(_c(district), F.lit(""))
-    named = c
-    for old, new in K.GEO_CITY_ALIASES.items():
-        named = F.when(c.startswith(old), F.concat(F.lit(new), F.substring(c, F.lit(len(old) + 1), F.length(c)))).otherwise(named)
-    has_city = c.rlike("^(?:臺|台|新|桃|高|基|宜|花|屏|雲|嘉|苗|彰|南投|澎|金|連)")
-    with_city = F.concat(city, F.when(c.contains(d), "").otherwise(d), c)
-    return (
-        F.when(has_city, named).when((d != "") & ~blank(city), with_city).otherwise(c)
-    )
+    d = F.coalesce(_c(district), F.lit(""))
+    alias = F.create_map(*[F.lit(x) for kv in K.GEO_CITY_ALIASES.items() for x in kv])
+    old = "|".join(K.GEO_CITY_ALIASES)
+
+    def complete(c: Column) -> Column:
+        named = F.when(
+            c.rlike(f"^(?:{old})"),
+            F.concat(alias[F.substring(c, 1, 3)], F.substring(c, F.lit(4), F.length(c))),
+        ).otherwise(c)
+        has_city = c.rlike("^(?:臺|台|新|桃|高|基|宜|花|屏|雲|嘉|苗|彰|南投|澎|金|連)")
+        with_city = F.concat(city, F.when(c.contains(d), "").otherwise(d), c)
+        return F.when(has_city, named).when((d != "") & ~blank(city), with_city).otherwise(c)
+
+    return bound(_c(geo), complete)
 
 
 def road_key(geo: Column | str) -> Column:
     """City and district prefix plus road, one form for every writer and reader of road points."""
-    c = _c(geo)
-    prefix = F.regexp_extract(c, f"^(.*?[市縣](?:{K.INNER_SUFFIX_DISTRICTS}|.*?[區鎮鄉市]))", 1)
-    return F.concat(prefix, geo_road(c))
+
+    def key(c: Column) -> Column:
+        prefix = F.regexp_extract(c, f"^(.*?[市縣](?:{K.INNER_SUFFIX_DISTRICTS}|.*?[區鎮鄉市]))", 1)
+        return F.concat(prefix, geo_road(c))
+
+    return bound(_c(geo), key)
 
 
 _POINT_PATTERN = (
@@ -427,15 +436,16 @@ _POINT_PATTERN = (
 
 def point_key(geo: Column | str) -> Column:
     """struct(district, street incl. lane and alley, housenumber) to look up an address point."""
-    c = _c(geo)
-    p = _pieces(c, _POINT_PATTERN, _SEP.join(["$1", "$2$3$4", "$5"]))
-    ok = F.size(p) == 3
-    pick = lambda i: F.when(ok, F.nullif(F.get(p, F.lit(i)), F.lit("")))
-    return F.struct(
-        F.coalesce(pick(0), F.lit("")).alias("district"),
-        pick(1).alias("street"),
-        pick(2).alias("housenumber"),
-    )
+
+    def read(p: Column) -> Column:
+        pick = lambda i: F.when(F.size(p) == 3, F.nullif(F.get(p, F.lit(i)), F.lit("")))
+        return F.struct(
+            F.coalesce(pick(0), F.lit("")).alias("district"),
+            pick(1).alias("street"),
+            pick(2).alias("housenumber"),
+        )
+
+    return bound(_pieces(_c(geo), _POINT_PATTERN, _SEP.join(["$1", "$2$3$4", "$5"])), read)
 
 
 def point_number(col: Column | str) -> Column:
@@ -451,10 +461,10 @@ def point_city(col: Column | str) -> Column:
 # --- dedup key ------------------------------------------------------------
 def dedup_key(date: Column | str, address: Column | str, price: Column | str) -> Column:
     """``date7|address without city|price``; NULL where the address normalises to nothing."""
-    a = strip_city_for_key(compact_form(F.coalesce(_c(address), F.lit(""))))
     d = F.substring(F.replace(F.coalesce(_c(date), F.lit("")), F.lit("/"), F.lit("")), 1, 7)
     p = F.coalesce(_c(price).cast("long"), F.lit(0)).cast("string")
-    return F.when(a != "", F.concat_ws("|", d, a, p))
+    text = strip_city_for_key(compact_form(F.coalesce(_c(address), F.lit(""))))
+    return bound(text, lambda a: F.when(a != "", F.concat_ws("|", d, a, p)))
 
 
 # --- search variants ------------------------------------------------------
@@ -505,13 +515,16 @@ def variants(col: Column | str) -> Column:
 
 def shortened(col: Column | str) -> Column:
     """Progressively shorter search texts: full, up to 號, up to 巷, up to the lane digits, road."""
-    c = normalize(col, for_query=True)
-    cuts = [
-        c,
-        F.regexp_extract(c, r"^(.*?[0-9]+(?:之[0-9]+)?號)", 1),
-        F.regexp_extract(c, r"^(.*?[0-9]+巷)(?:[0-9]+弄)?", 0),
-        F.regexp_extract(c, r"^(.*?[0-9]+巷)", 1),
-        F.regexp_extract(c, r"^(.*?[0-9]+)巷", 1),
-        F.regexp_extract(c, f"^(.*?(?:路|街|大道)(?:{_SECTION})?)", 1),
-    ]
-    return F.array_distinct(F.filter(F.array(*cuts), lambda x: x != ""))
+
+    def cuts(c: Column) -> Column:
+        return F.array(
+            c,
+            F.regexp_extract(c, r"^(.*?[0-9]+(?:之[0-9]+)?號)", 1),
+            F.regexp_extract(c, r"^(.*?[0-9]+巷)(?:[0-9]+弄)?", 0),
+            F.regexp_extract(c, r"^(.*?[0-9]+巷)", 1),
+            F.regexp_extract(c, r"^(.*?[0-9]+)巷", 1),
+            F.regexp_extract(c, f"^(.*?(?:路|街|大道)(?:{_SECTION})?)", 1),
+        )
+
+    every = bound(normalize(col, for_query=True), cuts)
+    return F.array_distinct(F.filter(every, lambda x: x != ""))

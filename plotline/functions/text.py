@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 from plotline import constants as K
@@ -19,6 +21,15 @@ def _c(col: Column | str) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once per row.
+
+    Keeps an expression that needs an intermediate result several times linear in size, where
+    plain nesting would repeat the whole text of it (and outgrow a generated method).
+    """
+    return F.transform(F.array(value), use)[0]
+
+
 def half_width(col: Column | str, kind: str = "all") -> Column:
     """Full-width forms to half-width: ``all`` ASCII, ``digits`` or ``alnum``."""
     full, half = {
@@ -93,21 +104,25 @@ def numeral_value(col: Column | str) -> Column:
     )
 
 
-def numerals_before(col: Column, suffixes: str) -> Column:
+def numerals_before(c: Column, suffixes: str) -> Column:
     """Replace each numeral that stands directly before one of ``suffixes`` by its digits.
 
     The text is cut at the borders of such numerals, so a piece made only of
     numeral characters is exactly one numeral to convert.
     """
     n, s = f"[{K.NUMERAL_CHARS}]", f"[{suffixes}]"
-    pieces = F.split(col, f"(?<!{n})(?={n}+{s})|(?<={n})(?={s})")
-    converted = F.transform(
-        pieces,
-        lambda p: F.when(
-            p.rlike(f"^{n}+$"), F.coalesce(numeral_value(p).cast("string"), p)
-        ).otherwise(p),
-    )
-    return F.when(col.rlike(n + s), F.array_join(converted, "")).otherwise(col)
+
+    def convert(col: Column) -> Column:
+        pieces = F.split(col, f"(?<!{n})(?={n}+{s})|(?<={n})(?={s})")
+        converted = F.transform(
+            pieces,
+            lambda p: F.when(
+                p.rlike(f"^{n}+$"), F.coalesce(numeral_value(p).cast("string"), p)
+            ).otherwise(p),
+        )
+        return F.when(col.rlike(n + s), F.array_join(converted, "")).otherwise(col)
+
+    return bound(c, convert)
 
 
 def _digit_name(d: Column) -> Column:

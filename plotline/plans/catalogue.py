@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from plotline.plans import rows  # noqa: F401
+from plotline.plans import reports, rows  # noqa: F401
 from plotline.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -86,6 +86,39 @@ FROM tx_addr WHERE id % 50 = 0 GROUP BY district, street, lane, number
 """
 
 
+# Cached positions: one per address point, of mixed level and source.
+VIEWS["cache"] = """
+SELECT concat(replace(city, '台', '臺'), district, street, housenumber, '號') AS address_key, lat, lng,
+  CASE WHEN point_id % 3 = 0 THEN 'road' ELSE 'exact' END AS level,
+  CASE WHEN point_id % 2 = 0 THEN 'osm_index' ELSE 'api' END AS source
+FROM points WHERE point_id % 4 <> 1
+"""
+
+# Three sources of the same trades, each with its own gaps.
+VIEWS["arrivals"] = """
+SELECT 1 AS source_rank, lpad(cast(id AS STRING), 12, '0') AS ingest_seq, address, transaction_date, total_price,
+  CASE WHEN id % 3 = 0 THEN '' ELSE building_type END AS building_type, CAST(NULL AS STRING) AS community_name,
+  CASE WHEN id % 5 = 0 THEN NULL ELSE rooms END AS rooms, note, CAST(NULL AS DOUBLE) AS lat, CAST(NULL AS DOUBLE) AS lng,
+  building_area, concat('csv_', cast(id AS STRING)) AS serial_no,
+  concat(substr(transaction_date, 1, 7), '|', substr(address_half, 4), '|', cast(coalesce(total_price, 0) AS STRING)) AS expected_key
+FROM tx_addr
+UNION ALL
+SELECT 2, lpad(cast(id AS STRING), 12, '0'), address_half, transaction_date, total_price, building_type, community_name, rooms,
+  CASE WHEN id % 4 = 0 THEN '補登' ELSE '' END, lat, lng, building_area, concat('api_', cast(id AS STRING)),
+  concat(substr(transaction_date, 1, 7), '|', substr(address_half, 4), '|', cast(coalesce(total_price, 0) AS STRING))
+FROM tx_addr WHERE id % 2 = 0
+UNION ALL
+SELECT 3, lpad(cast(id AS STRING), 12, '0'), address, concat(substr(transaction_date, 1, length(transaction_date) - 4), '/', substr(transaction_date, length(transaction_date) - 3, 2), '/', substr(transaction_date, length(transaction_date) - 1, 2)),
+  total_price, '', '第三來源', 9, '', 24.5E0, 121.5E0, 0.0E0, concat('old_', cast(id AS STRING)),
+  concat(substr(transaction_date, 1, 7), '|', substr(address_half, 4), '|', cast(coalesce(total_price, 0) AS STRING))
+FROM tx_addr WHERE id % 6 = 0
+UNION ALL
+SELECT 3, concat('bad', cast(id AS STRING)), CASE WHEN id % 2 = 0 THEN '' ELSE replace(address, '號', '') END, transaction_date, total_price, building_type, community_name,
+  rooms, note, lat, lng, building_area, concat('bad_', cast(id AS STRING)), CAST(NULL AS STRING)
+FROM tx_addr WHERE id % 17 = 0
+"""
+
+
 def prefix(body: str, extra: dict[str, str] | None = None) -> str:
     """``WITH`` clause of the views a statement needs, in dependency order."""
     known = VIEWS | (extra or {})
