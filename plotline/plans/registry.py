@@ -11,7 +11,7 @@ from plotline.plans.fixture import prefix
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
+_SQL: dict[str, str] = {}
 CTES: dict[str, str] = {}
 
 
@@ -23,7 +23,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
             raise ValueError(f"duplicate query {name}")
         QUERIES[name] = fn
         if sql is not None:
-            ORACLES[name] = prefix(sql, CTES)
+            _SQL[name] = sql
         return fn
 
     return add
@@ -38,3 +38,8 @@ def variants(template: str, sql: Callable[[str], str], names: list[str]) -> Call
         return fn
 
     return add
+
+
+def oracles() -> dict[str, str]:
+    """Complete oracle statements, each with the views it needs."""
+    return {n: prefix(sql, CTES) for n, sql in _SQL.items()}

@@ -213,9 +213,11 @@ def read_manual_csv(spark: SparkSession, path: str) -> DataFrame:
     return named.where(~blank("community_name") & ~blank("address"))
 
 
-def read_json_cache(spark: SparkSession, path: str, level: str = "exact", source: str = "json_import") -> DataFrame:
-    """Files holding one JSON object ``{address: [lat, lng]}`` to geocode-cache rows."""
-    text = spark.read.option("wholetext", True).text(path)
+def read_json_cache(
+    spark: SparkSession, path: str, level: str = "exact", source: str = "json_import", per_line: bool = False
+) -> DataFrame:
+    """JSON objects ``{address: [lat, lng]}``, one per file (or per line), to geocode-cache rows."""
+    text = spark.read.option("wholetext", not per_line).text(path)
     pairs = text.select(F.explode(F.from_json("value", "map<string, array<double>>")).alias("address_key", "xy"))
     rows = pairs.select(
         "address_key", F.get("xy", F.lit(0)).alias("lat"), F.get("xy", F.lit(1)).alias("lng"),

@@ -21,17 +21,17 @@ def _month() -> Column:
     ).otherwise("none")
 
 
-def write_transactions(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Partitioned by month; inside a file sorted for address look-ups, so that row groups can be skipped.
-
-    The extra salt spreads a month that holds a large share of the rows over several tasks.
-    """
-    out = df.withColumn(MONTH, _month())
+def _laid_out(df: DataFrame) -> DataFrame:
+    """Rows by month, a large month over several tasks; inside a file sorted for address look-ups,
+    so that row groups can be skipped."""
     salt = F.pmod(F.xxhash64(F.coalesce("dedup_key", "address", F.lit(""))), F.lit(16))
-    (
-        out.repartition(MONTH, salt).sortWithinPartitions(MONTH, "district", "street", "number")
-        .write.mode(mode).partitionBy(MONTH).parquet(path)
-    )
+    order = [c for c in ("district", "street", "number") if c in df.columns]
+    return df.withColumn(MONTH, _month()).repartition(MONTH, salt).sortWithinPartitions(MONTH, *order)
+
+
+def write_transactions(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """The canonical table, partitioned by month."""
+    _laid_out(df).write.mode(mode).partitionBy(MONTH).parquet(path)
 
 
 def upsert_transactions(spark: SparkSession, batch: DataFrame, path: str) -> None:
@@ -57,12 +57,8 @@ def upsert_transactions(spark: SparkSession, batch: DataFrame, path: str) -> Non
         old.where(~keyless).unionByName(new.where(~keyless), allowMissingColumns=True)
     ).drop("source_rank", "ingest_seq")
     loose = old.where(keyless).unionByName(new.where(keyless), allowMissingColumns=True).drop("source_rank", "ingest_seq")
-    out = merged.unionByName(loose.dropDuplicates()).withColumn(MONTH, _month())
-    salt = F.pmod(F.xxhash64(F.coalesce("dedup_key", "address", F.lit(""))), F.lit(16))
-    (
-        out.repartition(MONTH, salt).sortWithinPartitions(MONTH, "district", "street", "number")
-        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(MONTH).parquet(path)
-    )
+    out = _laid_out(merged.unionByName(loose.dropDuplicates()))
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(MONTH).parquet(path)
 
 
 def export_csv(df: DataFrame, path: str, newest_by: str | None = None, limit: int | None = None) -> None:

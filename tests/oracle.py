@@ -74,7 +74,7 @@ def main() -> int:
     sf_dir = args.pop(0) if args and "/" in args[0] else "/root/testdata/sf0.01"
     names = [n for n in catalogue.QUERIES if not args or any(n.startswith(a) for a in args)]
     spark = build_session("oracle", "local[8]", spark__sql__shuffle__partitions="8", spark__driver__memory="12g")
-    spark.sparkContext.setLogLevel("ERROR")
+    spark.sparkContext.setLogLevel("OFF")
     con = duck(sf_dir)
     failed = 0
     for n in names:
@@ -82,7 +82,7 @@ def main() -> int:
         try:
             ok, text = compare(spark, con, n, sf_dir)
         except Exception as e:  # report and go on with the next query
-            ok, text = False, f"{type(e).__name__}: {str(e)[:1500]}"
+            ok, text = False, f"{type(e).__name__}: {str(e)[:700]}"
         failed += not ok
         print(f"{'ok  ' if ok else 'FAIL'} {n:42s} {time.time() - t:6.2f}s {text}", flush=True)
     print(f"{len(names) - failed}/{len(names)} ok")
