@@ -12,57 +12,69 @@ from pyspark.sql import Column, DataFrame, functions as F
 from plotline.operators.stats import top_per
 
 
-def _grams(text: Column) -> Column:
-    """Pairs of adjacent characters by position; the last one is a single character."""
-    n = F.length(text)
+def _grams(text: Column, n: int) -> Column:
+    """Pieces of ``n`` adjacent characters by position; the last ones are shorter."""
+    size = F.length(text)
     return F.when(
-        n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(text, i, F.lit(2)))
+        size > 0, F.transform(F.sequence(F.lit(1), size), lambda i: F.substring(text, i, F.lit(n)))
     )
 
 
-def build_index(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Inverted index (gram, id, pos) over whole texts; write it partitioned or bucketed by gram."""
+def build_index(texts: DataFrame, id_col: str, text_col: str, n: int = 2) -> DataFrame:
+    """Inverted index (gram, id, pos) over whole texts; write it partitioned or bucketed by gram.
+
+    Two characters are enough for Chinese addresses; long alphabetic texts want more.
+    """
     return texts.select(
-        F.col(id_col).alias("id"), F.posexplode(_grams(F.col(text_col))).alias("pos", "gram")
+        F.col(id_col).alias("id"), F.posexplode(_grams(F.col(text_col), n)).alias("pos", "gram")
     ).select("gram", "id", "pos")
 
 
-def _phrase_grams(phrases: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(phrase_id, phrase, gram, off): the pairs of each phrase; one-character phrases keep the character."""
+def _phrase_grams(phrases: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
+    """(phrase_id, phrase, gram, off): the full pieces of each phrase; a phrase shorter than ``n`` is its own piece."""
     p = phrases.where(F.length(text_col) > 0).select(
         F.col(id_col).alias("phrase_id"), F.col(text_col).alias("phrase")
     )
-    pairs = F.when(
-        F.length("phrase") > 1, F.slice(_grams(F.col("phrase")), F.lit(1), F.length("phrase") - 1)
-    ).otherwise(F.array("phrase"))
-    return p.select("phrase_id", "phrase", F.posexplode(pairs).alias("off", "gram"))
-
-
-def match_index(index: DataFrame, phrases: DataFrame, id_col: str = "phrase_id", text_col: str = "phrase") -> DataFrame:
-    """(phrase_id, id) of every text that holds the phrase, from the index alone."""
-    grams = _phrase_grams(phrases, id_col, text_col)
-    single = F.length("phrase") == 1
-    ones = (
-        index.select("id", F.substring("gram", 1, 1).alias("gram"))
-        .join(grams.where(single).select("phrase_id", "gram"), "gram").select("phrase_id", "id")
+    full = F.slice(_grams(F.col("phrase"), n), F.lit(1), F.greatest(F.length("phrase") - (n - 1), F.lit(1)))
+    return p.select("phrase_id", "phrase", F.posexplode(full).alias("off", "gram"))
+
+
+def match_index(
+    index: DataFrame, phrases: DataFrame, id_col: str = "phrase_id", text_col: str = "phrase", n: int = 2
+) -> DataFrame:
+    """(phrase_id, id) of every text that holds the phrase, from the index alone.
+
+    The rarest piece of a phrase finds its possible places; each place then asks the index for the
+    few other pieces that cover the phrase.  Phrases shorter than a piece match its beginning.
+    """
+    grams = _phrase_grams(phrases, id_col, text_col, n)
+    is_short = F.length("phrase") < n
+    short = grams.where(is_short).select("phrase_id", "gram")
+    heads = index.select(
+        "id", F.explode(F.array(*[F.substring("gram", 1, k) for k in range(1, n)])).alias("gram")
     )
-    multi = grams.where(~single)
-    seen = multi.select("gram").distinct()
-    freq = index.join(seen, "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("df"))
-    anchors = top_per(multi.join(freq, "gram"), ["phrase_id"], [F.col("df"), F.col("gram"), F.col("off")], 1)
+    by_head = heads.join(short, "gram").select("phrase_id", "id")
+    long = grams.where(~is_short)
+    freq = index.join(long.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(
+        F.count("*").alias("df")
+    )
+    anchors = top_per(long.join(freq, "gram"), ["phrase_id"], [F.col("df"), F.col("gram"), F.col("off")], 1)
     starts = index.join(anchors.select("phrase_id", "phrase", "gram", "off"), "gram").select(
         "phrase_id", "phrase", "id", (F.col("pos") - F.col("off")).alias("start")
     ).where("start >= 0")
-    # Every candidate asks the index for its other pairs at their exact places.
-    wanted = starts.select(
-        "phrase_id", "phrase", "id", "start",
-        F.posexplode(F.slice(_grams(F.col("phrase")), F.lit(1), F.length("phrase") - 1)).alias("off", "gram"),
-    ).withColumn("pos", F.col("start") + F.col("off"))
-    met = wanted.join(index, ["gram", "id", "pos"]).groupBy("phrase_id", "phrase", "id", "start").agg(
+    last = F.length("phrase") - n
+    cover = F.array_distinct(F.concat(F.sequence(F.lit(0), last, F.lit(n)), F.array(last)))
+    wanted = starts.withColumn("cover", cover).select(
+        "phrase_id", "id", "start", F.size("cover").alias("pieces"), "phrase", F.explode("cover").alias("off")
+    ).select(
+        "phrase_id", "id", "start", "pieces", (F.col("start") + F.col("off")).alias("pos"),
+        F.substring("phrase", F.col("off") + 1, F.lit(n)).alias("gram"),
+    )
+    met = wanted.join(index, ["gram", "id", "pos"]).groupBy("phrase_id", "id", "start", "pieces").agg(
         F.count("*").alias("met")
     )
-    full = met.where(F.col("met") == F.length("phrase") - 1).select("phrase_id", "id")
-    return full.unionByName(ones).distinct()
+    full = met.where("met = pieces").select("phrase_id", "id")
+    return full.unionByName(by_head).distinct()
 
 
 def contains_join(
@@ -74,10 +86,10 @@ def contains_join(
     Distinct phrases are matched once however many queries share them.
     """
     wanted = phrases.select(F.col(phrase_col).alias("phrase")).where(F.length("phrase") > 0).distinct()
-    p = _phrase_grams(wanted.withColumn("phrase_id", F.col("phrase")), "phrase_id", "phrase")
+    p = _phrase_grams(wanted.withColumn("phrase_id", F.col("phrase")), "phrase_id", "phrase", 2)
     t = texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.length("text") > 0)
     singles = F.transform(F.sequence(F.lit(1), F.length("text")), lambda i: F.substring("text", i, F.lit(1)))
-    keys = F.array_distinct(F.concat(_grams(F.col("text")), singles))
+    keys = F.array_distinct(F.concat(_grams(F.col("text"), 2), singles))
     # Only keys some phrase uses leave the scan.
     used = p.select("gram").distinct()
     hits = t.select("id", "text", F.explode(keys).alias("gram")).join(used, "gram", "left_semi")

@@ -166,9 +166,9 @@ def _(spark, d):
 )
 def _(spark, d):
     # Whole documents; phrases are openings of the benchmark passages.
-    index = X.build_index(table(spark, d, "documents"), "doc_id", "text")
+    index = X.build_index(table(spark, d, "documents"), "doc_id", "text", n=8)
     p = table(spark, d, "benchmark").where("length(text) >= 24").select("item_id", F.expr("substr(text, 1, 24)").alias("phrase"))
-    return X.match_index(index, p, "item_id", "phrase").withColumnRenamed("phrase_id", "item_id")
+    return X.match_index(index, p, "item_id", "phrase", n=8).withColumnRenamed("phrase_id", "item_id")
 
 
 @query("j14_phrase_semi_join", "SELECT id FROM tx_addr t WHERE EXISTS (SELECT 1 FROM phrases p WHERE length(p.phrase) > 1 AND contains(t.address_half, p.phrase))")

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+import os
 import sys
+import threading
 import time
 from pathlib import Path
 
@@ -48,8 +50,10 @@ def rows_of(cols: list[str], rows) -> list[tuple]:
 def compare(spark, con, name: str, sf_dir: str) -> tuple[bool, str]:
     from plotline.plans import catalogue
 
+    t = time.time()
     df = catalogue.QUERIES[name](spark, sf_dir)
     got = rows_of(df.columns, [tuple(r) for r in df.collect()])
+    print(f"     spark {time.time() - t:.2f}s", end=" ", flush=True)
     sql = catalogue.ORACLES.get(name)
     if sql is None:
         return len(got) > 0, f"{len(got)} rows (no oracle)"
@@ -77,12 +81,16 @@ def main() -> int:
     spark.sparkContext.setLogLevel("OFF")
     con = duck(sf_dir)
     failed = 0
+    limit = float(os.environ.get("ORACLE_SECONDS", "60"))
     for n in names:
         t = time.time()
+        watch = threading.Timer(limit, lambda: (spark.sparkContext.cancelAllJobs(), con.interrupt()))
+        watch.start()
         try:
             ok, text = compare(spark, con, n, sf_dir)
         except Exception as e:  # report and go on with the next query
             ok, text = False, f"{type(e).__name__}: {str(e)[:700]}"
+        watch.cancel()
         failed += not ok
         print(f"{'ok  ' if ok else 'FAIL'} {n:42s} {time.time() - t:6.2f}s {text}", flush=True)
     print(f"{len(names) - failed}/{len(names)} ok")
