@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from plotline import constants as K
 from plotline.functions import address as A, text as T
 from plotline.functions.text import blank
 from plotline.operators.gazetteer import resolve_city
 from plotline.operators.stats import join_back, top_per
+from plotline.session import stage
 
 # (level, kind of key, confidence, how many candidates, needs a district or city)
 _STEPS = (
@@ -67,7 +68,7 @@ def address_to_community(
     q = address_queries(queries, text, gazetteer)
     qk = _keyed(q, ["query_id", "q_district", "q_city"])
     need_place = F.col("level").isin(*[lv for lv, _, _, _, need in _STEPS if need])
-    qk = qk.where(~need_place | ~blank("q_district") | ~blank("q_city"))
+    qk = stage(qk.where(~need_place | ~blank("q_district") | ~blank("q_city")), "link_keys")
     asked = qk.select("level", "key").distinct()
     named = tx.where(~blank("community_name") & ~blank("address"))
     facts = named.select(
@@ -86,8 +87,9 @@ def address_to_community(
         F.sum("n").alias("count"),
         F.max_by("district", F.struct("n", "district")).alias("district"),
     )
-    first = votes.groupBy("query_id").agg(F.min("level").alias("level"))
-    best = votes.join(first, ["query_id", "level"])
+    # One row per project and level by now, so a query's rows are few.
+    at = F.min("level").over(Window.partitionBy("query_id"))
+    best = votes.withColumn("__first", at).where("level = __first").drop("__first")
     conf = F.create_map(*[F.lit(x) for lv, _, c, _, _ in _STEPS for x in (lv, c)])
     cap = F.create_map(*[F.lit(x) for lv, _, _, n, _ in _STEPS for x in (lv, n)])
     out = top_per(

@@ -15,6 +15,7 @@ from plotline.functions import address as A
 from plotline.functions.text import blank
 from plotline.operators import filters as P, present as R, textjoin as X
 from plotline.operators.stats import join_back, top_per
+from plotline.session import stage
 
 _SEP = "\u0001"
 LEVELS = (1, 2, 3, 4, 5, 6)
@@ -105,7 +106,7 @@ def search_structured(
 
     ``addr_count`` counts the rows of the level that share the address, before the filters.
     """
-    keys = query_keys(parsed)
+    keys = stage(query_keys(parsed), "query_keys")
     computed = R.with_computed(tx)
     if filters is not None:
         computed = computed.withColumn("__ok", P.computed_filters(filters))
@@ -115,6 +116,7 @@ def search_structured(
     best = keys.join(alive, "key", "left_semi").groupBy("query_id").agg(
         F.min(F.struct("level", "key")).alias("b")
     ).select("query_id", "b.level", "b.key")
+    best = stage(best, "query_levels")
     needed = best.select("key").distinct()
     counts = (
         matched.join(needed, "key", "left_semi").groupBy("key", "address")
@@ -175,11 +177,13 @@ def search_addresses(
 
     ``method`` says which of the three answered.
     """
-    parsed = parse_queries(queries, text)
+    parsed = stage(parse_queries(queries, text), "parsed_queries")
     by_parts = search_structured(tx, parsed, filters, sort_by, limit).withColumn("method", F.lit("structured"))
-    left = parsed.join(by_parts.select("query_id").distinct(), "query_id", "left_anti")
+    by_parts = stage(by_parts, "by_parts")
+    left = stage(parsed.join(by_parts.select("query_id").distinct(), "query_id", "left_anti"), "unanswered")
     by_phrase = search_phrase(tx, left, filters, sort_by, limit).withColumn("method", F.lit("phrase"))
-    rest = left.join(by_phrase.select("query_id").distinct(), "query_id", "left_anti")
+    by_phrase = stage(by_phrase, "by_phrase")
+    rest = stage(left.join(by_phrase.select("query_id").distinct(), "query_id", "left_anti"), "unanswered")
     by_variant = search_variants(tx, rest, filters, sort_by, limit, text).withColumn("method", F.lit("variants"))
     return by_parts.unionByName(by_phrase, allowMissingColumns=True).unionByName(
         by_variant, allowMissingColumns=True
@@ -194,6 +198,7 @@ def search_shortened(tx: DataFrame, queries: DataFrame, text: str = "query_text"
     hits = X.contains_join(texts, stepped, "id", "text", "pid", "phrase").select(
         F.col("phrase_id.query_id").alias("query_id"), F.col("phrase_id.step").alias("step"), "id"
     )
+    hits = stage(hits, "shortened_hits")
     first = hits.groupBy("query_id").agg(F.min("step").alias("step"))
     kept = hits.join(first, ["query_id", "step"])
     rows = kept.join(tx, "id")
@@ -255,14 +260,14 @@ def keyword_search(
     paths = []
     if "community" in queries.columns:
         named = queries.where(~blank("community")).select("query_id", F.col("community").alias("name"))
-        paths.append(search_names(tx, named, filters, limit))
+        paths.append(stage(search_names(tx, named, filters, limit), "by_name"))
     if linked is not None:
         link = linked
         if paths:
             link = linked.join(queries.where(~blank("community")).select("query_id"), "query_id", "left_anti")
-        paths.append(search_names(tx, link, filters, limit))
+        paths.append(stage(search_names(tx, stage(link, "links"), filters, limit), "by_link"))
     paths.append(search_addresses(tx, queries, filters, "date", limit, text))
-    every = merge_paths(paths, None)
+    every = stage(merge_paths(paths, None), "paths")
     parsed = parse_queries(queries, text).select("query_id", "q_district")
     rows = every.join(R.search_columns(tx), "id").join(parsed, "query_id")
     kept = rows.where(P.in_district(F.col("q_district"))).drop("q_district")

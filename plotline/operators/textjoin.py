@@ -10,14 +10,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from plotline.operators.stats import top_per
+from plotline.session import stage
 
 
 def _grams(text: Column, n: int) -> Column:
-    """Pieces of ``n`` adjacent characters by position; the last ones are shorter."""
-    size = F.length(text)
-    return F.when(
-        size > 0, F.transform(F.sequence(F.lit(1), size), lambda i: F.substring(text, i, F.lit(n)))
-    )
+    """Pieces of ``n`` adjacent characters by position; the last ones are shorter.
+
+    A look-ahead visits every position once, so the cost is linear in the text (repeated
+    ``substring`` calls would walk the text from its start each time).
+    """
+    at_every_character = rf"(?s)(?![\uDC00-\uDFFF])(?=(.{{1,{n}}}))"
+    return F.regexp_extract_all(text, F.lit(at_every_character), F.lit(1))
 
 
 def build_index(texts: DataFrame, id_col: str, text_col: str, n: int = 2) -> DataFrame:
@@ -47,7 +50,7 @@ def match_index(
     The rarest piece of a phrase finds its possible places; each place then asks the index for the
     few other pieces that cover the phrase.  Phrases shorter than a piece match its beginning.
     """
-    grams = _phrase_grams(phrases, id_col, text_col, n)
+    grams = stage(_phrase_grams(phrases, id_col, text_col, n), "phrase_grams")
     is_short = F.length("phrase") < n
     short = grams.where(is_short).select("phrase_id", "gram")
     heads = index.select(
@@ -86,10 +89,9 @@ def contains_join(
     Distinct phrases are matched once however many queries share them.
     """
     wanted = phrases.select(F.col(phrase_col).alias("phrase")).where(F.length("phrase") > 0).distinct()
-    p = _phrase_grams(wanted.withColumn("phrase_id", F.col("phrase")), "phrase_id", "phrase", 2)
+    p = stage(_phrase_grams(wanted.withColumn("phrase_id", F.col("phrase")), "phrase_id", "phrase", 2), "phrase_grams")
     t = texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.length("text") > 0)
-    singles = F.transform(F.sequence(F.lit(1), F.length("text")), lambda i: F.substring("text", i, F.lit(1)))
-    keys = F.array_distinct(F.concat(_grams(F.col("text"), 2), singles))
+    keys = F.array_distinct(F.concat(_grams(F.col("text"), 2), _grams(F.col("text"), 1)))
     # Only keys some phrase uses leave the scan.
     used = p.select("gram").distinct()
     hits = t.select("id", "text", F.explode(keys).alias("gram")).join(used, "gram", "left_semi")

@@ -11,7 +11,8 @@ from plotline.operators import (
 from plotline.operators.filters import Filters
 from plotline.plans.fixture import frame, table
 from plotline.plans.registry import CTES, query, variants
-from plotline.plans.rows import _SHOWN, _SPECIAL
+from plotline.plans.rows import _SHOWN
+from plotline.session import stage
 
 
 def queries_of(spark, d):
@@ -150,7 +151,7 @@ def _phrases(spark, d):
 @query("r10_phrase_index", "SELECT p.query_id, t.id FROM phrases p JOIN tx_addr t ON contains(t.address_half, p.phrase)")
 def _(spark, d):
     texts = frame(spark, d, "tx_addr").select("id", A.normalize("address").alias("text"))
-    index = X.build_index(texts, "id", "text")
+    index = stage(X.build_index(texts, "id", "text"), "index")
     return X.match_index(index, _phrases(spark, d), "query_id", "phrase").withColumnRenamed("phrase_id", "query_id")
 
 
@@ -166,7 +167,7 @@ def _(spark, d):
 )
 def _(spark, d):
     # Whole documents; phrases are openings of the benchmark passages.
-    index = X.build_index(table(spark, d, "documents"), "doc_id", "text", n=8)
+    index = stage(X.build_index(table(spark, d, "documents"), "doc_id", "text", n=8), "index")
     p = table(spark, d, "benchmark").where("length(text) >= 24").select("item_id", F.expr("substr(text, 1, 24)").alias("phrase"))
     return X.match_index(index, p, "item_id", "phrase", n=8).withColumnRenamed("phrase_id", "item_id")
 
@@ -174,7 +175,7 @@ def _(spark, d):
 @query("j14_phrase_semi_join", "SELECT id FROM tx_addr t WHERE EXISTS (SELECT 1 FROM phrases p WHERE length(p.phrase) > 1 AND contains(t.address_half, p.phrase))")
 def _(spark, d):
     tx = frame(spark, d, "tx_addr")
-    index = X.build_index(tx.select("id", A.normalize("address").alias("text")), "id", "text")
+    index = stage(X.build_index(tx.select("id", A.normalize("address").alias("text")), "id", "text"), "index")
     hits = X.match_index(index, _phrases(spark, d).where("length(phrase) > 1"), "query_id", "phrase")
     return tx.join(hits.select("id"), "id", "left_semi").select("id")
 

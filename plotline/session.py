@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
 
@@ -43,3 +43,14 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         base = _LOCAL.setdefault("dir", tempfile.mkdtemp(prefix="plotline-"))
     return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Write an intermediate result to the shared folder and read it back.
+
+    Cuts the lineage, so that a result used several times is computed once, the plan stays small,
+    and a lost executor costs a re-read instead of a re-computation.
+    """
+    path = scratch_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
