@@ -122,16 +122,17 @@ FROM tx_addr WHERE id % 17 = 0
 def prefix(body: str, extra: dict[str, str] | None = None) -> str:
     """``WITH`` clause of the views a statement needs, in dependency order."""
     known = VIEWS | (extra or {})
-    need: set[str] = set()
+    order: list[str] = []
 
     def visit(sql: str) -> None:
         for name in known:
-            if name not in need and re.search(rf"\b(?:FROM|JOIN)\s+{name}\b", sql, re.I):
-                need.add(name)
+            if name not in order and re.search(rf"\b(?:FROM|JOIN)\s+{name}\b", sql, re.I):
                 visit(known[name])
+                if name not in order:
+                    order.append(name)
 
     visit(body)
-    parts = [f"{n} AS ({known[n].strip()})" for n in known if n in need]
+    parts = [f"{n} AS ({known[n].strip()})" for n in order]
     return ("WITH " + ",\n".join(parts) + "\n" if parts else "") + body.strip()
 
 

@@ -122,10 +122,12 @@ _DISTINCT = lambda c: f"list_distinct(string_split({c}, ''))"
 CTES["compact_names"] = """
 SELECT replace(upper(translate(trim(c.community_name), 'Ａｂ', 'Ab')), ' ', '') AS norm, c.community_name AS name, c.tx_count FROM catalogue c"""
 _SUBSEQ = "regexp_matches(norm, concat('^.*', array_to_string(string_split(kw, ''), '.*'), '.*$'))"
+# The oracle's levenshtein counts bytes, so each name character gets a one-byte stand-in there.
+_ASCII = lambda c: f"translate({c}, '健安新城遠雄幸福都廳大院信義星池仁愛帝寶加館區台北二期', 'abcdefghijklmnopqrstuvwxyz!')"
 CTES["name_scores"] = f"""
-SELECT query_id, name, tx_count, kw, norm, greatest(1, length(kw) // 3) AS allowed, levenshtein(kw, norm) AS dist,
+SELECT query_id, name, tx_count, kw, norm, greatest(1, length(kw) // 3) AS allowed, levenshtein({_ASCII('kw')}, {_ASCII('norm')}) AS dist,
   len(list_intersect({_DISTINCT('kw')}, {_DISTINCT('norm')}))::DOUBLE / greatest(len({_DISTINCT('kw')}), len({_DISTINCT('norm')})) AS shared
-FROM (SELECT query_id, replace({_KW}, ' ', '') AS kw FROM keywords) k, compact_names"""
+FROM (SELECT query_id, replace({_KW}, ' ', '') AS kw FROM keywords) k CROSS JOIN compact_names"""
 
 
 @query(
@@ -183,7 +185,7 @@ def _parts(spark, d):
     "j20_best_item_by_name",
     f"""SELECT query_id, item_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rn FROM (
     SELECT q.query_id, i.item_id, CAST(CASE WHEN name = keyword THEN 100 WHEN contains(name, keyword) THEN 80 + 2 * length(keyword) WHEN contains(keyword, name) THEN 70
-      ELSE floor(len(list_filter(string_split(keyword, ''), lambda c: contains(name, c)))::DOUBLE / length(keyword) * 40) END AS INT) AS score FROM part_queries q, part_items i) s WHERE score >= 20) r WHERE rn = 1""",
+      ELSE floor(len(list_filter(string_split(keyword, ''), lambda c: contains(name, c)))::DOUBLE / length(keyword) * 40) END AS INT) AS score FROM part_queries q CROSS JOIN part_items i) s WHERE score >= 20) r WHERE rn = 1""",
 )
 def _(spark, d):
     items, q = _parts(spark, d)

@@ -569,7 +569,7 @@ def _name_pairs(spark, d):
 
 @query(
     "n18_n20_similarity",
-    """SELECT a, b, CAST(CASE WHEN levenshtein(a, b) > 1 THEN 2 ELSE levenshtein(a, b) END AS INT) AS distance,
+    """SELECT a, b, CAST(least(levenshtein(translate(a, '健安新城遠雄幸福都廳大院信義星池仁愛帝寶加館區', 'abcdefghijklmnopqrstuvw'), translate(b, '健安新城遠雄幸福都廳大院信義星池仁愛帝寶加館區', 'abcdefghijklmnopqrstuvw')), 2) AS INT) AS distance,
     round(len(list_intersect(list_distinct(string_split(a, '')), list_distinct(string_split(b, ''))))::DOUBLE / greatest(len(list_distinct(string_split(a, ''))), len(list_distinct(string_split(b, '')))), 6) AS shared
     FROM name_pairs""",
 )

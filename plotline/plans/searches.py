@@ -252,14 +252,14 @@ def _(spark, d):
 
 # --- compositions ---------------------------------------------------------
 CTES["paths"] = f"""
-SELECT query_id, id, 0 AS path, row_number() OVER (PARTITION BY query_id ORDER BY {_DATE}) AS at FROM (SELECT q.query_id, t.* FROM name_queries q JOIN computed t ON t.community_name = q.name) a
+SELECT query_id, id, 0 AS path, row_number() OVER (PARTITION BY query_id ORDER BY {_DATE}) AS place FROM (SELECT q.query_id, t.* FROM name_queries q JOIN computed t ON t.community_name = q.name) a
 UNION ALL SELECT query_id, id, 1, row_number() OVER (PARTITION BY query_id ORDER BY {_DATE}) FROM (SELECT q.query_id, t.* FROM name_queries q JOIN computed o ON o.id = q.query_id JOIN computed t ON t.street = o.street AND t.number = o.number) b"""
 
 
 @query(
     "u1_merge_paths",
-    """SELECT query_id, id, path FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY path, at, id) AS rn FROM (
-    SELECT query_id, id, min(path) AS path, arg_min(at, path) AS at FROM paths GROUP BY query_id, id) o) x WHERE rn <= 600""",
+    """SELECT query_id, id, path FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY path, place, id) AS rn FROM (
+    SELECT query_id, id, min(path) AS path, arg_min(place, path) AS place FROM paths GROUP BY query_id, id) o) x WHERE rn <= 600""",
 )
 def _(spark, d):
     from plotline.operators.stats import top_per

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from plotline.functions import dates as D
 from plotline.functions.text import blank
 from plotline.operators.ingest import merge_duplicates
+from plotline.session import stage
 
 MONTH = "tx_month"
 
@@ -22,11 +23,13 @@ def _month() -> Column:
 
 
 def _laid_out(df: DataFrame) -> DataFrame:
-    """Rows by month, a large month over several tasks; inside a file sorted for address look-ups,
-    so that row groups can be skipped."""
-    salt = F.pmod(F.xxhash64(F.coalesce("dedup_key", "address", F.lit(""))), F.lit(16))
+    """Rows by month; inside a file sorted for address look-ups, so that row groups can be skipped.
+
+    The rebalance lets adaptive execution split a month that holds a large share of the rows and
+    put small months together.
+    """
     order = [c for c in ("district", "street", "number") if c in df.columns]
-    return df.withColumn(MONTH, _month()).repartition(MONTH, salt).sortWithinPartitions(MONTH, *order)
+    return df.withColumn(MONTH, _month()).hint("rebalance", MONTH).sortWithinPartitions(MONTH, *order)
 
 
 def write_transactions(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -39,6 +42,7 @@ def upsert_transactions(spark: SparkSession, batch: DataFrame, path: str) -> Non
 
     Stored rows precede the batch.  Running the same batch again changes nothing.
     """
+    batch = stage(batch, "batch")
     incoming = batch.withColumn(MONTH, _month())
     try:
         stored = spark.read.parquet(path)
@@ -89,11 +93,8 @@ def learned_mappings(found: DataFrame, stored: DataFrame, remark: str = "listing
 
 def replace_city_points(points: DataFrame, path: str) -> None:
     """Replace the partitions of the cities in ``points``; other cities stay as they are."""
-    (
-        points.repartition("city", F.pmod(F.xxhash64("street"), F.lit(8)))
-        .sortWithinPartitions("city", "district", "street", "housenumber")
-        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("city").parquet(path)
-    )
+    laid = points.hint("rebalance", "city").sortWithinPartitions("city", "district", "street", "housenumber")
+    laid.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("city").parquet(path)
 
 
 def progress_of(points: DataFrame) -> DataFrame:
