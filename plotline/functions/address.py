@@ -214,14 +214,13 @@ def strip_city_district(col: Column | str) -> Column:
 
 
 def _drop_village(c: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(c, f"{_HAN}*里[0-9]*鄰?", ""), "[0-9]+鄰", "")
+    return F.regexp_replace(c, f"{_HAN}*里[0-9]*鄰?|[0-9]+鄰", "")
 
 
-def _road_number_rules(c: Column) -> Column:
-    c = _drop_village(c)
+def _cut_remarks(c: Column) -> Column:
+    """Room and block letters, 旁, trailing 之n and 共n筆; the order of the rules matters."""
+    out = c
     for pattern in (
-        r"[,，\s]*(?:地下)?[0-9]+樓.*$",
-        r"[,，\s]*(?:地下)?(?:十|二十|三十)?[一二三四五六七八九十百]+樓.*$",
         r"\s*[0-9]+F$",
         r"\s*[A-Za-z][0-9]*-[0-9]+F$",
         r"\s*[A-Za-z][0-9]*棟.*$",
@@ -229,22 +228,29 @@ def _road_number_rules(c: Column) -> Column:
         r"旁.*$",
         r"之[0-9]+$",
         r"共[0-9]+筆$",
-        r"\s+",
     ):
-        c = F.regexp_replace(c, pattern, "")
-    return c
+        out = F.regexp_replace(out, pattern, "")
+    return F.when(c.rlike("[A-Za-z旁之共]"), out).otherwise(c)
+
+
+def _road_number_rules(c: Column) -> Column:
+    c = F.when(c.rlike("[里鄰]"), _drop_village(c)).otherwise(c)
+    c = F.regexp_replace(
+        c, r"[,，\s]*(?:地下)?(?:[0-9]+|(?:十|二十|三十)?[一二三四五六七八九十百]+)樓.*$", ""
+    )
+    return F.regexp_replace(bound(c, _cut_remarks), r"\s+", "")
 
 
 def road_and_number(col: Column | str) -> Column:
     """Road and house number only: no city, district, village, floor, block or remarks."""
-    return _road_number_rules(strip_city_district(col))
+    return bound(strip_city_district(col), _road_number_rules)
 
 
 def link_form(col: Column | str) -> Column:
     """As ``road_and_number`` with the linker's prefix rules (up to two districts are cut)."""
     c = F.regexp_replace(half_width(strip(col), "digits"), f"^(?:{K.LINK_CITY_PREFIX})", "")
     # A second district only counts where it repeats the first; otherwise 市民大道 would lose its head.
-    return _road_number_rules(F.regexp_replace(c, f"^({_TOWN})\\1?", ""))
+    return bound(F.regexp_replace(c, f"^({_TOWN})\\1?", ""), _road_number_rules)
 
 
 def up_to_number(col: Column | str) -> Column:
@@ -459,12 +465,19 @@ def point_city(col: Column | str) -> Column:
 
 
 # --- dedup key ------------------------------------------------------------
-def dedup_key(date: Column | str, address: Column | str, price: Column | str) -> Column:
-    """``date7|address without city|price``; NULL where the address normalises to nothing."""
+def dedup_key(
+    date: Column | str, address: Column | str, price: Column | str, normal: Column | str | None = None
+) -> Column:
+    """``date7|address without city|price``; NULL where the address normalises to nothing.
+
+    ``normal`` may give the address's normal form where a table has it already.
+    """
     d = F.substring(F.replace(F.coalesce(_c(date), F.lit("")), F.lit("/"), F.lit("")), 1, 7)
     p = F.coalesce(_c(price).cast("long"), F.lit(0)).cast("string")
-    text = strip_city_for_key(compact_form(F.coalesce(_c(address), F.lit(""))))
-    return bound(text, lambda a: F.when(a != "", F.concat_ws("|", d, a, p)))
+    form = compact_form(F.coalesce(_c(address), F.lit(""))) if normal is None else F.replace(
+        _c(normal), F.lit(" "), F.lit("")
+    )
+    return bound(strip_city_for_key(form), lambda a: F.when(a != "", F.concat_ws("|", d, a, p)))
 
 
 # --- search variants ------------------------------------------------------

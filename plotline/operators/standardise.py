@@ -66,7 +66,7 @@ def standardise(
         }
     ).drop("__geo", "__hint")
     if date is not None and price is not None:
-        out = out.withColumn("dedup_key", A.dedup_key(date, address, price))
+        out = out.withColumn("dedup_key", A.dedup_key(date, address, price, normal="normalized"))
     return out
 
 

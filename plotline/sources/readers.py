@@ -57,7 +57,7 @@ def from_registry(raw: DataFrame, gazetteer: DataFrame | None = None) -> DataFra
         {"floor_level": A.floor_or_raw("floor_level"), "total_floors": A.floor_or_raw("total_floors")}
     )
     rows = resolve_city(add_parts(rows, "address", "raw_district"), gazetteer)
-    rows = rows.withColumn("dedup_key", A.dedup_key("transaction_date", "address", "total_price"))
+    rows = rows.withColumn("dedup_key", A.dedup_key("transaction_date", "address", "total_price", normal="normalized"))
     return canonical(rows, keep=("ingest_seq",))
 
 
@@ -114,6 +114,7 @@ def from_columns(rows: DataFrame, gazetteer: DataFrame | None = None) -> DataFra
         A.dedup_key(
             "transaction_date" if "transaction_date" in given else F.lit(""), "address",
             F.col(price) if price else F.lit(None),
+            normal="normalized",
         ),
     )
     return canonical(out, keep=("ingest_seq",))
@@ -171,7 +172,7 @@ def from_api(api: DataFrame, gazetteer: DataFrame | None = None, per_ping_price:
         {
             "floor": F.coalesce(F.nullif("floor", F.lit("")), whole_floor, F.lit("")),
             "raw_district": text(F.col("district"), F.col("__town")),
-            "dedup_key": A.dedup_key("transaction_date", "address", "total_price"),
+            "dedup_key": A.dedup_key("transaction_date", "address", "total_price", normal="normalized"),
         }
     )
     return canonical(rows, keep=("ingest_seq",))
