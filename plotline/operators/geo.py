@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from plotline.functions import address as A
 from plotline.functions import money as M
 from plotline.functions.text import blank
 from plotline.operators import filters as P
 from plotline.operators.gazetteer import city_of_district
-from plotline.operators.stats import first_per, join_back
+from plotline.operators.stats import first_per
 
 
 def clean_points(raw: DataFrame, city_key: str = "") -> DataFrame:
@@ -243,6 +243,6 @@ def city_points(points: DataFrame, limit: int | None = 5) -> DataFrame:
 def level_counts(geocoded: DataFrame) -> DataFrame:
     """Rows per level with their share of all rows, in percent."""
     per = geocoded.groupBy(F.coalesce("level", F.lit("none")).alias("level")).agg(F.count("*").alias("rows"))
-    total = per.agg(F.sum("rows").alias("total")).withColumn("k", F.lit(1))
-    out = join_back(per.withColumn("k", F.lit(1)), total, ["k"])
-    return out.select("level", "rows", M.rounded(F.col("rows") / F.col("total") * 100, 1).alias("pct"))
+    # A handful of levels, so the total over all of them is no burden.
+    total = F.sum("rows").over(Window.partitionBy(F.lit(1)))
+    return per.select("level", "rows", M.rounded(F.col("rows") / total * 100, 1).alias("pct"))

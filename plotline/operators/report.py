@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from plotline.functions import address as A, dates as D, money as M
 from plotline.functions.text import blank
 from plotline.operators import filters as P
-from plotline.operators.stats import join_back, positive_avg, top_per, upper_median, whole_avg
+from plotline.operators.stats import fixed_avg, join_back, positive_avg, top_per, upper_median, whole_avg
 
 
 def _positive(c: str) -> Column:
@@ -26,26 +26,26 @@ def summary(rows: DataFrame) -> DataFrame:
         whole_avg(F.col("price")).alias("avg_price"),
         _zero(F.min(_positive("price")), "long").alias("min_price"),
         _zero(F.max(_positive("price")), "long").alias("max_price"),
-        M.rounded(positive_avg(F.col("area_ping")), 2).alias("avg_ping"),
-        M.rounded(positive_avg(F.col("unit_price_ping")), 2).alias("avg_unit_price_ping"),
+        fixed_avg(F.col("area_ping"), 2, 2).alias("avg_ping"),
+        fixed_avg(F.col("unit_price_ping"), 2, 2).alias("avg_unit_price_ping"),
         M.rounded(_zero(F.min(_positive("unit_price_ping"))), 2).alias("min_unit_price_ping"),
         M.rounded(_zero(F.max(_positive("unit_price_ping"))), 2).alias("max_unit_price_ping"),
-        M.rounded(positive_avg(F.col("public_ratio")), 1).alias("avg_ratio"),
+        fixed_avg(F.col("public_ratio"), 1, 1).alias("avg_ratio"),
     )
 
 
 def community_summaries(rows: DataFrame, rounded: bool = True) -> DataFrame:
     """Per building project over display rows; blank names are left out."""
-    r = (lambda c, n: M.rounded(c, n)) if rounded else (lambda c, n: c)
+    r = lambda c, stored, n: fixed_avg(F.col(c), stored, n if rounded else None)
     return (
         rows.where(~blank("community_name"))
         .groupBy("community_name")
         .agg(
             F.count("*").alias("count"),
             whole_avg(F.col("price")).alias("avg_price"),
-            r(positive_avg(F.col("unit_price_ping")), 2).alias("avg_unit_price_ping"),
-            r(positive_avg(F.col("area_ping")), 1).alias("avg_ping"),
-            r(positive_avg(F.col("public_ratio")), 1).alias("avg_ratio"),
+            r("unit_price_ping", 2, 2).alias("avg_unit_price_ping"),
+            r("area_ping", 2, 1).alias("avg_ping"),
+            r("public_ratio", 1, 1).alias("avg_ratio"),
         )
     )
 
@@ -64,13 +64,19 @@ def spread(tx: DataFrame) -> DataFrame:
     base = used.agg(
         F.count("*").alias("total"),
         F.avg("price").alias("avg_price"), F.min("price").alias("min_price"), F.max("price").alias("max_price"),
-        M.rounded(F.avg("unit"), 1).alias("avg_unit"), F.min("unit").alias("min_unit"), F.max("unit").alias("max_unit"),
-        M.rounded(F.avg("ping"), 1).alias("avg_ping"), F.min("ping").alias("min_ping"), F.max("ping").alias("max_ping"),
-        M.rounded(F.avg("ratio"), 1).alias("avg_ratio"), F.min("ratio").alias("min_ratio"), F.max("ratio").alias("max_ratio"),
+        fixed_avg(F.col("unit"), 1, 1).alias("avg_unit"), F.min("unit").alias("min_unit"), F.max("unit").alias("max_unit"),
+        fixed_avg(F.col("ping"), 1, 1).alias("avg_ping"), F.min("ping").alias("min_ping"), F.max("ping").alias("max_ping"),
+        fixed_avg(F.col("ratio"), 1, 1).alias("avg_ratio"), F.min("ratio").alias("min_ratio"), F.max("ratio").alias("max_ratio"),
     )
-    one = lambda c: upper_median(used.withColumn("k", F.lit(1)), ["k"], c, f"median_{c}")
-    out = join_back(base.withColumn("k", F.lit(1)), one("price"), ["k"])
-    return join_back(out, one("unit"), ["k"]).drop("k")
+    # Both medians in one pass, as two groups of one long table.
+    measure = lambda n: F.struct(F.lit(n).alias("measure"), F.col(n).cast("double").alias("v"))
+    long = used.select(F.inline(F.array(measure("price"), measure("unit"))))
+    mid = upper_median(long, ["measure"], "v", "mid").agg(
+        F.max(F.when(F.col("measure") == "price", F.col("mid"))).cast("long").alias("median_price"),
+        F.max(F.when(F.col("measure") == "unit", F.col("mid"))).alias("median_unit"),
+    )
+    both = base.unionByName(mid, allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in both.columns])
 
 
 # --- trend ----------------------------------------------------------------
@@ -199,10 +205,10 @@ def map_groups(rows: DataFrame, as_of_roc_year: int) -> DataFrame:
         F.min("label").alias("label"),
         F.count("*").alias("count"),
         positive_avg(F.col("price")).alias("avg_price"),
-        positive_avg(F.col("unit_price_ping")).alias("avg_unit_price"),
+        fixed_avg(F.col("unit_price_ping"), 2).alias("avg_unit_price"),
         F.count_if("recent").alias("recent_count"),
         positive_avg(rec("price")).alias("recent_avg_price"),
-        positive_avg(rec("unit_price_ping")).alias("recent_avg_unit_price"),
+        fixed_avg(rec("unit_price_ping"), 2).alias("recent_avg_unit_price"),
     )
     out = join_back(base, upper_median(m, ["key"], "lat", "lat"), ["key"])
     out = join_back(out, upper_median(m, ["key"], "lng", "lng"), ["key"])

@@ -84,6 +84,19 @@ def positive_avg(col: Column) -> Column:
     return F.coalesce(F.avg(F.when(col > 0, col)), F.lit(0.0))
 
 
+def fixed_avg(col: Column, stored: int, digits: int | None = None) -> Column:
+    """Positive average of values kept with ``stored`` decimals, optionally rounded; 0 when none.
+
+    Summed as whole numbers, so the answer does not depend on the order of the rows.
+    """
+    used = F.when(col > 0, F.round(col * 10**stored, 0).cast("long"))
+    if digits is None:
+        mean = F.sum(used) / (F.count(used) * 10**stored)
+    else:
+        mean = F.round(F.sum(used) / (F.count(used) * 10 ** (stored - digits)), 0) / 10**digits
+    return F.coalesce(F.when(F.count(used) > 0, mean), F.lit(0.0))
+
+
 def whole_avg(col: Column) -> Column:
     """Average over the values above zero, rounded to a whole number."""
     return F.round(positive_avg(col), 0).cast("long")

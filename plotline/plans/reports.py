@@ -10,6 +10,12 @@ from plotline.plans.fixture import frame
 from plotline.plans.registry import CTES, query, variants
 from plotline.plans.rows import AS_OF, display
 
+# Averages of values with a fixed number of decimals, summed as whole numbers.
+def _fixed(c: str, stored: int, digits: int) -> str:
+    used = f"CASE WHEN {c} > 0 THEN CAST(round({c} * {10**stored}) AS BIGINT) END"
+    return f"coalesce(round(sum({used})::DOUBLE / (count({used}) * {10**(stored - digits)})) / {10**digits}.0E0, 0)"
+
+
 _POS = lambda f, c: f"{f}(CASE WHEN {c} > 0 THEN {c} END)"
 
 
@@ -25,9 +31,9 @@ _CENTS = lambda c, scale=100: f"floor({c} * {scale} + 0.0001E0) / {scale}.0E0"
 _SUMMARY = f"""
 count(*) AS total, CAST(coalesce(round({_POS('avg', 'price')}), 0) AS BIGINT) AS avg_price,
 coalesce({_POS('min', 'price')}, 0) AS min_price, coalesce({_POS('max', 'price')}, 0) AS max_price,
-coalesce(round({_POS('avg', 'area_ping')}, 2), 0) AS avg_ping, coalesce(round({_POS('avg', 'unit_price_ping')}, 2), 0) AS avg_unit_price_ping,
+{_fixed('area_ping', 2, 2)} AS avg_ping, {_fixed('unit_price_ping', 2, 2)} AS avg_unit_price_ping,
 coalesce(round({_POS('min', 'unit_price_ping')}, 2), 0) AS min_unit_price_ping, coalesce(round({_POS('max', 'unit_price_ping')}, 2), 0) AS max_unit_price_ping,
-coalesce(round({_POS('avg', 'public_ratio')}, 1), 0) AS avg_ratio"""
+{_fixed('public_ratio', 1, 1)} AS avg_ratio"""
 
 
 @query("a1_result_summary", f"SELECT {_SUMMARY} FROM display")
@@ -46,7 +52,7 @@ def _community_sql(avg) -> str:
     FROM display WHERE community_name <> '' GROUP BY community_name"""
 
 
-@query("a2_community_summaries", _community_sql(lambda c, n: f"coalesce(round({_POS('avg', c)}, {n}), 0)"))
+@query("a2_community_summaries", _community_sql(lambda c, n: _fixed(c, 1 if c == "public_ratio" else 2, n)))
 def _(spark, d):
     return Q.community_summaries(display(spark, d))
 
@@ -62,9 +68,9 @@ _MID = lambda c: f"list_sort(list({c}) FILTER (WHERE {c} IS NOT NULL))[CAST(coun
 @query(
     "a21_result_spread",
     f"""SELECT count(*) AS total, round(avg(price), 2) AS avg_price, {_MID('price')} AS median_price, min(price) AS min_price, max(price) AS max_price,
-    round(avg(unit), 1) AS avg_unit, {_MID('unit')} AS median_unit, min(unit) AS min_unit, max(unit) AS max_unit,
-    round(avg(ping), 1) AS avg_ping, min(ping) AS min_ping, max(ping) AS max_ping,
-    round(avg(ratio), 1) AS avg_ratio, min(ratio) AS min_ratio, max(ratio) AS max_ratio
+    {_fixed('unit', 1, 1)} AS avg_unit, {_MID('unit')} AS median_unit, min(unit) AS min_unit, max(unit) AS max_unit,
+    {_fixed('ping', 1, 1)} AS avg_ping, min(ping) AS min_ping, max(ping) AS max_ping,
+    {_fixed('ratio', 1, 1)} AS avg_ratio, min(ratio) AS min_ratio, max(ratio) AS max_ratio
     FROM (SELECT CASE WHEN total_price > 0 THEN total_price END AS price, unit_price_per_ping AS unit, ping, CASE WHEN public_ratio > 0 THEN public_ratio END AS ratio FROM computed) s""",
 )
 def _(spark, d):

@@ -52,6 +52,10 @@ def compare(spark, con, name: str, sf_dir: str) -> tuple[bool, str]:
 
     t = time.time()
     df = catalogue.QUERIES[name](spark, sf_dir)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    odd = [w for w in ("CartesianProduct", "BroadcastNestedLoopJoin", "EvalPython") if w in plan]
+    if odd:
+        print(f"     plan of {name} has {odd}")
     got = rows_of(df.columns, [tuple(r) for r in df.collect()])
     print(f"     spark {time.time() - t:.2f}s", end=" ", flush=True)
     sql = catalogue.ORACLES.get(name)
