@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from plotline.functions import address as A, dates as D, money as M
 from plotline.functions.text import blank
 from plotline.operators import filters as P
-from plotline.operators.stats import fixed_avg, join_back, positive_avg, top_per, upper_median, whole_avg
+from plotline.operators.stats import fixed_avg, join_back, positive_avg, top_per, upper_median, upper_medians, whole_avg
 
 
 def _positive(c: str) -> Column:
@@ -68,13 +68,8 @@ def spread(tx: DataFrame) -> DataFrame:
         fixed_avg(F.col("ping"), 1, 1).alias("avg_ping"), F.min("ping").alias("min_ping"), F.max("ping").alias("max_ping"),
         fixed_avg(F.col("ratio"), 1, 1).alias("avg_ratio"), F.min("ratio").alias("min_ratio"), F.max("ratio").alias("max_ratio"),
     )
-    # Both medians in one pass, as two groups of one long table.
-    measure = lambda n: F.struct(F.lit(n).alias("measure"), F.col(n).cast("double").alias("v"))
-    long = used.select(F.inline(F.array(measure("price"), measure("unit"))))
-    mid = upper_median(long, ["measure"], "v", "mid").agg(
-        F.max(F.when(F.col("measure") == "price", F.col("mid"))).cast("long").alias("median_price"),
-        F.max(F.when(F.col("measure") == "unit", F.col("mid"))).alias("median_unit"),
-    )
+    mid = upper_medians(used, [], {"median_price": F.col("price"), "median_unit": F.col("unit")})
+    mid = mid.withColumn("median_price", F.col("median_price").cast("long"))
     both = base.unionByName(mid, allowMissingColumns=True)
     return both.agg(*[F.max(c).alias(c) for c in both.columns])
 
@@ -210,10 +205,11 @@ def map_groups(rows: DataFrame, as_of_roc_year: int) -> DataFrame:
         positive_avg(rec("price")).alias("recent_avg_price"),
         fixed_avg(rec("unit_price_ping"), 2).alias("recent_avg_unit_price"),
     )
-    out = join_back(base, upper_median(m, ["key"], "lat", "lat"), ["key"])
-    out = join_back(out, upper_median(m, ["key"], "lng", "lng"), ["key"])
-    units = m.select("key", F.when(rec("unit_price_ping") > 0, F.col("unit_price_ping")).alias("u"))
-    out = join_back(out, upper_median(units, ["key"], "u", "recent_median_unit_price"), ["key"])
+    recent_unit = F.when(rec("unit_price_ping") > 0, F.col("unit_price_ping"))
+    mid = upper_medians(
+        m, ["key"], {"lat": F.col("lat"), "lng": F.col("lng"), "recent_median_unit_price": recent_unit}
+    )
+    out = join_back(base, mid, ["key"])
     return out.withColumn("recent_median_unit_price", _zero(F.col("recent_median_unit_price")))
 
 

@@ -60,6 +60,17 @@ def upper_median(df: DataFrame, keys: Sequence[str], value: str, name: str) -> D
     )
 
 
+def upper_medians(df: DataFrame, keys: Sequence[str], values: dict[str, Column]) -> DataFrame:
+    """Upper medians (DOUBLE) of several measures per key in one go: the measures become groups of one
+    long table, so the rows are read twice however many measures there are."""
+    measure = lambda n, c: F.struct(F.lit(n).alias("__m"), c.cast("double").alias("__x"))
+    long = df.select(*keys, F.inline(F.array(*[measure(n, c) for n, c in values.items()])))
+    mid = upper_median(long, [*keys, "__m"], "__x", "__mid")
+    return mid.groupBy(*keys).agg(
+        *[F.max(F.when(F.col("__m") == n, F.col("__mid"))).alias(n) for n in values]
+    )
+
+
 def with_count(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
     """Rows per key beside every row; counted first, so a hot key is one row on the join's other side."""
     return join_back(df, df.groupBy(*keys).agg(F.count("*").alias(name)), keys)
