@@ -63,40 +63,45 @@ def address_to_community(
 
     Levels: whole address, the same without the 之 part, up to the house number, that without 之,
     lane, road.  A named district (else the city) must agree.  Transactions are counted per key,
-    place and project before they meet the queries, so copies of one project cost one row.
+    place and project, and each key keeps its leading projects, before they meet the queries; so
+    neither copies of one project nor many queries for one road multiply the work.
     """
     q = address_queries(queries, text, gazetteer)
-    qk = _keyed(q, ["query_id", "q_district", "q_city"])
+    by_district = F.concat(F.lit("d:"), "q_district")
+    by_city = F.concat(F.lit("c:"), "q_city")
+    q = q.withColumn(
+        "place", F.when(~blank("q_district"), by_district).when(~blank("q_city"), by_city).otherwise("")
+    )
+    qk = _keyed(q, ["query_id", "place"])
     need_place = F.col("level").isin(*[lv for lv, _, _, _, need in _STEPS if need])
-    qk = stage(qk.where(~need_place | ~blank("q_district") | ~blank("q_city")), "link_keys")
-    asked = qk.select("level", "key").distinct()
+    qk = stage(qk.where(~need_place | (F.col("place") != "")), "link_keys")
     named = tx.where(~blank("community_name") & ~blank("address"))
     facts = named.select(
         "community_name", "district", "county_city", A.link_form("address").alias("__form")
     ).groupBy("community_name", "district", "county_city", "__form").agg(F.count("*").alias("n"))
-    known = (
-        _keyed(facts, ["community_name", "district", "county_city", "n"])
-        .join(asked, ["level", "key"], "left_semi")
-        .groupBy("level", "key", "community_name", "district", "county_city").agg(F.sum("n").alias("n"))
+    near = _keyed(facts, ["community_name", "district", "county_city", "n"]).join(
+        qk.select("level", "key").distinct(), ["level", "key"], "left_semi"
+    )
+    places = F.array(
+        F.concat(F.lit("d:"), F.coalesce("district", F.lit(""))),
+        F.concat(F.lit("c:"), F.coalesce("county_city", F.lit(""))), F.lit(""),
     )
-    place = F.when(~blank("q_district"), F.col("district") == F.col("q_district")).when(
-        ~blank("q_city"), F.col("county_city") == F.col("q_city")
-    ).otherwise(True)
-    hits = qk.join(known, ["level", "key"]).where(place)
-    votes = hits.groupBy("query_id", "level", "community_name").agg(
-        F.sum("n").alias("count"),
-        F.max_by("district", F.struct("n", "district")).alias("district"),
+    where = ["level", "key", "place"]
+    known = (
+        near.withColumn("place", F.explode(places)).join(qk.select(*where).distinct(), where, "left_semi")
+        .groupBy(*where, "community_name", "district").agg(F.sum("n").alias("n"))
+        .groupBy(*where, "community_name").agg(
+            F.sum("n").alias("count"), F.max_by("district", F.struct("n", "district")).alias("district")
+        )
     )
-    # One row per project and level by now, so a query's rows are few.
-    at = F.min("level").over(Window.partitionBy("query_id"))
-    best = votes.withColumn("__first", at).where("level = __first").drop("__first")
+    order = [F.col("count").desc(), F.col("community_name")]
+    leading = top_per(known, where, order, max(n for _, _, _, n, _ in _STEPS), rank="rank")
+    hits = qk.join(leading, where)
+    first = F.min("level").over(Window.partitionBy("query_id"))
+    best = hits.withColumn("__first", first).where("level = __first")
     conf = F.create_map(*[F.lit(x) for lv, _, c, _, _ in _STEPS for x in (lv, c)])
     cap = F.create_map(*[F.lit(x) for lv, _, _, n, _ in _STEPS for x in (lv, n)])
-    out = top_per(
-        best, ["query_id"], [F.col("count").desc(), F.col("community_name")],
-        max(n for _, _, _, n, _ in _STEPS), rank="rank",
-    )
-    return out.where((F.col("rank") <= cap[F.col("level")]) & (F.col("rank") <= top_n)).select(
+    return best.where((F.col("rank") <= cap[F.col("level")]) & (F.col("rank") <= top_n)).select(
         "query_id", "community_name", conf[F.col("level")].alias("confidence"), "count", "district", "rank"
     )
 
