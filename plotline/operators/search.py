@@ -134,35 +134,41 @@ def search_structured(
 
 
 def _ranked(hits: DataFrame, tx: DataFrame, filters: P.Filters | None, sort_by: str, limit: int | None) -> DataFrame:
-    """Rows for (query_id, id) pairs: counted, filtered, ordered and cut per query."""
+    """Rows for (ask, id) pairs: counted, filtered, ordered and cut per distinct search text."""
     rows = hits.join(R.with_computed(tx.where(~blank("address"))), "id")
-    counts = rows.groupBy("query_id", "address").agg(F.count("*").alias("addr_count"))
+    counts = rows.groupBy("ask", "address").agg(F.count("*").alias("addr_count"))
     if filters is not None:
         rows = rows.where(P.computed_filters(filters))
     if sort_by == "count":
-        rows = join_back(rows, counts, ["query_id", "address"])
+        rows = join_back(rows, counts, ["ask", "address"])
     if limit is not None:
-        rows = top_per(rows, ["query_id"], R.result_order(sort_by), limit, rank="position")
+        rows = top_per(rows, ["ask"], R.result_order(sort_by), limit, rank="position")
     if sort_by != "count":
-        rows = join_back(rows, counts, ["query_id", "address"])
+        rows = join_back(rows, counts, ["ask", "address"])
     return rows
 
 
 def search_phrase(tx, parsed, filters=None, sort_by="date", limit=200) -> DataFrame:
-    """Rows whose *normalised* address contains the normalised search text."""
+    """Rows whose *normalised* address contains the normalised search text.
+
+    Queries with the same text share one search.
+    """
     texts = tx.select("id", A.normalize("address").alias("text"))
-    phrases = parsed.select("query_id", F.col("q_normal").alias("phrase"))
-    hits = X.contains_join(texts, phrases, "id", "text", "query_id", "phrase")
-    return _ranked(hits.withColumnRenamed("phrase_id", "query_id"), tx, filters, sort_by, limit)
+    asks = parsed.select(F.col("q_normal").alias("ask")).distinct()
+    hits = X.contains_join(texts, asks, "id", "text", "ask", "ask").withColumnRenamed("phrase_id", "ask")
+    rows = _ranked(hits, tx, filters, sort_by, limit)
+    return parsed.select("query_id", F.col("q_normal").alias("ask")).join(rows, "ask").drop("ask")
 
 
 def search_variants(
     tx, queries, filters=None, sort_by="date", limit=200, text: str = "query_text", variants: int = 8
 ) -> DataFrame:
     """Rows whose raw address contains one of the first ``variants`` spellings of the text."""
-    spelled = queries.select("query_id", F.explode(F.slice(A.variants(text), 1, variants)).alias("phrase"))
-    hits = X.contains_join(tx, spelled, "id", "address", "query_id", "phrase")
-    return _ranked(hits.withColumnRenamed("phrase_id", "query_id"), tx, filters, sort_by, limit)
+    asks = queries.select(F.col(text).alias("ask")).distinct()
+    spelled = asks.select("ask", F.explode(F.slice(A.variants("ask"), 1, variants)).alias("phrase"))
+    hits = X.contains_join(tx, spelled, "id", "address", "ask", "phrase").withColumnRenamed("phrase_id", "ask")
+    rows = _ranked(hits, tx, filters, sort_by, limit)
+    return queries.select("query_id", F.col(text).alias("ask")).join(rows, "ask").drop("ask")
 
 
 def search_addresses(
