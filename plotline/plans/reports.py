@@ -387,6 +387,11 @@ def _(spark, d):
 
 @query(
     "c3_range_texts",
+    """SELECT norm, concat(string_agg(formatted, '；' ORDER BY rn) FILTER (WHERE rn <= 5), CASE WHEN count(*) > 5 THEN concat('；...還有 ', count(*) - 5, ' 條路段') ELSE '' END) AS summary
+    FROM (SELECT *, row_number() OVER (PARTITION BY norm ORDER BY count DESC, road) AS rn, CASE WHEN count <= 10 THEN concat(road, array_to_string(nums, '、'), '號') ELSE concat(road, first, '～', last, '號（共', count, '個門牌）') END AS formatted
+    FROM (SELECT upper(translate(trim(community_name), 'Ａｂ', 'Ab')) AS norm, concat(street, CASE WHEN lane <> '' THEN concat(lane, '巷') ELSE '' END, CASE WHEN lane <> '' AND alley <> '' THEN concat(alley, '弄') ELSE '' END) AS road,
+      count(DISTINCT number) AS count, min(CAST(number AS INT)) AS first, max(CAST(number AS INT)) AS last,
+      list_sort(list_distinct(list(CAST(number AS INT)))) AS nums FROM tx_addr WHERE community_name <> '' GROUP BY ALL) x) y GROUP BY norm""",
 )
 def _(spark, d):
     ranges = C.address_ranges(C.community_index(frame(spark, d, "tx_addr")))

@@ -849,7 +849,25 @@ def _(spark, d):
     return c.select("id", "c.*", "band", "legacy")
 
 
-@query("m5_projected_coords")
+def _tm2_sql() -> str:
+    """The inverse TM2 series as SQL, over 150,000 m.. east and 2,500,000 m.. north."""
+    a, f = 6378137.0, 1 / 298.257222101
+    b = a * (1 - f)
+    e2 = (a * a - b * b) / (a * a)
+    e1 = (1 - (1 - e2) ** 0.5) / (1 + (1 - e2) ** 0.5)
+    n = lambda x: f"({x!r}::DOUBLE)"
+    m = a * (1 - e2 / 4 - 3 * e2**2 / 64 - 5 * e2**3 / 256)
+    j = [3 * e1 / 2 - 27 * e1**3 / 32, 21 * e1**2 / 16 - 55 * e1**4 / 32, 151 * e1**3 / 96, 1097 * e1**4 / 512]
+    foot = "mu + " + " + ".join(f"{n(c)} * sin({k} * mu)" for k, c in zip((2, 4, 6, 8), j))
+    return f"""SELECT id,
+    round(degrees(fp - (n1 * tan(fp) / r1) * (d**2 / 2 - (5 + 3*t + 10*c - 4*c*c - 9*{n(e2)}) * d**4 / 24 + (61 + 90*t + 298*c + 45*t*t - 252*{n(e2)} - 3*c*c) * d**6 / 720)), 7) AS lat,
+    round(degrees(radians(121.0::DOUBLE) + (d - (1 + 2*t + c) * d**3 / 6 + (5 - 2*c + 28*t - 3*c*c + 8*{n(e2)} + 24*t*t) * d**5 / 120) / cos(fp)), 7) AS lng
+    FROM (SELECT *, (x - 250000.0::DOUBLE) / (n1 * 0.9999::DOUBLE) AS d FROM (
+      SELECT *, {n(e2)} * cos(fp)**2 / {n(1 - e2)} AS c, tan(fp)**2 AS t, {n(a * (1 - e2))} / (1 - {n(e2)} * sin(fp)**2)**1.5 AS r1, {n(a)} / sqrt(1 - {n(e2)} * sin(fp)**2) AS n1 FROM (
+        SELECT id, x, {foot} AS fp FROM (SELECT id, 150000.0::DOUBLE + id % 2000 * 100 AS x, (2500000.0::DOUBLE + id % 3000 * 90) / 0.9999::DOUBLE / {n(m)} AS mu FROM tx_addr) q0) q1) q2) q3"""
+
+
+@query("m5_projected_coords", _tm2_sql())
 def _(spark, d):
     # Positions are laid out in metres around the zone's centre.
     lat, lng = M.tm2_to_wgs84(F.expr("150000E0 + id % 2000 * 100"), F.expr("2500000E0 + id % 3000 * 90"))

@@ -280,7 +280,23 @@ def _keyword(spark, d, limit=100):
     return S.keyword_search(tx, q, linked, limit=limit)
 
 
-@query("e5_keyword_search")
+CTES["lead_names"] = """
+SELECT query_id, community_name FROM (SELECT query_id, community_name, row_number() OVER (PARTITION BY query_id ORDER BY count(*) DESC, community_name) AS rn
+  FROM (SELECT *, min(level) OVER (PARTITION BY query_id) AS best FROM link_hits WHERE query_id < 1000000) x WHERE level = best GROUP BY query_id, community_name) y WHERE rn = 1"""
+CTES["by_project"] = f"""
+SELECT query_id, id, 0 AS path, rn FROM (SELECT l.query_id, t.id, row_number() OVER (PARTITION BY l.query_id ORDER BY {_DATE}) AS rn
+  FROM lead_names l JOIN computed t ON t.community_name = l.community_name) x WHERE rn <= 100"""
+CTES["by_address"] = f"""
+SELECT query_id, id, 1 AS path, position AS rn FROM ({_CASCADE('query_id < 1000000', _DATE, 100)}) x"""
+
+
+@query(
+    "e5_keyword_search",
+    """SELECT query_id, id, CAST(path AS INT) AS path, CAST(position AS INT) AS position FROM (
+    SELECT u.*, row_number() OVER (PARTITION BY u.query_id ORDER BY path, rn, u.id) AS position FROM (
+      SELECT query_id, id, min(path) AS path, arg_min(rn, path) AS rn FROM (SELECT * FROM by_project UNION ALL SELECT * FROM by_address) p GROUP BY query_id, id) u
+    JOIN query_table q ON q.query_id = u.query_id JOIN tx_addr t ON t.id = u.id WHERE contains(t.district, q.district) OR contains(t.address, q.district)) r WHERE position <= 100""",
+)
 def _(spark, d):
     return _keyword(spark, d).select("query_id", "id", "path", "position")
 
