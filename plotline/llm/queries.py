@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plotline.llm import decontaminate, line_dedup, packing
+from plotline.llm import decontaminate, jaccard, line_dedup, packing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -90,3 +90,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_decontamination", OP10_SQL)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.summary(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op2_ngram_jaccard")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
