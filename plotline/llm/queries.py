@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plotline.llm import decontaminate, jaccard, line_dedup, packing
+from plotline.llm import decontaminate, fingerprints, jaccard, language, line_dedup, packing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -95,3 +95,15 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_ngram_jaccard")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+@query("op3_fingerprints")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_with_next(table(spark, sf_dir, "documents"))
+
+
+@query("op7_language_id")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.train(docs.where(~language.held_out(F.col("doc_id"), 4, 2)))
+    return language.predict(docs, model).select("doc_id", language.held_out(F.col("doc_id"), 4, 2).alias("held_out"), "lang_pred", "score")
