@@ -17,13 +17,13 @@ shingle" - one of these look-ups must succeed for every similar set.
 
 Signatures travel as packed arrays (8 bytes each), one Spark row per task and target group.  In a group, sets
 that share a signature are linked to one centre, the one that shares most, never to each other; only sets that
-turn out *not* similar to their centre are compared with the rest of their bucket, after a bound on the symmetric
-difference (64 counters per set) has been applied.  No link is lost and copies are not expanded into pairs.
+turn out *not* to be connected with their centre are compared with the others that met it, after a bound on the
+symmetric difference (counters per hash range) has been applied.  No link is lost and copies are not expanded into pairs.
 Equal sets are one class throughout, known by a 64-bit digest of their shingles.
 
 Defined cases: NULL, empty and wordless texts have an empty set and are linked with nothing; shorter texts are one
-shingle; rows that repeat a ``doc_id`` are one vertex, each row is returned; rows without ``doc_id`` are
-returned without a component; an empty table gives no rows.  Extra columns are ignored.
+shingle; each of several rows with one ``doc_id`` is returned with the component of its own text; rows without
+``doc_id`` link nothing and are returned without a component; an empty table gives no rows.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -46,7 +46,6 @@ THRESHOLD = (4, 5)
 GROUP_ENTRIES = 1_500_000
 FLUSH_ENTRIES = 1_000_000
 BLOCK = 20_000
-COUNTERS = 64
 _WASTE = 5.0  # cost of a useless candidate in signatures
 _PROBE, _EXACT, _LOCAL = 0x8000, 0x4000, 0x3FFF
 
@@ -173,8 +172,19 @@ def digest(s: np.ndarray) -> int:
 
 
 def counters(s: np.ndarray) -> bytes:
-    """Shingles per 64th of a second hash, at most 255: the L1 distance of two bounds their difference from below."""
-    return np.minimum(np.bincount((mix(s) >> np.uint64(58)).astype(np.int64), minlength=COUNTERS), 255).astype(np.uint8).tobytes()
+    """Shingles per range of a second hash, at most 255, in one to two times as many ranges as there are shingles.
+
+    The L1 distance of two sets' counters bounds the number of shingles in which they differ from below.
+    """
+    bits = max(6, int(np.ceil(np.log2(max(1, len(s))))))
+    at = (mix(s) >> np.uint64(64 - bits)).astype(np.int64)
+    return np.minimum(np.bincount(at, minlength=1 << bits), 255).astype(np.uint8).tobytes()
+
+
+def folded(rows: list[bytes]) -> np.ndarray:
+    """Counters of several sets in the number of ranges of the smallest; sums of neighbours keep the bound."""
+    size = min(map(len, rows))
+    return np.stack([np.frombuffer(r, np.uint8).reshape(size, -1).sum(axis=1, dtype=np.int32) for r in rows])
 
 
 def describe(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -257,8 +267,8 @@ def _joined(held: list, owners: list[int]) -> tuple[np.ndarray, np.ndarray, np.n
     return sig, np.array(owners, np.int64), who, flags
 
 
-def buckets(group: pa.Table) -> pa.Table:
-    """Star edges and buckets of three or more of one group of signatures.
+def stars(group: pa.Table) -> pa.Table:
+    """Candidate pairs ``(centre, other)`` of one group of signatures.
 
     A bucket is a run of equal signatures with at least one look-up and one whole subset; its centre is the set that
     meets most others in this group.
@@ -277,7 +287,7 @@ def buckets(group: pa.Table) -> pa.Table:
     same = sig[1:] == sig[:-1]
     many = np.concatenate([[False], same]) | np.concatenate([same, [False]])
     sig, flag, who = sig[many], flag[many], who[many]
-    edges, lists = np.zeros((0, 2), np.int64), []
+    pair = np.zeros((0, 2), np.int64)
     if len(sig):
         order = np.lexsort((who, sig))
         sig, flag, who = sig[order], flag[order], who[order]
@@ -286,36 +296,24 @@ def buckets(group: pa.Table) -> pa.Table:
         sig, who = sig[first], who[first]
         run = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
         size = np.diff(np.append(run, len(sig)))
-        met = np.bitwise_or.reduceat(flag, run)
-        good = (size > 1) & (met == (_PROBE | _EXACT))
-        keep = np.repeat(good, size)
-        sig, who, size = sig[keep], who[keep], size[good]
-        if len(sig):
-            edges, lists = _stars(who, size)
-    kinds = pa.array(np.concatenate([np.zeros(len(edges), np.int32), np.ones(len(lists), np.int32)]))
-    a = pa.array(np.concatenate([edges[:, 0], np.array([c for c, _, _ in lists], np.int64)]))
-    b = pa.array(np.concatenate([edges[:, 1], np.array([k for _, k, _ in lists], np.int64)]))
-    members = pa.array([None] * len(edges) + [m for _, _, m in lists], pa.list_(pa.int64()))
-    return pa.table({"kind": kinds, "a": a, "b": b, "members": members})
-
-
-def _stars(who: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, np.ndarray]]]:
-    names, back = np.unique(who, return_inverse=True)
+        good = (size > 1) & (np.bitwise_or.reduceat(flag, run) == (_PROBE | _EXACT))
+        who, size = who[np.repeat(good, size)], size[good]
+        if len(who):
+            pair = _centred(who, size)
+    return pa.table({"a": pair[:, 0], "b": pair[:, 1]})
+
+
+def _centred(who: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Distinct pairs of each bucket's centre and its other members; ``who`` lists the buckets' members."""
+    _, back = np.unique(who, return_inverse=True)
     meets = np.bincount(back, weights=np.repeat(size - 1, size))[back]
     run = np.repeat(np.arange(len(size)), size)
     order = np.lexsort((who, -meets, run))
-    start = np.cumsum(size) - size
-    centre = who[order][start]
+    centre = who[order][np.cumsum(size) - size]
     pair = np.stack([centre[run], who], axis=1)
     pair = pair[pair[:, 0] != pair[:, 1]]
     pair = pair[np.lexsort((pair[:, 1], pair[:, 0]))]
-    pair = pair[np.concatenate([[True], (pair[1:] != pair[:-1]).any(axis=1)])]
-    # Equal member lists are kept once, under a sum of member hashes.
-    with np.errstate(over="ignore"):
-        key = mix(np.add.reduceat(mix(who.view(np.uint64)), start)).view(np.int64)
-    _, one = np.unique(key, return_index=True)
-    lists = [(int(centre[i]), int(key[i]), who[start[i] : start[i] + size[i]]) for i in one.tolist() if size[i] > 2]
-    return pair, lists
+    return pair[np.concatenate([[True], (pair[1:] != pair[:-1]).any(axis=1)])]
 
 
 def similar(a: int, b: int, both: int, t: tuple[int, int]) -> bool:
@@ -330,8 +328,11 @@ def _bounded(pairs: DataFrame, nodes: DataFrame, t: tuple[int, int]) -> DataFram
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             na, nb = (batch.column(c).to_numpy() for c in ("na", "nb"))
-            ca, cb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, COUNTERS).astype(np.int16) for c in ("ca", "cb"))
-            ok = (t[1] * np.minimum(na, nb) >= t[0] * np.maximum(na, nb)) & (np.abs(ca - cb).sum(axis=1) <= differing(na + nb, t))
+            ok = t[1] * np.minimum(na, nb) >= t[0] * np.maximum(na, nb)
+            ca, cb = batch.column("ca"), batch.column("cb")
+            for i in np.flatnonzero(ok).tolist():
+                x, y = folded([ca[i].as_py(), cb[i].as_py()])
+                ok[i] = np.abs(x - y).sum() <= differing(na[i] + nb[i], t)
             yield pa.record_batch([batch.column("a"), batch.column("b"), pa.array(ok)], names=["a", "b", "maybe"])
 
     return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "ca", "cb").mapInArrow(run, "a long, b long, maybe boolean")
@@ -359,72 +360,86 @@ def _verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, t: tuple[int, i
     return checked.groupBy("a", "b").agg(F.max("linked").alias("linked"))
 
 
-def _rest(lists: DataFrame, missed: DataFrame, nodes: DataFrame, t: tuple[int, int]) -> DataFrame:
-    """Pairs that the stars leave open: a set that is not similar to its centre against the others of its bucket."""
-    centres = missed.select("a").distinct()
-    open_ = lists.join(centres, "a", "left_semi").select("a", "b", "members", F.ceil(F.size("members") / BLOCK).cast("int").alias("blocks"))
-    member = open_.select("a", F.col("b").alias("bucket"), "blocks", F.explode("members").alias("c"))
+def _rest(tried: DataFrame, missed: DataFrame, nodes: DataFrame, t: tuple[int, int]) -> DataFrame:
+    """Pairs that the stars leave open: of the sets that met a centre, those that are not connected with it
+    (``missed``) against the others with another ``label``.
+
+    The sets that met a centre are dealt to blocks, the missed ones go to every block.
+    """
+    pairs = tried.join(missed.select("a").distinct(), "a", "left_semi")
+    blocks = pairs.groupBy(F.col("a").alias("ba")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     flags = missed.select(F.col("a").alias("fa"), F.col("b").alias("fb"))
-    member = member.join(flags, (F.col("a") == F.col("fa")) & (F.col("c") == F.col("fb")), "left").where("c <> a")
-    facts = nodes.select(F.col("class").alias("c"), "n_shingles", "counts")
-    member = member.select("bucket", "blocks", "c", F.col("fb").isNotNull().alias("missed")).join(facts, "c")
-    own = F.array(F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
-    dealt = member.select(
-        "bucket", "c", "n_shingles", "counts", "missed",
-        F.explode(F.when(F.col("missed"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(own)).alias("block"),
-        F.element_at(own, 1).alias("home"),
-    )
+    pairs = pairs.join(blocks, F.col("a") == F.col("ba")).join(flags, (F.col("a") == F.col("fa")) & (F.col("b") == F.col("fb")), "left")
+    facts = nodes.select(F.col("class").alias("c"), "n_shingles", "counts", "label")
+    home = F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int")
+    places = F.when(F.col("fb").isNotNull(), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(home))
+    dealt = pairs.select(F.col("a").alias("centre"), F.col("b").alias("c"), F.col("fb").isNotNull().alias("missed"), home.alias("home"), F.explode(places).alias("block"))
 
     def run(group: pa.Table) -> pa.Table:
-        cls, n, missed_, home, block = (group.column(c).to_numpy(zero_copy_only=False) for c in ("c", "n_shingles", "missed", "home", "block"))
-        counts = np.frombuffer(b"".join(group.column("counts").to_pylist()), np.uint8).reshape(-1, COUNTERS).astype(np.int16)
+        names = ("c", "n_shingles", "label", "missed", "home", "block")
+        cls, n, label, open_, home, block = (group.column(c).to_numpy(zero_copy_only=False) for c in names)
+        counts = folded(group.column("counts").to_pylist())
         there = np.flatnonzero(home == block)
-        found = []
-        for i in np.flatnonzero(missed_):
-            ok = there[(t[1] * np.minimum(n[i], n[there]) >= t[0] * np.maximum(n[i], n[there])) & (cls[there] != cls[i])]
-            ok = ok[np.abs(counts[ok] - counts[i]).sum(axis=1) <= differing(n[ok] + n[i], t)]
-            found.append(np.stack([np.minimum(cls[ok], cls[i]), np.maximum(cls[ok], cls[i])], axis=1))
-        pair = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+        found = [np.zeros((0, 2), np.int64)]
+        for i in np.flatnonzero(open_):
+            ok = there[(t[1] * np.minimum(n[i], n[there]) >= t[0] * np.maximum(n[i], n[there])) & (label[there] != label[i])]
+            for j in range(0, len(ok), 1000):
+                some = ok[j : j + 1000]
+                some = some[np.abs(counts[some] - counts[i]).sum(axis=1) <= differing(n[some] + n[i], t)]
+                found.append(np.stack([np.minimum(cls[some], cls[i]), np.maximum(cls[some], cls[i])], axis=1))
+        pair = np.unique(np.concatenate(found), axis=0)
         return pa.table({"a": pair[:, 0], "b": pair[:, 1]})
 
-    return dealt.groupBy("bucket", "block").applyInArrow(run, "a long, b long").distinct()
+    return dealt.join(facts, "c").groupBy("centre", "block").applyInArrow(run, "a long, b long").distinct()
 
 
-def links(docs: DataFrame, described: DataFrame, t: tuple[int, int] = THRESHOLD, width: int = WIDTH) -> DataFrame:
-    """Links ``(a, b)`` between classes whose closure is that of all links of similarity ``t``."""
+def labels(docs: DataFrame, described: DataFrame, t: tuple[int, int] = THRESHOLD, width: int = WIDTH) -> DataFrame:
+    """``(class, label)``: the same label exactly for classes that links of similarity ``t`` connect."""
     sized = described.where("class is not null and doc_id is not null")
-    nodes = stage(sized.groupBy("class").agg(F.first("n_shingles").alias("n_shingles"), F.first("counts").alias("counts"), F.min("doc_id").alias("doc")), "classes")
+    facts = [F.first("n_shingles").alias("n_shingles"), F.first("counts").alias("counts"), F.min("doc_id").alias("doc")]
+    nodes = stage(sized.groupBy("class").agg(*facts), "classes")
+    bands, groups = _layout(nodes, t)
+    docs = docs.where(F.col("doc_id").isNotNull())
+    met = index(docs, bands, groups, t, width).groupBy("g").applyInArrow(stars, "a long, b long").distinct()
+    tried = stage(_bounded(met, nodes, t), "tried")
+    first = stage(_verify(tried.where("maybe").select("a", "b"), docs, nodes, t, width), "verified")
+    nodes = stage(_labelled(nodes, connected(first.where("linked"))), "labelled")
+    missed = tried.where("not maybe").select("a", "b").unionByName(first.where("not linked").select("a", "b"))
+    own = nodes.select(F.col("class").alias("a"), F.col("label").alias("la"))
+    other = nodes.select(F.col("class").alias("b"), F.col("label").alias("lb"))
+    missed = missed.join(own, "a").join(other, "b").where("la <> lb").select("a", "b")
+    known = tried.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
+    open_ = _rest(tried, missed, nodes, t)
+    open_ = stage(open_.join(known, (F.col("a") == F.col("x")) & (F.col("b") == F.col("y")), "left_anti"), "open")
+    second = _verify(open_, docs, nodes, t, width).where("linked").join(own, "a").join(other, "b")
+    joined = connected(second, "la", "lb").select(F.col("node").alias("old"), F.col("label").alias("new"))
+    return nodes.join(joined, F.col("label") == F.col("old"), "left").select("class", F.coalesce("new", "label").alias("label"))
+
+
+def _labelled(nodes: DataFrame, found: DataFrame) -> DataFrame:
+    return nodes.join(found, F.col("class") == F.col("node"), "left").select(*nodes.columns, F.coalesce("label", "class").alias("label"))
+
+
+def _layout(nodes: DataFrame, t: tuple[int, int]) -> tuple[list[Band], int]:
+    """Band layouts from the sizes of all sets, and the number of groups their signatures are dealt to."""
     largest = nodes.agg(F.max("n_shingles")).first()[0] or 0
     edges = band_edges(largest, t)
-    upper = F.lit(len(edges))
+    number = F.lit(len(edges))
     for k, (_, hi) in reversed(list(enumerate(edges))):
-        upper = F.when(F.col("n_shingles") <= hi, F.lit(k)).otherwise(upper)
-    sizes = {r[0]: r[1] for r in nodes.groupBy(upper.alias("k")).count().collect()} if edges else {}
+        number = F.when(F.col("n_shingles") <= hi, F.lit(k)).otherwise(number)
+    sizes = {r[0]: r[1] for r in nodes.groupBy(number.alias("k")).count().collect()}
     bands = plan_bands(sizes, largest, t)
-    entries = sum(sizes.get(k, 0) * (b.m + 2 * b.g * b.hi / max(1, b.m)) + sizes.get(k + 1, 0) * (b.m + 2 * b.g * b.top / max(1, b.m)) for k, b in enumerate(bands))
-    groups = max(1, math.ceil(entries / GROUP_ENTRIES))
-    named = docs.where(F.col("doc_id").isNotNull())
-    met = stage(
-        index(named, bands, groups, t, width).groupBy("g").applyInArrow(buckets, "kind int, a long, b long, members array<long>"), "met"
-    )
-    tried = stage(_bounded(met.where("kind = 0").select("a", "b").distinct(), nodes, t), "tried")
-    first = stage(_verify(tried.where("maybe").select("a", "b"), named, nodes, t, width), "verified")
-    missed = tried.where("not maybe").select("a", "b").unionByName(first.where("not linked").select("a", "b"))
-    lists = met.where("kind = 1").dropDuplicates(["b"]).select("a", "b", "members")
-    more = _rest(lists, missed, nodes, t)
-    known = tried.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
-    more = stage(more.join(known, (F.col("a") == F.col("x")) & (F.col("b") == F.col("y")), "left_anti"), "open")
-    second = _verify(more, named, nodes, t, width)
-    return first.where("linked").select("a", "b").unionByName(second.where("linked").select("a", "b"))
+    each = [b.m + 2 * b.g * b.top / max(1, b.m) for b in bands]
+    entries = sum((sizes.get(k, 0) + sizes.get(k + 1, 0)) * e for k, e in enumerate(each))
+    return bands, max(1, math.ceil(entries / GROUP_ENTRIES))
 
 
 def components(docs: DataFrame, t: tuple[int, int] = THRESHOLD, width: int = WIDTH) -> DataFrame:
     """``(doc_id, n_shingles, class, component_id)`` per row of ``docs``."""
-    docs = docs.select("doc_id", "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     described = stage(describe(docs, width), "described")
-    label = connected(links(docs, described, t, width))
-    rows = described.select("doc_id", "n_shingles", "class").join(label, F.col("class") == F.col("node"), "left")
-    rows = rows.select("doc_id", "n_shingles", "class", F.coalesce("label", "class").alias("label"))
+    label = labels(docs, described, t, width).select(F.col("class").alias("c"), "label")
+    rows = described.select("doc_id", "n_shingles", "class").join(label, F.col("class") == F.col("c"), "left")
     least = rows.where("label is not null").groupBy(F.col("label").alias("l")).agg(F.min("doc_id").alias("least"))
     return rows.join(least, F.col("label") == F.col("l"), "left").select(
         "doc_id", "n_shingles", "class", F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")).alias("component_id")
