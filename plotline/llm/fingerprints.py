@@ -70,9 +70,9 @@ def low_bits(col: pa.Array, bins: int = BINS, width: int = WIDTH) -> list[np.nda
     return out
 
 
-def packed(bits: np.ndarray | None) -> str:
-    """Two bins per byte, in base 64."""
-    return "" if bits is None else base64.b64encode((bits[0::2] << 4 | bits[1::2]).tobytes()).decode()
+def packed(bits: np.ndarray | None) -> bytes:
+    """Two bins per byte."""
+    return b"" if bits is None else (bits[0::2] << 4 | bits[1::2]).tobytes()
 
 
 def unpacked(text: str) -> np.ndarray | None:
@@ -95,9 +95,10 @@ def fingerprint(docs: DataFrame, bins: int = BINS) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             prints = [packed(b) for b in low_bits(batch.column("text"), bins)]
-            yield pa.record_batch([batch.column("doc_id"), pa.array(prints, pa.string())], names=["doc_id", "fingerprint"])
+            yield pa.record_batch([batch.column("doc_id"), pa.array(prints, pa.binary())], names=["doc_id", "fingerprint"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fingerprint string")
+    rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fingerprint binary")
+    return rows.withColumn("fingerprint", F.base64("fingerprint"))
 
 
 def edited_text(text: str, following: str) -> str:
@@ -106,7 +107,7 @@ def edited_text(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k]
 
 
-RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 _FIELDS = [c.split()[0] for c in RESULT.split(", ")]
 
 
@@ -119,7 +120,7 @@ def _rows(ids: list, texts: list[str], prints: list) -> pa.RecordBatch:
         [
             pa.array(ids[:-1], pa.int64()), pa.array([len(t) for t in texts[:-1]], pa.int64()),
             pa.array([hashlib.sha256(t.encode()).hexdigest() for t in edited], pa.string()),
-            pa.array([packed(p) for p in own], pa.string()), pa.array([packed(p) for p in other], pa.string()),
+            pa.array([packed(p) for p in own], pa.binary()), pa.array([packed(p) for p in other], pa.binary()),
             pa.array([likeness(a, b) for a, b in zip(own, other, strict=True)], pa.float64()),
             pa.array([likeness(a, b) for a, b in zip(own, prints[1:], strict=True)], pa.float64()),
         ],
@@ -142,7 +143,7 @@ def _walk(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     blank = [None] * (len(_FIELDS) - 1)
 
     def edge(kind: str, name, text: str) -> pa.RecordBatch:
-        kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+        kinds = [pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.float64(), pa.float64()]
         cols = [pa.array([name], pa.int64()), *[pa.array([v], k) for v, k in zip(blank, kinds, strict=True)]]
         return _with_edge(pa.record_batch(cols, names=_FIELDS), kind, part, text)
 
@@ -164,7 +165,7 @@ def _meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def compare_with_next(docs: DataFrame) -> DataFrame:
-    """Fingerprints of every text and its edited text, and their likeness (:data:`RESULT`)."""
+    """Fingerprints of every text and its edited text in base 64, and their likeness (:data:`RESULT`)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     order = [F.col("doc_id").desc_nulls_last(), F.xxhash64("text")]
     dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
@@ -176,4 +177,5 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
     heads = done.where("edge = 'first'").select(F.col("part").alias("h"), F.col("text").alias("following"))
     ends = done.where("edge = 'last'").select("doc_id", "text", "part").join(after, F.col("part") == F.col("p"))
     ends = ends.join(heads, F.col("after") == F.col("h")).select("doc_id", "text", "following")
-    return done.where("edge is null").select(*_FIELDS).unionByName(ends.mapInArrow(_meet, RESULT))
+    out = done.where("edge is null").select(*_FIELDS).unionByName(ends.mapInArrow(_meet, RESULT))
+    return out.withColumns({c: F.base64(c) for c in ("fingerprint", "edited_fingerprint")})

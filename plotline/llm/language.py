@@ -23,8 +23,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
+from plotline.llm.sampling import bounded
 from plotline.llm.textops import slices
 
 ORDER = 3
@@ -55,16 +56,10 @@ def normalised(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return out[keep], place[first]
 
 
-def held_out(doc_id: Column, parts: int, part: int) -> Column:
-    """Whether ``crc32`` of the id as text falls into ``part`` of ``parts``."""
-    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % parts == part, F.lit(False))
-
-
 def sample(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE) -> DataFrame:
     """At most ``per_language`` labelled documents of each language, chosen by a hash of the row."""
-    rows = docs.where("lang is not null and text is not null").select("lang", "text")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("text"), F.length("text")))
-    return rows.withColumn("__r", rank).where(F.col("__r") <= per_language).drop("__r")
+    rows = docs.where("lang is not null and text is not null").select("doc_id", "lang", "text")
+    return bounded(rows, "lang", per_language).select("lang", "text")
 
 
 def gram_counts(rows: DataFrame, order: int = ORDER) -> DataFrame:

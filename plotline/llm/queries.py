@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plotline.llm import decontaminate, fingerprints, jaccard, language, line_dedup, packing
+from plotline.llm import decontaminate, fingerprints, jaccard, language, line_dedup, packing, quality, toxicity
+from plotline.llm.sampling import held_out
+from plotline.llm.shipping import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,7 +31,11 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def add(fn: Query) -> Query:
-        QUERIES[name] = fn
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return fn(spark, sf_dir)
+
+        QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = sql
         return fn
@@ -105,5 +111,19 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_language_id")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = language.train(docs.where(~language.held_out(F.col("doc_id"), 4, 2)))
-    return language.predict(docs, model).select("doc_id", language.held_out(F.col("doc_id"), 4, 2).alias("held_out"), "lang_pred", "score")
+    model = language.train(docs.where(~held_out(F.col("doc_id"), 4, 2)))
+    return language.predict(docs, model).select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "lang_pred", "score")
+
+
+@query("op9_toxicity")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs.where(~held_out(F.col("doc_id"), 3, 1)), table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select("doc_id", held_out(F.col("doc_id"), 3, 1).alias("held_out"), "score", "predicted")
+
+
+@query("op5_quality")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(docs.where(~held_out(F.col("doc_id"), 4, 2)), table(spark, sf_dir, "labels"))
+    return quality.score(docs, model).select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "score", "predicted")

@@ -1,0 +1,28 @@
+"""Makes this package importable in the Python workers, wherever the driver was started."""
+
+from __future__ import annotations
+
+import tempfile
+import zipfile
+from pathlib import Path
+
+from pyspark.sql import SparkSession
+
+_SENT: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Hand the package's sources to the executors, once per application.
+
+    Spark distributes the archive itself (``addPyFile``); a cluster on which the package is installed loses nothing.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId in _SENT:
+        return
+    root = Path(__file__).resolve().parent.parent
+    archive = Path(tempfile.mkdtemp(prefix="plotline-py-")) / f"{root.name}.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent).as_posix())
+    sc.addPyFile(str(archive))
+    _SENT.add(sc.applicationId)
