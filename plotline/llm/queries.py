@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plotline.llm import decontaminate, fingerprints, jaccard, language, line_dedup, packing, quality, toxicity
+from plotline.llm import chat, decontaminate, fingerprints, jaccard, language, licenses, line_dedup, packing, quality, toxicity
 from plotline.llm.sampling import held_out
 from plotline.llm.shipping import ship
 
@@ -82,6 +82,24 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM docs LEFT JOIN words USING (doc_id) LEFT JOIN names USING (doc_id)
 """
 
+OP6_SQL = """
+WITH t AS (SELECT conv_id, turn, role AS speaker, coalesce(text, '') AS text FROM conversations),
+p AS (SELECT DISTINCT conv_id, role AS perspective FROM conversations WHERE role <> 'system'),
+s AS (
+  SELECT t.conv_id, perspective, turn, speaker, text, coalesce(speaker = perspective, false) AS loss,
+         CASE WHEN speaker = 'system' THEN '<|system|>' || chr(10) WHEN speaker = perspective THEN '<|assistant|>' || chr(10)
+              ELSE '<|user:' || coalesce(speaker, 'unknown') || '|>' || chr(10) END AS head
+  FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id
+), o AS (
+  SELECT *, length(head) + length(text) + 8 AS size, CAST(coalesce(sum(length(head) + length(text) + 8) OVER (
+    PARTITION BY conv_id, perspective ORDER BY turn, speaker, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS segment_start
+  FROM s
+)
+SELECT conv_id, perspective, turn, speaker, head || text || '<|end|>' || chr(10) AS segment, segment_start, loss,
+       CASE WHEN loss THEN segment_start + length(head) END AS loss_start, CASE WHEN loss THEN segment_start + size END AS loss_end
+FROM o
+"""
+
 
 @query("op1_packing")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,3 +145,13 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.train(docs.where(~held_out(F.col("doc_id"), 4, 2)), table(spark, sf_dir, "labels"))
     return quality.score(docs, model).select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "score", "predicted")
+
+
+@query("op4_license_scan")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+@query("op6_chat_rotation", OP6_SQL)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotate(table(spark, sf_dir, "conversations"))
