@@ -25,11 +25,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from plotline.llm.sampling import bounded
+from plotline.llm.sampling import bounded, texts_of
 from plotline.llm.textops import slices
 
 ORDER = 3
 DOCS_PER_LANGUAGE = 400  # bound of the training sample
+MOST_LANGUAGES = 400  # bound of the sample; of more languages the alphabetically first are learnt
 CONTEXTS = 24_000  # bound of the table, over all languages
 SYMBOLS = 127  # most frequent bytes; all others share one symbol
 _LETTER = re.compile(r"[^\W\d_]")
@@ -57,9 +58,10 @@ def normalised(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sample(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE) -> DataFrame:
-    """At most ``per_language`` labelled documents of each language, chosen by a hash of the row."""
-    rows = docs.where("lang is not null and text is not null").select("doc_id", "lang", "text")
-    return bounded(rows, "lang", per_language).select("lang", "text")
+    """At most ``per_language`` labelled documents of each language, chosen by a hash of the id."""
+    rows = docs.where("lang is not null and text is not null")
+    ids = bounded(rows, "lang", per_language).orderBy("lang", "doc_id")
+    return texts_of(rows, ids, MOST_LANGUAGES * per_language).select("lang", "text")
 
 
 def gram_counts(rows: DataFrame, order: int = ORDER) -> DataFrame:

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from plotline.llm.sampling import bounded
+from plotline.llm.sampling import bounded, texts_of
 from plotline.llm.textops import buffers, slices, word_hashes
 
 PER_KIND = 5000  # bound of the training sample: positives, and unlabelled documents
@@ -125,12 +125,12 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, hidden: int
 def train(docs: DataFrame, labels: DataFrame, per_kind: int = PER_KIND) -> Model | None:
     """A model from ``docs`` (training rows) and ``labels``: at most ``per_kind`` positives and unlabelled rows."""
     known = labels.where("quality in (0, 1)").groupBy(F.col("doc_id").alias("__doc")).agg(F.max("quality").alias("__quality"))
-    rows = docs.select("doc_id", "text").join(known, F.col("doc_id") == F.col("__doc"), "left")
+    rows = docs.select("doc_id").distinct().join(known, F.col("doc_id") == F.col("__doc"), "left")
     # Positives are trusted; the labels 0 are used for the prior alone.
     kind = F.when(F.col("__quality").isNull(), "unlabelled").when(F.col("__quality") == 1, "positive")
-    rows = rows.select("doc_id", "text", "__quality", kind.alias("__kind"))
-    shares = rows.where("__quality is not null").agg(F.avg("__quality")).first()[0]
-    picked = bounded(rows.where("__kind is not null"), "__kind", per_kind).select("doc_id", "text", "__kind")
+    rows = rows.select("doc_id", "__quality", kind.alias("__kind"))
+    share = rows.where("__quality is not null").agg(F.avg("__quality")).first()[0]
+    picked = texts_of(docs, bounded(rows, "__kind", per_kind), 2 * per_kind)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -141,7 +141,7 @@ def train(docs: DataFrame, labels: DataFrame, per_kind: int = PER_KIND) -> Model
     sets = {k: np.array([r["x"] for r in got if r["kind"] == k], np.float32) for k in ("positive", "unlabelled")}
     if not len(sets["positive"]) or not len(sets["unlabelled"]):
         return None
-    return fit(sets["positive"], sets["unlabelled"], float(shares))
+    return fit(sets["positive"], sets["unlabelled"], float(share))
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:

@@ -11,13 +11,23 @@ def held_out(doc_id: Column, parts: int, part: int) -> Column:
 
 
 def bounded(rows: DataFrame, group: str, n: int) -> DataFrame:
-    """At most ``n`` rows of each ``group``, chosen by a hash of the text, whatever the number of rows.
+    """At most ``n`` values of ``doc_id`` for each ``group``, as ``(doc_id, group)``, chosen by a hash of the id.
 
-    The groups are counted first; only rows whose hash lies in a share that holds about twice ``n`` are ranked, so
-    what is shuffled does not grow with the input and a frequent group is no hot key.
+    ``rows`` need no text.  The groups are counted first; only rows whose hash lies in a share that holds about twice
+    ``n`` are ranked, so what is shuffled does not grow with the input and a frequent group is no hot key.
     """
+    rows = rows.select("doc_id", group).where(F.col("doc_id").isNotNull() & F.col(group).isNotNull())
     counts = rows.groupBy(F.col(group).alias("__g")).agg(F.count("*").alias("__n"))
-    share = F.pmod(F.xxhash64("text", "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     near = rows.join(counts, F.col(group) == F.col("__g")).withColumn("__h", share).where(F.col("__h") * F.col("__n") <= 2.0 * n)
-    rank = F.row_number().over(Window.partitionBy("__g").orderBy("__h", "text"))
-    return near.withColumn("__r", rank).where(F.col("__r") <= n).select(*rows.columns)
+    near = near.groupBy("doc_id", "__h", "__g").agg(F.count("*").alias("__n"))
+    rank = F.row_number().over(Window.partitionBy("__g").orderBy("__h", "doc_id"))
+    return near.withColumn("__r", rank).where(F.col("__r") <= n).select("doc_id", F.col("__g").alias(group))
+
+
+def texts_of(docs: DataFrame, ids: DataFrame, most: int) -> DataFrame:
+    """``ids`` (a bounded table, at most ``most`` rows) with one text of each document that has one."""
+    ids = ids.limit(most).withColumnRenamed("doc_id", "__id")
+    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(ids), F.col("doc_id") == F.col("__id")).drop("__id")
+    others = [c for c in rows.columns if c not in ("doc_id", "text")]
+    return rows.groupBy("doc_id", *others).agg(F.min("text").alias("text"))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from plotline.llm.language import normalised
-from plotline.llm.sampling import bounded
+from plotline.llm.sampling import bounded, texts_of
 from plotline.llm.textops import constants, slices
 
 PER_CLASS = 2500  # bound of the training sample, documents of each class
@@ -178,9 +178,11 @@ def fit(texts: list[str], labels: np.ndarray, dims: int = 8, epochs: int = 24, b
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_chars: int = MAX_CHARS) -> Model | None:
     """A model from labelled rows of ``docs``: at most ``per_class`` documents of each class, none above ``max_chars``."""
-    known = labels.where("toxic in (0, 1)").groupBy(F.col("doc_id").alias("__doc")).agg(F.max("toxic").alias("__toxic"))
-    rows = docs.select("doc_id", "text").join(known, F.col("doc_id") == F.col("__doc")).where((F.col("text") != "") & (F.length("text") <= max_chars))
-    got = bounded(rows.select("doc_id", "text", "__toxic"), "__toxic", per_class).orderBy("__toxic", F.xxhash64("text"), "doc_id").collect()
+    known = labels.where("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("__toxic"))
+    known = known.join(docs.select(F.col("doc_id").alias("__doc")).distinct(), F.col("doc_id") == F.col("__doc"), "left_semi")
+    rows = texts_of(docs, bounded(known, "__toxic", per_class), 2 * per_class)
+    rows = rows.where((F.col("text") != "") & (F.length("text") <= max_chars))
+    got = rows.orderBy("__toxic", F.xxhash64("doc_id"), "doc_id").select("__toxic", "text").collect()
     y = np.array([r["__toxic"] for r in got])
     if not len(y) or y.min() == y.max():
         return None
