@@ -31,6 +31,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from plotline.llm.textops import SPACE, constants, mix, slices
 from plotline.session import scratch_folder, stage
@@ -300,7 +301,7 @@ class LineState:
     def _known(self, keys: DataFrame) -> DataFrame:
         """``keys`` (hi, lo, ...) with ``known``: what the shard's filter says."""
         sharded = keys.withColumn("shard", shard_of(F.col("hi"), self.shards))
-        kind = sharded.schema.add("known", "boolean")
+        kind = StructType([*sharded.schema.fields, StructField("known", BooleanType())])
 
         def ask(left: pa.Table, right: pa.Table) -> pa.Table:
             h = left.column("lo").to_numpy().view(np.uint64)
@@ -314,8 +315,8 @@ class LineState:
     def _write(self, refs: DataFrame, counts: DataFrame, touched: DataFrame) -> None:
         """New versions of the tables; only shards with touched keys get a new filter."""
         folder = scratch_folder(self.spark, "line_state")
-        refs.write.parquet(f"{folder}/refs")
-        counts.write.parquet(f"{folder}/counts")
+        refs.select("hi", "lo", "doc_id").write.parquet(f"{folder}/refs")
+        counts.select("hi", "lo", "docs", "first_doc").write.parquet(f"{folder}/counts")
         self.refs, self.counts = (self.spark.read.parquet(f"{folder}/{n}") for n in ("refs", "counts"))
         shards = touched.select(shard_of(F.col("hi"), self.shards).alias("shard")).distinct()
         fresh = build_filters(self.counts.join(shards, shard_of(F.col("hi"), self.shards) == shards["shard"], "left_semi"), self.shards)
