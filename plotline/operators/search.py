@@ -161,11 +161,11 @@ def search_phrase(tx, parsed, filters=None, sort_by="date", limit=200) -> DataFr
 
 
 def search_variants(
-    tx, queries, filters=None, sort_by="date", limit=200, text: str = "query_text", variants: int = 8
+    tx, queries, filters=None, sort_by="date", limit=200, text: str = "query_text", variants: int | None = None
 ) -> DataFrame:
-    """Rows whose raw address contains one of the first ``variants`` spellings of the text."""
+    """Rows whose raw address contains a spelling of the text (only the first ``variants`` spellings if that is given)."""
     asks = queries.select(F.col(text).alias("ask")).distinct()
-    spelled = asks.select("ask", F.explode(F.slice(A.variants("ask"), 1, variants)).alias("phrase"))
+    spelled = asks.select("ask", F.explode(A.variants("ask") if variants is None else F.slice(A.variants("ask"), 1, variants)).alias("phrase"))
     hits = X.contains_join(tx, spelled, "id", "address", "ask", "phrase").withColumnRenamed("phrase_id", "ask")
     rows = _ranked(hits, tx, filters, sort_by, limit)
     return queries.select("query_id", F.col(text).alias("ask")).join(rows, "ask").drop("ask")

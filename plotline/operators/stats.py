@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 # Relative width of the bracket around the middle, and the sketch's accuracy.
 _BRACKET = (0.48, 0.52)
 _ACCURACY = 1000
+# Up to this rank Spark limits window groups before the shuffle (its default threshold).
+_PUSHED_LIMIT = 1000
 
 
 def same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
@@ -77,8 +79,16 @@ def with_count(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
 
 
 def top_per(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, rank: str | None = None) -> DataFrame:
-    """First ``n`` rows per key under a total order (cut per task before the shuffle)."""
+    """First ``n`` rows per key under a total order.
+
+    Spark cuts every task's rows before the shuffle up to its window-limit threshold; beyond, the rows of a key are
+    first ranked per input task, so that a hot key reaches its last task with ``n`` rows of each.
+    """
     r = rank or "__rank"
+    if n > _PUSHED_LIMIT:
+        df = df.withColumn("__task", F.spark_partition_id())
+        near = F.row_number().over(Window.partitionBy(*keys, "__task").orderBy(*order))
+        df = df.withColumn("__near", near).where(F.col("__near") <= n).drop("__near", "__task")
     out = df.withColumn(r, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(r) <= n)
     return out if rank else out.drop(r)
 
