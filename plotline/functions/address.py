@@ -213,44 +213,32 @@ def strip_city_district(col: Column | str) -> Column:
     return strip(F.regexp_replace(c, f"^{_TOWN}", ""))
 
 
-def _drop_village(c: Column) -> Column:
-    return F.regexp_replace(c, f"{_HAN}*里[0-9]*鄰?|[0-9]+鄰", "")
+# What stands before the road, and what may follow the house number, in the order of writing.
+_QUARTER = f"(?:{_HAN}*里(?:[0-9]*鄰)?|[0-9]+鄰)"
+_STOREY = "(?:地下)?(?:[0-9]+|[一二三四五六七八九十百]+)樓"
+_FLAT = r"(?:[A-Za-z][0-9]*-)?[0-9]+F|(?<=\s)[A-Za-z][0-9]+-[A-Za-z]?[0-9]*F?"
+_AFTER_NUMBER = f"(?:之[0-9]+)?(?:共[0-9]+筆)?(?:[,，\\s]*{_STOREY}.*|旁.*|\\s*[A-Za-z][0-9]*棟.*|\\s*(?:{_FLAT}))?"
 
 
-def _cut_remarks(c: Column) -> Column:
-    """Room and block letters, 旁, trailing 之n and 共n筆; the order of the rules matters."""
-    out = c
-    for pattern in (
-        r"\s*[0-9]+F$",
-        r"\s*[A-Za-z][0-9]*-[0-9]+F$",
-        r"\s*[A-Za-z][0-9]*棟.*$",
-        r"\s+[A-Za-z][0-9]+-[A-Za-z]?[0-9]*F?$",
-        r"旁.*$",
-        r"之[0-9]+$",
-        r"共[0-9]+筆$",
-    ):
-        out = F.regexp_replace(out, pattern, "")
-    return F.when(c.rlike("[A-Za-z旁之共]"), out).otherwise(c)
-
-
-def _road_number_rules(c: Column) -> Column:
-    c = F.when(c.rlike("[里鄰]"), _drop_village(c)).otherwise(c)
-    c = F.regexp_replace(
-        c, r"[,，\s]*(?:地下)?(?:[0-9]+|(?:十|二十|三十)?[一二三四五六七八九十百]+)樓.*$", ""
-    )
-    return F.regexp_replace(bound(c, _cut_remarks), r"\s+", "")
+def _located(c: Column) -> Column:
+    """What stands before the quarter, and the shortest text after it behind which nothing but
+    remarks follows; without white space."""
+    parts = f"(?s)^(?:(.*?){_QUARTER})?(.*?){_AFTER_NUMBER}$"
+    return bound(c, lambda t: F.regexp_replace(
+        F.concat(F.regexp_extract(t, parts, 1), F.regexp_extract(t, parts, 2)), r"\s+", ""
+    ))
 
 
 def road_and_number(col: Column | str) -> Column:
     """Road and house number only: no city, district, village, floor, block or remarks."""
-    return bound(strip_city_district(col), _road_number_rules)
+    return _located(strip_city_district(col))
 
 
 def link_form(col: Column | str) -> Column:
     """As ``road_and_number`` with the linker's prefix rules (up to two districts are cut)."""
     c = F.regexp_replace(half_width(strip(col), "digits"), f"^(?:{K.LINK_CITY_PREFIX})", "")
     # A second district only counts where it repeats the first; otherwise 市民大道 would lose its head.
-    return bound(F.regexp_replace(c, f"^({_TOWN})\\1?", ""), _road_number_rules)
+    return _located(F.regexp_replace(c, f"^({_TOWN})\\1?", ""))
 
 
 def up_to_number(col: Column | str) -> Column:
@@ -277,10 +265,10 @@ def road_in(col: Column | str) -> Column:
 
 
 def road_and_lane(col: Column | str) -> Column:
-    c = _drop_village(strip_city_district(col))
-    return F.regexp_extract(
-        c, f"({_HAN}+?(?:路|街|大道)(?:{_SECTION})?(?:[0-9]+巷(?:[0-9]+弄)?)?)", 1
-    )
+    """Road with section, lane and alley, put together from its parts."""
+    parts = f"({_HAN}+?(?:路|街|大道))({_SECTION})?([0-9]+巷)?((?<=巷)[0-9]+弄)?"
+    rest = F.regexp_replace(strip_city_district(col), f"(?s)^(.*?){_QUARTER}(.*)$", "$1$2")
+    return bound(rest, lambda t: F.concat(*[F.regexp_extract(t, parts, i) for i in (1, 2, 3, 4)]))
 
 
 def house_number(col: Column | str) -> Column:
@@ -296,11 +284,10 @@ def first_number(col: Column | str) -> Column:
 
 
 def strip_city_shown(col: Column | str) -> Column:
-    """Display form: doubled district collapsed, city prefix removed."""
-    c = F.regexp_replace(_c(col), f"({_HAN}{{2,3}}[區鎮鄉市])\\1", "$1")
-    return F.regexp_replace(
-        c, r"^(?:(?:台|臺)(?:北|中|南|東)市|(?:新北|桃園|高雄|基隆|新竹|嘉義)[市縣]|\S{2,3}縣)", ""
-    )
+    """Display form: no city in front, a district written twice shown once."""
+    city = K.CITY_PREFIX.replace("台", "[臺台]")
+    district = f"{_HAN}{{2,3}}[區鎮鄉市]"
+    return F.regexp_replace(_c(col), f"^(?:{city}|\\S{{2,3}}縣)?(?:({district})(?=\\1))?", "")
 
 
 def strip_city_for_key(col: Column | str) -> Column:
@@ -309,9 +296,8 @@ def strip_city_for_key(col: Column | str) -> Column:
 
 
 def strip_floor(col: Column | str) -> Column:
-    """Base address of a building: trailing floor and trailing 之/號 removed."""
-    c = F.regexp_replace(_c(col), r"(?:-[0-9]+|地下[0-9]+|[0-9]+)[樓Ff][之0-9]*$", "")
-    return F.rtrim(c, F.lit("之号號 "))
+    """Base address of a building: what stands before its floor, without 之 and 號 at the end."""
+    return F.regexp_extract(_c(col), r"(?s)^(.*?)[之号號 ]*(?:(?:地下|-)?[0-9]+[樓Ff][之0-9]*)?$", 1)
 
 
 def map_base(col: Column | str) -> Column:

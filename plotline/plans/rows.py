@@ -850,21 +850,31 @@ def _(spark, d):
 
 
 def _tm2_sql() -> str:
-    """The inverse TM2 series as SQL, over 150,000 m.. east and 2,500,000 m.. north."""
-    a, f = 6378137.0, 1 / 298.257222101
-    b = a * (1 - f)
-    e2 = (a * a - b * b) / (a * a)
-    e1 = (1 - (1 - e2) ** 0.5) / (1 + (1 - e2) ** 0.5)
-    n = lambda x: f"({x!r}::DOUBLE)"
-    m = a * (1 - e2 / 4 - 3 * e2**2 / 64 - 5 * e2**3 / 256)
-    j = [3 * e1 / 2 - 27 * e1**3 / 32, 21 * e1**2 / 16 - 55 * e1**4 / 32, 151 * e1**3 / 96, 1097 * e1**4 / 512]
-    foot = "mu + " + " + ".join(f"{n(c)} * sin({k} * mu)" for k, c in zip((2, 4, 6, 8), j))
-    return f"""SELECT id,
-    round(degrees(fp - (n1 * tan(fp) / r1) * (d**2 / 2 - (5 + 3*t + 10*c - 4*c*c - 9*{n(e2)}) * d**4 / 24 + (61 + 90*t + 298*c + 45*t*t - 252*{n(e2)} - 3*c*c) * d**6 / 720)), 7) AS lat,
-    round(degrees(radians(121.0::DOUBLE) + (d - (1 + 2*t + c) * d**3 / 6 + (5 - 2*c + 28*t - 3*c*c + 8*{n(e2)} + 24*t*t) * d**5 / 120) / cos(fp)), 7) AS lng
-    FROM (SELECT *, (x - 250000.0::DOUBLE) / (n1 * 0.9999::DOUBLE) AS d FROM (
-      SELECT *, {n(e2)} * cos(fp)**2 / {n(1 - e2)} AS c, tan(fp)**2 AS t, {n(a * (1 - e2))} / (1 - {n(e2)} * sin(fp)**2)**1.5 AS r1, {n(a)} / sqrt(1 - {n(e2)} * sin(fp)**2) AS n1 FROM (
-        SELECT id, x, {foot} AS fp FROM (SELECT id, 150000.0::DOUBLE + id % 2000 * 100 AS x, (2500000.0::DOUBLE + id % 3000 * 90) / 0.9999::DOUBLE / {n(m)} AS mu FROM tx_addr) q0) q1) q2) q3"""
+    """Another way to the same positions: the forward series solved by fixed-point steps, then the
+    isometric latitude in its exponential form."""
+    f = 1 / 298.257222101
+    n, e = f / (2 - f), (f * (2 - f)) ** 0.5
+    scale = 0.9999 * 6378137.0 / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    alpha = (
+        n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16 + 41 * n**4 / 180,
+        13 * n**2 / 48 - 3 * n**3 / 5 + 557 * n**4 / 1440,
+        61 * n**3 / 240 - 103 * n**4 / 140,
+        49561 * n**4 / 161280,
+    )
+    x = lambda v: f"({v!r}::DOUBLE)"
+    cosh = lambda v: f"((exp({v}) + exp(-({v}))) / 2)"
+    sinh = lambda v: f"((exp({v}) - exp(-({v}))) / 2)"
+    sql = f"""SELECT id, (2500000.0::DOUBLE + id % 3000 * 90) / {x(scale)} AS y0,
+        (150000.0::DOUBLE + id % 2000 * 100 - 250000.0::DOUBLE) / {x(scale)} AS x0, y0 AS yy, x0 AS xx FROM tx_addr"""
+    for _ in range(7):
+        dy = " + ".join(f"{x(a)} * sin({2 * k} * yy) * {cosh(f'{2 * k} * xx')}" for k, a in enumerate(alpha, 1))
+        dx = " + ".join(f"{x(a)} * cos({2 * k} * yy) * {sinh(f'{2 * k} * xx')}" for k, a in enumerate(alpha, 1))
+        sql = f"SELECT id, y0, x0, y0 - ({dy}) AS yy, x0 - ({dx}) AS xx FROM ({sql})"
+    sql = f"""SELECT id, degrees(atan2({sinh('xx')}, cos(yy))) + 121.0::DOUBLE AS lng,
+        sqrt((1 + sin(yy) / {cosh('xx')}) / (1 - sin(yy) / {cosh('xx')})) AS q, 2 * atan(q) - pi() / 2 AS phi FROM ({sql})"""
+    for _ in range(7):
+        sql = f"""SELECT id, lng, q, 2 * atan(q * pow((1 + {x(e)} * sin(phi)) / (1 - {x(e)} * sin(phi)), {x(e / 2)})) - pi() / 2 AS phi FROM ({sql})"""
+    return f"SELECT id, round(degrees(phi), 7) AS lat, round(lng, 7) AS lng FROM ({sql})"
 
 
 @query("m5_projected_coords", _tm2_sql())

@@ -1,5 +1,6 @@
 """Golden cases of the address rules and the small column functions."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -148,6 +149,32 @@ def test_projected_coordinates(spark):
     assert abs(r.lat) < 1e-9 and abs(r.lng - 121.0) < 1e-9
 
 
+def projected(lat: float, lng: float) -> tuple[float, float]:
+    """TM2 metres of a position by definition: the meridian arc, integrated over the complex latitude
+    whose isometric latitude is that of the position plus i times its longitude difference."""
+    f = 1 / 298.257222101
+    e = (f * (2 - f)) ** 0.5
+    phi = np.radians(lat)
+    iso = np.arctanh(np.sin(phi)) - e * np.arctanh(e * np.sin(phi)) + 1j * np.radians(lng - 121.0)
+    z = phi + 0j
+    for _ in range(50):
+        z = np.arcsin(np.tanh(iso + e * np.arctanh(e * np.sin(z))))
+    x, w = np.polynomial.legendre.leggauss(60)
+    at = (x + 1) / 2 * z
+    arc = 6378137.0 * (1 - e * e) * np.sum(w / 2 * z / (1 - (e * np.sin(at)) ** 2) ** 1.5)
+    return 250000.0 + 0.9999 * arc.imag, 0.9999 * arc.real
+
+
+def test_projected_coordinates_by_definition(spark):
+    places = [(25.0339, 121.5645), (22.6, 120.3), (23.9, 121.6), (21.9, 120.8), (24.8, 120.97), (26.2, 119.9)]
+    # The length of a meridian quadrant is known: 10,001,965.729 m.
+    assert abs(projected(89.9999999, 121.0)[1] / 0.9999 - 10001965.729) < 2e-2
+    df = spark.createDataFrame([(*p, *map(float, projected(*p))) for p in places], "lat double, lng double, e double, n double")
+    lat, lng = M.tm2_to_wgs84(F.col("e"), F.col("n"))
+    for r in df.select("lat", "lng", lat.alias("a"), lng.alias("b")).collect():
+        assert abs(r.lat - r.a) < 1e-9 and abs(r.lng - r.b) < 1e-9
+
+
 def test_sql_functions(spark):
     Z.register_sql_functions(spark)
     r = spark.sql("SELECT to_ping(33.0579D) AS p, house_number_of('29巷5號') AS n, roc_year_of('113/01/01') AS y").first()
