@@ -7,12 +7,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from plotline import constants as K
 from plotline.functions import address as A
 from plotline.functions.text import blank
+from plotline.sources.order import ingest_sequence
 
 
 def read_gazetteer(spark: SparkSession, path: str) -> DataFrame:
-    """``district,city`` CSV (first city of a district first) to (district, cities)."""
-    rows = spark.read.schema("district string, city string").option("header", True).csv(path)
-    return rows.groupBy("district").agg(F.sort_array(F.collect_set("city")).alias("cities"))
+    """``district,city`` CSV (first city of a district first) to (district, cities in the order of the file)."""
+    rows = ingest_sequence(spark.read.schema("district string, city string").option("header", True).csv(path))
+    once = rows.groupBy("district", "city").agg(F.min("ingest_seq").alias("at"))
+    placed = F.sort_array(F.collect_list(F.struct("at", "city")))
+    return once.groupBy("district").agg(F.transform(placed, lambda x: x["city"]).alias("cities"))
 
 
 def shared_districts(spark: SparkSession) -> DataFrame:

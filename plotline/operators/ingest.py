@@ -41,17 +41,17 @@ def merge_duplicates(df: DataFrame, order: Sequence[str] = ORDER) -> DataFrame:
     """
     ord_ = F.struct(*order)
     fields = _fillable(df)
-    fixed = [c for c in df.columns if c not in fields and c != "dedup_key"]
+    rest = [c for c in df.columns if c != "dedup_key"]
     keyed = df.where(F.col("dedup_key").isNotNull())
-    aggs = [F.min_by(F.struct(*fixed), ord_).alias("__row")]
+    aggs = [F.min_by(F.struct(*rest), ord_).alias("__row")]
     aggs += [
-        F.coalesce(
-            F.min_by(F.when(~is_empty(n, r), F.col(n)), F.when(~is_empty(n, r), ord_)),
-            F.min_by(n, ord_),
-        ).alias(n)
+        F.min_by(F.when(~is_empty(n, r), F.col(n)), F.when(~is_empty(n, r), ord_)).alias(f"__{n}")
         for n, r in fields.items()
     ]
-    merged = keyed.groupBy("dedup_key").agg(*aggs).select("dedup_key", "__row.*", *fields).select(*df.columns)
+    picked = {n: F.coalesce(f"__{n}", f"__row.{n}") if n in fields else F.col(f"__row.{n}") for n in rest}
+    merged = keyed.groupBy("dedup_key").agg(*aggs).select(
+        *[F.col(n) if n == "dedup_key" else picked[n].alias(n) for n in df.columns]
+    )
     return merged.unionByName(df.where(F.col("dedup_key").isNull()))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
@@ -13,6 +14,8 @@ from plotline.functions.values import first_filled, to_double, to_int, to_long,
 from plotline.operators import filters as P
 from plotline.operators.gazetteer import resolve_city
 from plotline.operators.standardise import add_parts
+from plotline.session import stage
+from plotline.sources.order import ingest_sequence
 
 _TYPES = {f.name: f.dataType for f in schema.TRANSACTION}
 
@@ -25,16 +28,6 @@ def canonical(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     return df.select(*cols, *[k for k in keep if k in df.columns])
 
 
-def ingest_sequence(df: DataFrame, content: Sequence[str]) -> DataFrame:
-    """``ingest_seq`` from the file, its block and the row's content, so that it never depends on
-    how the rows were spread."""
-    meta = F.struct(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")
-    )
-    body = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in content])
-    return df.withColumn("ingest_seq", F.concat_ws("|", meta["file"], F.lpad(meta["block"].cast("string"), 20, "0"), F.hex(body)))
-
-
 def _typed(df: DataFrame, names: Sequence[str]) -> DataFrame:
     out = {}
     for n in names:
@@ -64,33 +57,49 @@ def from_registry(raw: DataFrame, gazetteer: DataFrame | None = None) -> DataFra
 def read_registry_csv(spark: SparkSession, path: str | list[str], gazetteer: DataFrame | None = None) -> DataFrame:
     """Registry files: BOM, a Chinese and an English header row, short rows filled with ''."""
     text = T.StructType([T.StructField(n, T.StringType()) for n in schema.REGISTRY_COLUMNS])
-    raw = (
+    raw = ingest_sequence(
         spark.read.schema(text).option("header", True).option("enforceSchema", True)
         .option("mode", "PERMISSIVE").option("encoding", "UTF-8").csv(path)
     )
     # The second header row names its date column; a data row has digits there.
     body = raw.where(~F.coalesce("transaction_date", F.lit("")).rlike("[A-Za-z]"))
-    return from_registry(ingest_sequence(body, schema.REGISTRY_COLUMNS), gazetteer)
+    return from_registry(body, gazetteer)
+
+
+def _header_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, header): the first line of each file."""
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("at"), F.col("value"),
+    )
+    first = lines.where("block = 0").groupBy("file").agg(F.min_by("value", "at").alias("header"))
+    return first.withColumn("header", F.regexp_replace("header", "^\ufeff", ""))
 
 
 def read_generic_csv(spark: SparkSession, path: str, gazetteer: DataFrame | None = None) -> DataFrame:
-    """A file with a header row of known names, in any order; unknown columns are dropped.
+    """Files that each start with a header row of known names, in any order of their own; unknown
+    columns are dropped.
 
-    Where several headers mean one column, the last non-blank one counts.  Parts the file does not
-    give come from the address.
+    Where several headers of a file mean one column, the last non-blank one counts.  Parts a file
+    does not give come from the address.  Files are told apart by their header line: the driver
+    sees the distinct header lines, of which there are as many as layouts, not as files.
     """
-    raw = spark.read.option("header", True).option("encoding", "UTF-8").csv(path)
-    by_column: dict[str, list[str]] = {}
-    for h in raw.columns:
-        name = schema.HEADER_ALIASES.get(h.strip().lstrip("﻿"))
-        if name:
-            by_column.setdefault(name, []).append(h)
-    picked = {
-        n: first_filled(*[F.col(f"`{h}`") for h in reversed(hs)]) for n, hs in by_column.items()
-    }
-    rows = ingest_sequence(raw, [f"`{h}`" for h in raw.columns]).select(
-        *[c.alias(n) for n, c in picked.items()], "ingest_seq"
-    )
+    heads = stage(_header_lines(spark, path), "headers")
+    layouts = {r.header: next(csv.reader([r.header]), []) for r in heads.select("header").distinct().collect()}
+    width = max((len(names) for names in layouts.values()), default=0) or 1
+    text = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(width)])
+    lines = spark.read.schema(text).option("header", True).option("enforceSchema", True).option("encoding", "UTF-8").csv(path)
+    raw = ingest_sequence(lines.withColumn("file", F.col("_metadata.file_path"))).join(heads, "file")
+    cells: dict[str, list[Column]] = {}
+    for header, names in sorted(layouts.items()):
+        places: dict[str, list[int]] = {}
+        for i, h in enumerate(names):
+            if name := schema.HEADER_ALIASES.get(h.strip()):
+                places.setdefault(name, []).append(i)
+        for name, at in places.items():
+            value = first_filled(*[F.col(f"c{i}") for i in reversed(at)])
+            cells.setdefault(name, []).append(F.when(F.col("header") == header, value))
+    rows = raw.select(*[F.coalesce(*cs).alias(n) for n, cs in cells.items()], "ingest_seq")
     return from_columns(rows, gazetteer)
 
 
@@ -182,13 +191,12 @@ def read_api(spark: SparkSession, path: str, fmt: str = "parquet", gazetteer: Da
     """API rows from Parquet, or from JSON lines under the fixed schema."""
     reader = spark.read if fmt == "parquet" else spark.read.schema(schema.API_ROW)
     raw = reader.format(fmt).load(path)
-    return from_api(ingest_sequence(raw, [c for c in ("sq", "address", "raw_json") if c in raw.columns]), gazetteer)
+    return from_api(ingest_sequence(raw), gazetteer)
 
 
 def read_transactions(spark: SparkSession, path: str) -> DataFrame:
     """A stored canonical table; columns it lacks are NULL."""
-    raw = spark.read.parquet(path)
-    return canonical(ingest_sequence(raw, [c for c in ("dedup_key", "address", "serial_no") if c in raw.columns]), keep=("ingest_seq",))
+    return canonical(ingest_sequence(spark.read.parquet(path)), keep=("ingest_seq",))
 
 
 def read_points_csv(spark: SparkSession, path: str, city_key: str = "") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from plotline.functions import dates as D
@@ -18,7 +19,7 @@ def _month() -> Column:
     d = F.substring(D.compact(F.coalesce("transaction_date", F.lit(""))), 1, 7)
     # The letter keeps the folder name text when Spark infers partition types.
     return F.when(
-        F.length(d) >= 5, F.concat(F.lit("m"), F.substring(d, F.lit(1), F.length(d) - 2))
+        d.rlike("^[0-9]{5,7}$"), F.concat(F.lit("m"), F.substring(d, F.lit(1), F.length(d) - 2))
     ).otherwise("none")
 
 
@@ -37,22 +38,38 @@ def write_transactions(df: DataFrame, path: str, mode: str = "overwrite") -> Non
     _laid_out(df).write.mode(mode).partitionBy(MONTH).parquet(path)
 
 
+def _larger_multiset(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Each distinct row as often as the side that holds it more often; counted before the shuffle."""
+    both = old.withColumn("__new", F.lit(0)).unionByName(new.withColumn("__new", F.lit(1)), allowMissingColumns=True)
+    cols = [c for c in both.columns if c != "__new"]
+    n = both.groupBy(*cols).agg(F.sum(1 - F.col("__new")).alias("__a"), F.sum("__new").alias("__b"))
+    return n.withColumn("__i", F.explode(F.sequence(F.lit(1), F.greatest("__a", "__b")))).select(*cols)
+
+
+def _months_of(stored: DataFrame, batch: DataFrame) -> DataFrame:
+    """The stored rows in the months of the batch; other folders are not read."""
+    months = [r[MONTH] for r in batch.select(_month().alias(MONTH)).distinct().collect()]
+    return stored.where(F.col(MONTH).isin(months))
+
+
 def upsert_transactions(spark: SparkSession, batch: DataFrame, path: str) -> None:
     """Merge a batch into the stored table, rewriting only the months it touches.
 
-    Stored rows precede the batch.  Running the same batch again changes nothing.
+    Stored rows precede the batch.  Running the same batch again changes nothing: rows without a
+    key count as the same row as far as their whole content occurs equally often.
+
+    The months of a batch (calendar months, so few) become literal partition values, and the scan
+    of the stored table lists only their folders.
     """
     batch = stage(batch, "batch")
-    incoming = batch.withColumn(MONTH, _month())
     try:
         stored = spark.read.parquet(path)
-    except Exception as e:  # the table does not exist yet
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+    except AnalysisException as e:  # the table does not exist yet
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
         write_transactions(merge_duplicates(batch).drop("source_rank", "ingest_seq"), path, "append")
         return
-    months = incoming.select(MONTH).distinct()
-    touched = stored.join(months, MONTH, "left_semi")
+    touched = _months_of(stored, batch)
     # Stored rows are already merged, one per key; content decides among rows without a key.
     old = touched.drop(MONTH).withColumns({"source_rank": F.lit(0), "ingest_seq": F.lit("")})
     new = batch.withColumn("source_rank", F.col("source_rank") + 1)
@@ -60,8 +77,10 @@ def upsert_transactions(spark: SparkSession, batch: DataFrame, path: str) -> Non
     merged = merge_duplicates(
         old.where(~keyless).unionByName(new.where(~keyless), allowMissingColumns=True)
     ).drop("source_rank", "ingest_seq")
-    loose = old.where(keyless).unionByName(new.where(keyless), allowMissingColumns=True).drop("source_rank", "ingest_seq")
-    out = _laid_out(merged.unionByName(loose.dropDuplicates()))
+    loose = _larger_multiset(
+        old.where(keyless).drop("source_rank", "ingest_seq"), new.where(keyless).drop("source_rank", "ingest_seq")
+    )
+    out = _laid_out(merged.unionByName(loose))
     out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(MONTH).parquet(path)
 
 

@@ -6,8 +6,10 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from plotline import schema
 from plotline.functions import text as T
 from plotline.operators import community as C, ingest as I, names as N, search as S, textjoin as X
+from plotline.operators.gazetteer import read_gazetteer
 from plotline.operators.stats import top_per, upper_median, with_count
 from plotline.plans import fixture
 from plotline.session import scratch_folder
@@ -61,6 +63,73 @@ def test_import_twice_is_import_once(spark):
     assert rows(spark.read.parquet(path).select("dedup_key", "serial_no", "lat", "note")) == first
 
 
+def test_rows_without_key_survive_a_second_import(spark):
+    path = scratch_folder(spark, "keyless")
+    a = arrivals(spark).limit(40).withColumn(
+        "dedup_key", F.when(F.pmod(F.xxhash64("serial_no"), F.lit(2)) == 0, F.col("dedup_key"))
+    )
+    a = a.unionByName(a.where("dedup_key is null"))
+    OUT.upsert_transactions(spark, a, path)
+    first = rows(spark.read.parquet(path).select("dedup_key", "serial_no"))
+    assert len([r for r in first if r[0] is None]) == a.where("dedup_key is null").count() > 0
+    OUT.upsert_transactions(spark, a, path)
+    assert rows(spark.read.parquet(path).select("dedup_key", "serial_no")) == first
+
+
+def test_first_row_of_a_file_wins_whatever_the_blocks(spark, tmp_path):
+    lines = [",".join(schema.REGISTRY_COLUMNS), ",".join(schema.REGISTRY_COLUMNS)]
+    at = {c: i for i, c in enumerate(schema.REGISTRY_COLUMNS)}
+    for i in range(1200):
+        row = [""] * len(at)
+        row[at["address"]] = f"臺北市大安區仁愛路{i % 400 + 1}號"
+        row[at["raw_district"]], row[at["transaction_date"]], row[at["total_price"]] = "大安區", "1130101", "5000000"
+        row[at["serial_no"]] = f"S{i:05d}"
+        lines.append(",".join(row))
+    (tmp_path / "a.csv").write_text("\ufeff" + "\n".join(lines) + "\n", encoding="utf-8")
+    default = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("8k", "20k", default):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            read = IN.read_registry_csv(spark, str(tmp_path / "a.csv")).withColumn("source_rank", F.lit(1))
+            got = I.merge_duplicates(read).select("serial_no").collect()
+            assert sorted(r[0] for r in got) == [f"S{i:05d}" for i in range(400)], size
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", default)
+
+
+def test_files_of_one_folder_keep_their_own_headers(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("\ufeff地址,總價\n臺北市大安區仁愛路1號,100\n", encoding="utf-8")
+    (tmp_path / "b.csv").write_text("總價,備註,地址\n200,x,臺北市大安區仁愛路2號\n", encoding="utf-8")
+    (tmp_path / "c.csv").write_text("", encoding="utf-8")
+    got = IN.read_generic_csv(spark, str(tmp_path)).select("number", "total_price").collect()
+    assert sorted(map(tuple, got)) == [("1", 100), ("2", 200)]
+
+
+def test_gazetteer_keeps_the_order_of_its_file(spark, tmp_path):
+    (tmp_path / "g.csv").write_text("district,city\n東區,新竹市\n東區,台中市\n東區,新竹市\n", encoding="utf-8")
+    assert read_gazetteer(spark, str(tmp_path / "g.csv")).first().cities == ["新竹市", "台中市"]
+
+
+def test_upsert_reads_and_writes_the_months_of_the_batch_only(spark, capfd):
+    path = scratch_folder(spark, "months")
+    a = arrivals(spark)
+    OUT.upsert_transactions(spark, a, path)
+    stored = spark.read.parquet(path)
+    month = stored.select(OUT.MONTH).first()[0]
+    batch = a.where(OUT._month() == month)
+    OUT._months_of(stored, batch).explain("formatted")
+    filters = [line for line in capfd.readouterr().out.splitlines() if "PartitionFilters" in line]
+    assert filters and all(f"= {month})" in line for line in filters)
+
+    def others():
+        rest = spark.read.parquet(path).where(F.col(OUT.MONTH) != month)
+        return rows(rest.select(F.input_file_name()).distinct())
+
+    before = others()
+    OUT.upsert_transactions(spark, batch, path)
+    assert others() == before != []
+
+
 def test_merge_of_one_hot_key(spark):
     hot = spark.range(6000).select(
         F.lit(1).alias("source_rank"), F.lpad(F.col("id").cast("string"), 8, "0").alias("ingest_seq"),
