@@ -212,16 +212,28 @@ def search_shortened(tx: DataFrame, queries: DataFrame, text: str = "query_text"
 
 
 def search_names(tx: DataFrame, names: DataFrame, filters: P.Filters | None = None, limit: int | None = 500) -> DataFrame:
-    """Rows of given building projects, newest first per query; names asked twice are matched once."""
-    wanted = names.select(F.col("name").alias("community_name")).distinct()
-    rows = tx.join(wanted, "community_name", "left_semi")
+    """Rows of given building projects, newest first per query; names asked twice are matched once.
+
+    Where ``names`` has ``q_district``, rows outside the named district go before the limit counts.
+    """
+    asked = [F.col("name").alias("community_name"), *[c for c in ("q_district",) if c in names.columns]]
+    wanted = names.select(*asked).distinct()
+    key = wanted.columns
+    if "q_district" in key:
+        wanted = wanted.withColumn("q_district", F.coalesce("q_district", F.lit("")))
+        rows = tx.join(wanted.distinct(), "community_name").where(P.in_district(F.col("q_district")))
+    else:
+        rows = tx.join(wanted, "community_name", "left_semi")
     if filters is not None:
         rows = rows.where(P.raw_filters(filters))
     rows = (
         rows.withColumn("position", F.lit(None).cast("int")) if limit is None
-        else top_per(rows, ["community_name"], R.result_order("date"), limit, rank="position")
+        else top_per(rows, key, R.result_order("date"), limit, rank="position")
     )
-    return names.select("query_id", F.col("name").alias("community_name")).join(rows, "community_name")
+    asks = names.select("query_id", *asked)
+    if "q_district" in key:
+        asks = asks.withColumn("q_district", F.coalesce("q_district", F.lit("")))
+    return asks.join(rows, key).drop("q_district")
 
 
 def search_area(tx: DataFrame, box: tuple[float, float, float, float], filters: P.Filters | None = None, limit: int | None = 500) -> DataFrame:
@@ -264,17 +276,17 @@ def keyword_search(
     path, must agree with a district named in the text, and are cut to ``limit`` per query.
     """
     paths = []
+    parsed = stage(parse_queries(queries, text).select("query_id", "q_district"), "districts")
     if "community" in queries.columns:
         named = queries.where(~blank("community")).select("query_id", F.col("community").alias("name"))
-        paths.append(stage(search_names(tx, named, filters, limit), "by_name"))
+        paths.append(stage(search_names(tx, named.join(parsed, "query_id"), filters, limit), "by_name"))
     if linked is not None:
         link = linked
         if paths:
             link = linked.join(queries.where(~blank("community")).select("query_id"), "query_id", "left_anti")
-        paths.append(stage(search_names(tx, stage(link, "links"), filters, limit), "by_link"))
+        paths.append(stage(search_names(tx, stage(link.join(parsed, "query_id"), "links"), filters, limit), "by_link"))
     paths.append(search_addresses(tx, queries, filters, "date", limit, text))
     every = stage(merge_paths(paths, None), "paths")
-    parsed = parse_queries(queries, text).select("query_id", "q_district")
     rows = every.join(R.search_columns(tx), "id").join(parsed, "query_id")
     kept = rows.where(P.in_district(F.col("q_district"))).drop("q_district")
     return top_per(kept, ["query_id"], [F.col("path"), F.col("at"), F.col("id")], limit, rank="position")

@@ -285,7 +285,8 @@ SELECT query_id, community_name FROM (SELECT query_id, community_name, row_numbe
   FROM (SELECT *, min(level) OVER (PARTITION BY query_id) AS best FROM link_hits WHERE query_id < 1000000) x WHERE level = best GROUP BY query_id, community_name) y WHERE rn = 1"""
 CTES["by_project"] = f"""
 SELECT query_id, id, 0 AS path, rn FROM (SELECT l.query_id, t.id, row_number() OVER (PARTITION BY l.query_id ORDER BY {_DATE}) AS rn
-  FROM lead_names l JOIN computed t ON t.community_name = l.community_name) x WHERE rn <= 100"""
+  FROM lead_names l JOIN computed t ON t.community_name = l.community_name JOIN query_table q ON q.query_id = l.query_id
+  WHERE contains(t.district, q.district) OR contains(t.address, q.district)) x WHERE rn <= 100"""
 CTES["by_address"] = f"""
 SELECT query_id, id, 1 AS path, position AS rn FROM ({_CASCADE('query_id < 1000000', _DATE, 100)}) x"""
 
