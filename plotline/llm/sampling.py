@@ -4,6 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from plotline.session import stage
+
+SALTS = 64
+
 
 def held_out(doc_id: Column, parts: int, part: int) -> Column:
     """Whether ``crc32`` of the id as text falls into ``part`` of ``parts``."""
@@ -13,14 +17,20 @@ def held_out(doc_id: Column, parts: int, part: int) -> Column:
 def bounded(rows: DataFrame, group: str, n: int) -> DataFrame:
     """At most ``n`` values of ``doc_id`` for each ``group``, as ``(doc_id, group)``, chosen by a hash of the id.
 
-    ``rows`` need no text.  The groups are counted first; only rows whose hash lies in a share that holds about twice
-    ``n`` are ranked, so what is shuffled does not grow with the input and a frequent group is no hot key.
+    ``rows`` need no text.  The ids of each group are counted first, by a sketch that merges and does not count repeated
+    rows; only ids whose hash lies in a share that holds about twice ``n`` are ranked, so what is ranked does not grow with
+    the input.  The counts are a written table, a row per group: Spark's own size check decides whether they are
+    broadcast, and ``rows`` then stay in place; a join of larger counts is dealt over ``SALTS`` parts of each group.
+    Rows without ``doc_id`` or group are left out; an id that occurs in two groups can be chosen in both.
     """
-    rows = rows.select("doc_id", group).where(F.col("doc_id").isNotNull() & F.col(group).isNotNull())
-    counts = rows.groupBy(F.col(group).alias("__g")).agg(F.count("*").alias("__n"))
+    known = F.col("doc_id").isNotNull() & F.col("__g").isNotNull()
+    rows = stage(rows.select("doc_id", F.col(group).alias("__g")).where(known), "group_ids")
+    counts = stage(rows.groupBy("__g").agg(F.approx_count_distinct("doc_id").alias("__n")), "group_counts")
+    counts = counts.select(F.col("__g").alias("__c"), "__n", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__part"))
     share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    near = rows.join(counts, F.col(group) == F.col("__g")).withColumn("__h", share).where(F.col("__h") * F.col("__n") <= 2.0 * n)
-    near = near.groupBy("doc_id", "__h", "__g").agg(F.count("*").alias("__n"))
+    near = rows.withColumns({"__h": share, "__salt": F.pmod(F.hash("doc_id"), F.lit(SALTS))})
+    near = near.join(counts, (F.col("__g") == F.col("__c")) & (F.col("__salt") == F.col("__part")))
+    near = near.where(F.col("__h") * F.col("__n") <= 2.0 * n).groupBy("doc_id", "__h", "__g").agg(F.count("*").alias("__n"))
     rank = F.row_number().over(Window.partitionBy("__g").orderBy("__h", "doc_id"))
     return near.withColumn("__r", rank).where(F.col("__r") <= n).select("doc_id", F.col("__g").alias(group))
 

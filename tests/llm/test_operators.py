@@ -8,9 +8,10 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from plotline.llm import chat, decontaminate, fingerprints, jaccard, language, licenses, line_dedup, packing, quality, toxicity
+from plotline.llm import chat, decontaminate, fingerprints, jaccard, language, licenses, line_dedup, packing, quality, sampling, toxicity
 from plotline.llm.queries import tokenizer_path
 from plotline.llm.tokens import Encoder
 
@@ -163,6 +164,21 @@ def test_decontamination(spark, docs, empty):
         decontaminate.find_hits(docs, items, max_item_bytes=10)
 
 
+def test_bounded_sample(spark, empty):
+    """The smallest hashes of each group, whatever its size; repeated rows count once."""
+    rows = [(i, "hot") for i in range(4000)] + [(i, "small") for i in range(5000, 5030)] + [(7000 + i % 3, "repeated") for i in range(6000)]
+    rows += [(None, "hot"), (1, None), (5000, "hot")]
+    table = spark.createDataFrame(rows, "doc_id long, lang string").repartition(5)
+    got = sampling.bounded(table, "lang", 50).collect()
+    share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    want = defaultdict(list)
+    for r in table.where("doc_id is not null and lang is not null").distinct().orderBy(share, "doc_id").collect():
+        want[r.lang].append(r.doc_id)
+    assert sorted(got) == sorted((i, g) for g, ids in want.items() for i in ids[:50])
+    assert {g: len(ids[:50]) for g, ids in want.items()} == {"hot": 50, "small": 30, "repeated": 3}
+    assert sampling.bounded(empty, "lang", 50).count() == 0
+
+
 def test_language(spark, docs, empty):
     rows = [(i, ("the cat and the dog " if i % 2 else "le chat et le chien ") * 5, "en" if i % 2 else "fr") for i in range(40)]
     model = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
