@@ -245,6 +245,14 @@ def test_licenses(spark, docs, empty):
     assert licenses.scan(docs).count() == licenses.scan(empty).count() == 0
 
 
+def test_license_notice_in_a_long_line():
+    rnd = random.Random(1)
+    for size in (2_000, 40_000):
+        filler = [" ".join("".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(2, 9))) for _ in range(size)) for _ in range(2)]
+        got = licenses.judge(f"{filler[0]} Released under the MIT License. {filler[1]}", licenses.TEMPLATES)
+        assert got[0] == "MIT" and got[3] == 0.0
+
+
 def test_chat(spark):
     rows = [(1, 0, "system", "s"), (1, 1, "ann", "hi"), (1, 2, "bob", None), (1, 2, None, "?"), (None, 0, "ann", "x"), (2, 0, "system", "s")]
     got = chat.rotate(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")).collect()
