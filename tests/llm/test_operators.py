@@ -249,8 +249,41 @@ def test_license_notice_in_a_long_line():
     rnd = random.Random(1)
     for size in (2_000, 40_000):
         filler = [" ".join("".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(2, 9))) for _ in range(size)) for _ in range(2)]
-        got = licenses.judge(f"{filler[0]} Released under the MIT License. {filler[1]}", licenses.TEMPLATES)
-        assert got[0] == "MIT" and got[3] == 0.0
+        got = licenses.judge(f"{filler[0]} Released under the MIT License. {filler[1]}", licenses.wordings(licenses.TEMPLATES))
+        assert [(r[3], r[6]) for r in got] == [("MIT", 0.0)] and got[0][2] == "Released under the MIT License."
+
+
+def test_license_naming_words():
+    known = licenses.wordings(licenses.TEMPLATES)
+    for text in ("Licensed under CC BY-ND 4.0.", "Released under the BSD License.", "Released under the GPL License.",
+                 "Licensed under the Apache License, Version 1.7.", "This work is licensed under the GNU Library General Public License, version 3."):
+        assert [r[3] for r in licenses.judge(text, known)] == [None], text
+    two = "Released under the MIT License.\nLicensed under the Apache License, Version 2.0."
+    for text in (two, two.replace("\n", " ")):
+        got = licenses.judge(text, known)
+        assert [(r[3], text[r[-2] : r[-1]]) for r in got] == [("MIT", two.split("\n")[0]), ("Apache-2.0", two.split("\n")[1])]
+
+
+def test_license_differences_are_the_smallest():
+    rnd, tried = random.Random(5), 0
+    for _ in range(300):
+        want = [rnd.choice("abcd") for _ in range(rnd.randint(4, 9))]
+        a = rnd.randrange(len(want) - 1)
+        want[a : a + 2] = ["x", "y"]
+        known = licenses.wordings({"L": " ".join([*want[:a], "{x y}", *want[a + 2 :]])})
+        own = [w for w in want for w in ([w] if w in "xy" or rnd.random() < 0.8 else rnd.choice([[], [w, "e"], ["e"]]))]
+        if "x y" not in " ".join(own):
+            continue
+        own = [rnd.choice("abcd") for _ in range(3)] + own + [rnd.choice("abcd") for _ in range(3)]
+        at, cost = own.index("x"), 99
+        for i in range(at + 1):  # brute force over all spans: longest common subsequences left and right of the name
+            for j in range(at + 2, len(own) + 1):
+                same = 2 + sum(int(licenses._common([ord(c) for c in p], [ord(c) for c in q])[-1, -1]) for p, q in ((want[:a], own[i:at]), (want[a + 2 :], own[at + 2 : j])))
+                cost = min(cost, max(len(want) - same, j - i - same))
+        got = licenses.matches(" ".join(own), known, 0.4)
+        assert [round(m.difference * len(want)) for m in got] == ([cost] if cost <= int(0.4 * len(want) + 1e-9) else [])
+        tried += bool(got)
+    assert tried > 100
 
 
 def test_chat(spark):
