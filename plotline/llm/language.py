@@ -4,8 +4,10 @@ Each language has a tree of byte contexts up to ``ORDER`` bytes, counted on a bo
 The probability of a byte is ``c / (n + d)`` in the longest context that the language knows (``c`` of ``n``
 occurrences, ``d`` distinct bytes); a byte not seen there costs the escape ``d / (n + d)`` and is looked up one byte
 shorter, down to a uniform choice among 256 bytes.  The statistics are frozen, so the exact code length of a byte
-is a function of its last ``ORDER`` bytes.  It is tabulated once for the contexts of all languages together, and
-scoring a text is two table look-ups per byte.  The language with the shortest code for the whole text wins.
+is a function of its last ``ORDER`` bytes.  Each language has a table of its own contexts, which no other language
+shortens; a text is scored language by language, by one step per context byte and one look-up per byte.  Every byte
+that a language has seen is a symbol; the others cost the same in each context and share one, so lengths are exact
+for up to ``CONTEXTS`` contexts of a language.  The language with the shortest code for the whole text wins.
 
 Before counting, ASCII and Latin-1 capitals become small, and every run of other ASCII becomes one space.
 
@@ -20,6 +22,7 @@ import pickle
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -27,12 +30,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from plotline.llm.sampling import bounded, texts_of
 from plotline.llm.textops import slices
+from plotline.session import stage
 
 ORDER = 3
 DOCS_PER_LANGUAGE = 400  # bound of the training sample
-MOST_LANGUAGES = 400  # bound of the sample; of more languages the alphabetically first are learnt
-CONTEXTS = 24_000  # bound of the table, over all languages
-SYMBOLS = 127  # most frequent bytes; all others share one symbol
+CONTEXTS = 24_000  # bound of the table of a language
 _LETTER = re.compile(r"[^\W\d_]")
 
 _ASCII = np.arange(256)
@@ -60,8 +62,8 @@ def normalised(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 def sample(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE) -> DataFrame:
     """At most ``per_language`` labelled documents of each language, chosen by a hash of the id."""
     rows = docs.where("lang is not null and text is not null")
-    ids = bounded(rows, "lang", per_language).orderBy("lang", "doc_id")
-    return texts_of(rows, ids, MOST_LANGUAGES * per_language).select("lang", "text")
+    ids = stage(bounded(rows, "lang", per_language), "language_ids")
+    return texts_of(rows, ids, None).select("lang", "text")
 
 
 def gram_counts(rows: DataFrame, order: int = ORDER) -> DataFrame:
@@ -108,89 +110,98 @@ def _contexts(data: np.ndarray, offs: np.ndarray, order: int, space: int) -> lis
     return out
 
 
+@dataclass
+class Table:
+    """Code lengths in bits by context and symbol of one language."""
+
+    symbol: np.ndarray  # symbol of each byte, 0 for bytes not seen
+    steps: list[np.ndarray]  # context by shorter context and the symbol before it, per length
+    bits: np.ndarray  # by context * symbols + symbol
+
+    def costs(self, data: np.ndarray, back: list[np.ndarray]) -> np.ndarray:
+        size = int(self.symbol.max()) + 1
+        node = np.zeros(len(data), np.int32)
+        for step, b in zip(self.steps, back, strict=True):
+            node = step[node * size + self.symbol[b]]
+        return self.bits[node * size + self.symbol[data]].astype(np.float64)
+
+
 @dataclass
 class Model:
-    """Code lengths in bits by context, symbol and language."""
+    """The tables of all languages."""
 
     languages: list[str]
-    symbol: np.ndarray  # symbol of each byte, 0 for rare ones
-    node: np.ndarray  # context number by the last ORDER symbols, oldest first
-    bits: np.ndarray  # (contexts * symbols, languages)
+    tables: list[Table]
     order: int
 
     def lengths(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Code length per text and language, and the number of coded bytes."""
         data, offs = normalised(texts)
-        sym = self.symbol[data]
-        size = int(self.symbol.max()) + 1
-        back = _contexts(sym, offs, self.order, int(self.symbol[32]))
-        at = np.zeros(len(sym), np.int64)
-        for b in reversed(back):
-            at = at * size + b
-        index = self.node[at].astype(np.int64) * size + sym
+        back = _contexts(data, offs, self.order, 32)
         out = np.zeros((len(texts), len(self.languages)))
-        for k in range(len(self.languages)):
-            cost = self.bits[index, k].astype(np.float64)
+        for k, table in enumerate(self.tables):
+            cost = table.costs(data, back)
             cost[offs[:-1]] = 0.0  # the leading space
             total = np.concatenate([[0.0], np.cumsum(cost)])
             out[:, k] = total[offs[1:]] - total[offs[:-1]]
         return out, np.diff(offs) - 1
 
 
-def build(counts: list[tuple[str, bytes, int]], order: int = ORDER, contexts: int = CONTEXTS, symbols: int = SYMBOLS) -> Model:
-    """The tables of all languages from their gram counts."""
-    languages = sorted({r[0] for r in counts})
-    weight = np.zeros(256, np.int64)
-    for _, gram, n in counts:
-        if len(gram) == 1:
-            weight[gram[0]] += n
-    weight[32] += 1
-    used = np.argsort(-weight, kind="stable")[:symbols]
-    used = np.sort(used[weight[used] > 0])
-    symbol = np.zeros(256, np.uint8)
+def _table(counts: Iterable[tuple[bytes, int]], order: int, contexts: int) -> Table:
+    """The table of one language from its gram counts."""
+    tree: dict[bytes, dict[int, int]] = {}
+    for gram, n in counts:
+        own = tree.setdefault(gram[:-1], {})
+        own[gram[-1]] = own.get(gram[-1], 0) + n
+    used = sorted({32}.union(*tree.values(), *tree))
+    symbol = np.zeros(256, np.int32)
     symbol[used] = np.arange(1, len(used) + 1)
     size = len(used) + 1
 
-    # Followers of every context, per language; contexts beyond the bound are the rarest of the longest ones.
-    trees: list[dict[tuple[int, ...], dict[int, int]]] = [{} for _ in languages]
-    total: dict[tuple[int, ...], int] = {}
-    number = {lang: i for i, lang in enumerate(languages)}
-    for lang, gram, n in counts:
-        key = tuple(int(symbol[b]) for b in gram[:-1])
-        own = trees[number[lang]].setdefault(key, {})
-        own[int(symbol[gram[-1]])] = own.get(int(symbol[gram[-1]]), 0) + n
-        total[key] = total.get(key, 0) + n
-    short = sorted((c for c in total if len(c) < order), key=lambda c: (len(c), c))
+    # Contexts beyond the bound are the rarest of the longest ones; a shorter one is always present.
+    total = {c: sum(seen.values()) for c, seen in tree.items()}
+    short = sorted((c for c in {b"", *total} if len(c) < order), key=lambda c: (len(c), c))
     long = sorted((c for c in total if len(c) == order), key=lambda c: (-total[c], c))[: max(0, contexts - len(short))]
     names = short + sorted(long)
     place = {c: i for i, c in enumerate(names)}
 
-    bits = np.zeros((len(names), size, len(languages)), np.float32)
+    bits = np.zeros((len(names), size), np.float32)
     for i, c in enumerate(names):
         suffix = c[1:]
-        while c and suffix not in place:  # a shorter context of another language's gram is always present
+        while c and suffix not in place:
             suffix = suffix[1:]
-        base = bits[place[suffix]] if c else np.full((size, len(languages)), 8.0, np.float32)
-        bits[i] = base
-        for k in range(len(languages)):
-            seen = trees[k].get(c)
-            if seen:
-                n, d = sum(seen.values()), len(seen)
-                bits[i, :, k] = base[:, k] - np.log2(d / (n + d))
-                at = np.fromiter(seen.keys(), np.int64)
-                bits[i, at, k] = -np.log2(np.fromiter(seen.values(), float) / (n + d))
-
-    node = np.zeros(size**order, np.int32)
-    grid = node.reshape((size,) * order)
-    for c in names:  # short contexts first, longer ones overwrite them
-        grid[(..., *c)] = place[c]
-    return Model(languages, symbol, node, bits.reshape(-1, len(languages)), order)
+        bits[i] = bits[place[suffix]] if c else 8.0
+        seen = tree.get(c)
+        if seen:
+            d = len(seen)
+            bits[i] -= np.log2(d / (total[c] + d))
+            bits[i, symbol[list(seen)]] = -np.log2(np.fromiter(seen.values(), float) / (total[c] + d))
+
+    steps = []
+    for k in range(order):  # contexts are in order of their lengths; one that has ended stays
+        rows = sum(len(c) <= k for c in names)
+        step = np.repeat(np.arange(rows, dtype=np.int32)[:, None], size, axis=1)
+        for i, c in enumerate(names):
+            if len(c) == k + 1 and c[1:] in place:
+                step[place[c[1:]], symbol[c[0]]] = i
+        steps.append(step.reshape(-1))
+    return Table(symbol, steps, bits.reshape(-1))
+
+
+def build(counts: Iterable[tuple[str, bytes, int]], order: int = ORDER, contexts: int = CONTEXTS) -> Model:
+    """The tables of all languages from their gram counts, which are in order of the languages."""
+    languages, tables = [], []
+    for lang, rows in groupby(counts, key=lambda r: r[0]):
+        languages.append(lang)
+        tables.append(_table(((bytes(gram), n) for _, gram, n in rows), order, contexts))
+    return Model(languages, tables, order)
 
 
 def train(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE, order: int = ORDER) -> Model | None:
     """A model from the labelled rows of ``docs`` (``text``, ``lang``)."""
-    counts = gram_counts(sample(docs, per_language), order).orderBy("lang", "gram").collect()
-    return build([(r[0], bytes(r[1]), r[2]) for r in counts], order) if counts else None
+    counts = gram_counts(sample(docs, per_language), order).orderBy("lang", "gram")
+    model = build(counts.toLocalIterator(), order)  # the grams of one language at a time
+    return model if model.languages else None
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:

@@ -35,9 +35,10 @@ def bounded(rows: DataFrame, group: str, n: int) -> DataFrame:
     return near.withColumn("__r", rank).where(F.col("__r") <= n).select("doc_id", F.col("__g").alias(group))
 
 
-def texts_of(docs: DataFrame, ids: DataFrame, most: int) -> DataFrame:
-    """``ids`` (a bounded table, at most ``most`` rows) with one text of each document that has one."""
-    ids = ids.limit(most).withColumnRenamed("doc_id", "__id")
-    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(ids), F.col("doc_id") == F.col("__id")).drop("__id")
+def texts_of(docs: DataFrame, ids: DataFrame, most: int | None) -> DataFrame:
+    """``ids`` with one text of each document that has one; at most ``most`` rows of them, or all, a written table, for None."""
+    ids = ids if most is None else F.broadcast(ids.limit(most))
+    ids = ids.withColumnRenamed("doc_id", "__id")
+    rows = docs.select("doc_id", "text").where("text is not null").join(ids, F.col("doc_id") == F.col("__id")).drop("__id")
     others = [c for c in rows.columns if c not in ("doc_id", "text")]
     return rows.groupBy("doc_id", *others).agg(F.min("text").alias("text"))

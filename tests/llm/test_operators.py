@@ -189,6 +189,24 @@ def test_language(spark, docs, empty):
     assert language.train(empty) is None and {r.lang_pred for r in language.predict(docs, None).collect()} == {"und"}
 
 
+def test_languages_do_not_shorten_each_other(spark):
+    docs = [(i, f"word{chr(97 + i % 26)} {chr(97 + i // 26)}x", f"l{i:03}") for i in range(420)]
+    model = language.train(spark.createDataFrame(docs, "doc_id long, text string, lang string"), per_language=1)
+    assert model.languages == [d[2] for d in docs]
+    rnd, texts = random.Random(2), {}
+    texts["a"] = "".join(rnd.choice("abcdefghijkl ") for _ in range(9_000))
+    texts["b"] = "".join(chr(rnd.randrange(0x100, 0x800)) for _ in range(300))
+    counts = []
+    for lang, text in texts.items():
+        grams, n = language._grams(*language.normalised([text]), 3)
+        counts += [(lang, g, int(c)) for g, c in zip(grams, n, strict=True)]
+    both = language.build(counts, contexts=1_500)
+    alone = language.build([c for c in counts if c[0] == "b"], contexts=1_500)
+    probe = [texts["b"][:50], texts["a"][:50], "".join(map(chr, range(0x80, 0x800)))]
+    assert (both.lengths(probe)[0][:, 1] == alone.lengths(probe)[0][:, 0]).all()
+    assert len({int(s) for s in both.tables[1].symbol if s}) > 80
+
+
 def test_code_lengths_are_exact():
     """The table against a walk down the contexts."""
     text = "abracadabra abrakadabra"
