@@ -136,6 +136,16 @@ def _(spark, d):
     return S.search_variants(frame(spark, d, "tx_addr"), q, limit=None).select("query_id", "id")
 
 
+@query("r8_variant_search_whole")
+def _(spark, d):
+    # All lanes and whole house texts, in all their spellings.
+    q = frame(spark, d, "query_table")
+    lane = F.expr("CASE WHEN lane <> '' THEN concat(lane, '巷') ELSE '' END")
+    lanes = q.where("lane <> ''").select("query_id", lane.alias("query_text"))
+    houses = q.select((F.col("query_id") + 1000000).alias("query_id"), F.concat(lane, "number", F.lit("號")).alias("query_text"))
+    return S.search_variants(frame(spark, d, "tx_addr"), lanes.unionByName(houses), limit=None).select("query_id", "id")
+
+
 CTES["phrases"] = """
 SELECT query_id, concat(right(street, 2), CASE WHEN lane <> '' THEN concat(lane, '巷') ELSE '' END, number, '號') AS phrase FROM query_table
 UNION ALL SELECT query_id + 1000000, right(number, 1) FROM query_table WHERE query_id % 100 = 0"""

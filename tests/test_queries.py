@@ -63,3 +63,22 @@ def test_filters_and_columns_reach_the_file(spark, tmp_path):
     plan = report.community_centroids(tx)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [" in plan and "IsNotNull(community_name)" in plan or "Not(EqualTo" in plan
     assert "transaction_date" not in plan.split("ReadSchema")[1]
+
+
+def test_variant_search_is_whole(spark):
+    from pyspark.sql import functions as F
+
+    from plotline.functions import address as A
+    from plotline.plans.fixture import frame
+
+    q = frame(spark, SF, "query_table").select("query_id", "lane", "number").collect()
+    texts = [(r.query_id, r.lane + "巷") for r in q if r.lane]
+    texts += [(r.query_id + 1000000, (r.lane + "巷" if r.lane else "") + r.number + "號") for r in q]
+    asks = spark.createDataFrame([(t,) for t in sorted({t for _, t in texts})], "t string").select("t", A.variants(F.col("t")).alias("v"))
+    spelled = {r.t: r.v for r in asks.collect()}
+    assert max(map(len, spelled.values())) > 8
+    rows = frame(spark, SF, "tx_addr").select("id", "address").collect()
+    hits = {t: {r.id for r in rows if any(v in r.address for v in spelled[t])} for t in spelled}
+    got = catalogue.QUERIES["r8_variant_search_whole"](spark, SF).collect()
+    assert sorted((r.query_id, r.id) for r in got) == sorted((i, k) for i, t in texts for k in hits[t])
+    assert len({r.query_id for r in got}) == len({i for i, t in texts if hits[t]}) > 0
