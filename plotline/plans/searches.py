@@ -59,6 +59,15 @@ def _(spark, d):
     return S.search_level(tx, q, 1)
 
 
+@query(
+    "r1_floor_and_sub_number_whole",
+    "SELECT q.id AS query_id, t.id FROM tx_addr q JOIN tx_addr t ON t.district = q.district AND t.street = q.street AND t.number = q.number AND t.lane = q.lane AND t.alley = q.alley AND t.floor = q.floor AND (q.sub_number = '' OR t.sub_number = q.sub_number)",
+)
+def _(spark, d):
+    tx = frame(spark, d, "tx_addr")
+    return S.search_level(tx, S.parse_queries(tx.select(F.col("id").alias("query_id"), F.col("address").alias("query_text"))), 1)
+
+
 # --- cascade --------------------------------------------------------------
 _LABEL = f"""CASE WHEN t.district = q.district AND t.number = q.number AND {_SAME_LANE} THEN 1 WHEN t.number = q.number AND {_SAME_LANE} THEN 2
 WHEN q.lane <> '' AND t.lane = q.lane AND t.district = q.district THEN 3 WHEN q.lane <> '' AND t.lane = q.lane THEN 4 WHEN t.district = q.district THEN 5 ELSE 6 END"""
@@ -220,6 +229,22 @@ def _(spark, d):
     return out.where("level = 1").groupBy("query_id").agg(F.count("*").alias("rows"))
 
 
+@query("r11_batch_search_whole", "SELECT query_id, CAST(level AS INT) AS level, count(*) AS rows FROM (SELECT *, min(level) OVER (PARTITION BY query_id) AS best FROM (SELECT q.query_id, " + _LABEL + " AS level FROM search_queries q JOIN tx_addr t ON t.street = q.street) m) f WHERE level = best GROUP BY query_id, level")
+def _(spark, d):
+    # Every query has a street that exists, so one of the six levels answers it.
+    out = S.search_addresses(frame(spark, d, "tx_addr"), _mixed(spark, d), limit=None)
+    return out.groupBy("query_id", "level").agg(F.count("*").alias("rows"))
+
+
+@query(
+    "r12_shortened_search_whole",
+    """SELECT q.query_id, t.id FROM (SELECT query_id, concat(street, lane, '巷') AS text FROM query_table WHERE lane <> '') q JOIN tx_addr t ON contains(t.address_half, q.text)""",
+)
+def _(spark, d):
+    q = frame(spark, d, "query_table").where("lane <> ''").select("query_id", F.concat("street", "lane", F.lit("巷777號")).alias("query_text"))
+    return S.search_shortened(frame(spark, d, "tx_addr"), q, limit=None).select("query_id", "id")
+
+
 @query(
     "r12_shortened_search",
     """SELECT q.query_id, t.id FROM (SELECT query_id, concat(street, lane, '巷') AS text FROM query_table WHERE lane <> '' AND query_id % 3 = 0) q JOIN tx_addr t ON contains(t.address_half, q.text)""",

@@ -82,3 +82,11 @@ def test_variant_search_is_whole(spark):
     got = catalogue.QUERIES["r8_variant_search_whole"](spark, SF).collect()
     assert sorted((r.query_id, r.id) for r in got) == sorted((i, k) for i, t in texts for k in hits[t])
     assert len({r.query_id for r in got}) == len({i for i, t in texts if hits[t]}) > 0
+
+
+@pytest.mark.parametrize("name", ["r1_floor_and_sub_number_whole", "r11_batch_search_whole", "r12_shortened_search_whole"])
+def test_whole_searches(spark, con, name):
+    ok, text = compare(spark, con, name, SF)
+    assert ok, text
+    wide, cut = (catalogue.QUERIES[n](spark, SF).select("query_id").distinct().count() for n in (name, name.removesuffix("_whole")))
+    assert wide > cut
