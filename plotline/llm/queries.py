@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plotline.llm import chat, decontaminate, fingerprints, jaccard, language, licenses, line_dedup, packing, quality, toxicity
+from plotline.llm import chat, decontaminate, fingerprints, jaccard, language, licenses, line_dedup, merkle, merkle_sql, packing, quality, toxicity
 from plotline.llm.sampling import held_out
 from plotline.llm.shipping import ship
 
@@ -155,3 +155,8 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_chat_rotation", OP6_SQL)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rotate(table(spark, sf_dir, "conversations"))
+
+
+@query("op11_merkle_manifest", merkle_sql.SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"), held_out(F.col("doc_id"), 3, 0))
