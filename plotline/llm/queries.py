@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plotline.llm import chat, decontaminate, fingerprints, jaccard, language, licenses, line_dedup, merkle, merkle_sql, packing, quality, toxicity
+from plotline.llm import chat, collocations, decontaminate, fingerprints, jaccard, language, licenses, line_dedup, merkle, merkle_sql, packing, quality, redirects, toxicity
 from plotline.llm.sampling import held_out
 from plotline.llm.shipping import ship
 
@@ -29,10 +29,13 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+def query(name: str, sql: str | None = None, native: bool = False) -> Callable[[Query], Query]:
+    """Registers a query; a ``native`` one runs no Python on the executors and needs no sources there."""
+
     def add(fn: Query) -> Query:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            ship(spark)
+            if not native:
+                ship(spark)
             return fn(spark, sf_dir)
 
         QUERIES[name] = run
@@ -101,6 +104,84 @@ FROM o
 """
 
 
+_RULES = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in redirects.RULES)
+_ATTRIBUTE = lambda tag, name: f"""replace(regexp_replace(regexp_extract({tag}, '(?is)[\\s"''/]{name}\\s*=\\s*("[^"]*"|''[^'']*''|[^\\s"''>]+)', 1), '^["'']|["'']$', '', 'g'), '&amp;', '&')"""
+_DOTS = lambda p: f"""CASE WHEN regexp_matches({p}, '(^|/)\\.\\.?(/|$)') THEN coalesce(nullif(array_to_string(list_reduce(
+  list_prepend([''], list_transform(string_split({p}, '/')[2:], lambda x: [x])),
+  lambda a, x: CASE WHEN x[1] = '..' THEN a[1:greatest(len(a) - 1, 1)] WHEN x[1] = '.' THEN a ELSE a || x END)
+  || CASE WHEN string_split({p}, '/')[-1] IN ('.', '..') THEN [''] ELSE [] END, '/'), ''), '/') ELSE {p} END"""
+
+OP12_SQL = f"""
+WITH RECURSIVE parts AS (
+  SELECT *, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{UPPER}', '{LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM (SELECT page_id, html, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages)
+), p AS (SELECT *, host || path || regexp_extract(rest, '^[^?#]*(\\?[^#]*)', 1) AS address FROM parts),
+rules (verdict, r_host, r_path) AS (VALUES {_RULES}),
+tags AS (
+  SELECT host, path, address, unnest(regexp_extract_all(regexp_replace(html,
+    '(?is)<!--.*?(?:-->|$)|<script[\\s/>].*?(?:</script[\\s/>]|$)|<style[\\s/>].*?(?:</style[\\s/>]|$)|<textarea[\\s/>].*?(?:</textarea[\\s/>]|$)|<title[\\s/>].*?(?:</title[\\s/>]|$)', ' ', 'g'),
+    '(?is)<(?:link|meta)[\\s/](?:[^>"'']|"[^"]*"|''[^'']*'')*>')) AS tag
+  FROM p WHERE regexp_matches(html, '(?i)canonical|http-equiv') AND host <> ''
+), targets AS (
+  SELECT *, trim(regexp_replace(CASE
+    WHEN regexp_matches(tag, '(?i)^<link') AND regexp_matches({_ATTRIBUTE("tag", "rel")}, '(?i)(^|\\s)canonical(\\s|$)') THEN {_ATTRIBUTE("tag", "href")}
+    WHEN regexp_matches(tag, '(?i)^<meta') AND regexp_matches({_ATTRIBUTE("tag", "http-equiv")}, '(?i)^\\s*refresh\\s*$')
+      THEN regexp_extract({_ATTRIBUTE("tag", "content")}, '(?is)^\\s*[\\d.]+\\s*[;,]\\s*(?:url\\s*=\\s*)?[''"]?([^''"]*)', 1) END, '[\\t\\r\\n]', '', 'g')) AS t
+  FROM tags
+), full_urls AS (
+  SELECT address, CASE
+    WHEN regexp_matches(t, '(?i)^https?://') THEN substr(t, strpos(t, '://') + 3)
+    WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*:') OR t[1] = '#' THEN NULL
+    WHEN t[1:2] = '//' THEN t[3:] WHEN t[1] = '?' THEN host || path || t
+    WHEN t[1] = '/' THEN host || {_DOTS("regexp_extract(t, '^[^?#]*')")} || regexp_extract(t, '^[^?#]*(.*)', 1)
+    ELSE host || {_DOTS("(regexp_extract(path, '(?s)^(.*)/', 1) || '/' || regexp_extract(t, '^[^?#]*'))")} || regexp_extract(t, '^[^?#]*(.*)', 1) END AS u
+  FROM targets WHERE t <> ''
+), edges AS (
+  SELECT address AS a, translate(regexp_extract(u, '^([^/?#]*)', 1), '{UPPER}', '{LOWER}') || regexp_extract(u, '^[^/?#]*([^#]*)', 1) AS b
+  FROM full_urls WHERE regexp_extract(u, '^([^/?#]*)', 1) <> ''
+), both_ways AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
+reach AS (SELECT a AS v, a AS w FROM both_ways UNION SELECT v, b FROM reach JOIN both_ways ON w = a),
+places AS (SELECT DISTINCT host, path FROM p UNION SELECT regexp_extract(w, '^([^/?#]*)', 1), regexp_extract(w, '^[^/?#]*([^?#]*)', 1) FROM reach),
+fits AS (
+  SELECT host, path, r_host || r_path AS rule, verdict FROM places JOIN rules
+  ON (host = r_host OR ends_with(host, '.' || r_host)) AND starts_with(path, r_path)
+  QUALIFY row_number() OVER (PARTITION BY host, path ORDER BY length(r_host) + length(r_path) DESC, length(r_host) DESC, verdict) = 1
+), shut AS (
+  SELECT v AS address FROM reach JOIN fits ON host = regexp_extract(w, '^([^/?#]*)', 1) AND path = regexp_extract(w, '^[^/?#]*([^?#]*)', 1)
+  GROUP BY v HAVING bool_and(verdict = 'block')
+)
+SELECT page_id, p.host, p.path, rule, CASE WHEN verdict IS NOT NULL THEN verdict WHEN shut.address IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict
+FROM p LEFT JOIN fits ON fits.host = p.host AND fits.path = p.path LEFT JOIN shut ON shut.address = p.address
+"""
+
+_PIECES = f"string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[.,;:!?\\x0A-\\x0D]')"
+
+OP13_SQL = f"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w
+  FROM (SELECT lang, unnest({_PIECES}) AS piece FROM documents)
+), totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM pieces GROUP BY lang),
+f AS (
+  SELECT lang, size, array_to_string(w[i:i + size - 1], ' ') AS phrase, count(*) AS a
+  FROM pieces, unnest(range(1, 6)) AS s(size), unnest(range(1, len(w) - size + 2)) AS t(i) GROUP BY ALL HAVING count(*) >= 100
+), p AS (SELECT lang, size, phrase, a, string_split(phrase, ' ') AS w FROM f),
+longer AS (
+  SELECT lang, phrase, max(a) AS most FROM (
+    SELECT lang, array_to_string(w[:-2], ' ') AS phrase, a FROM p WHERE size > 2
+    UNION ALL SELECT lang, array_to_string(w[2:], ' '), a FROM p WHERE size > 2) GROUP BY ALL
+), cuts AS (
+  SELECT lang, phrase, a, k, array_to_string(w[:k], ' ') AS head, array_to_string(w[k + 1:], ' ') AS rest
+  FROM p LEFT JOIN longer USING (lang, phrase), unnest(range(1, size)) AS t(k) WHERE size > 1 AND (most IS NULL OR 100 * most < 100 * a)
+), scored AS (
+  SELECT lang, c.phrase, c.a, k, l.a AS l, r.a AS r, n, CAST(CAST(1000 AS HUGEINT) * c.a * n // (CAST(l.a AS HUGEINT) * r.a) AS BIGINT) AS score
+  FROM cuts c JOIN f l USING (lang) JOIN f r USING (lang) JOIN totals USING (lang) WHERE l.phrase = head AND r.phrase = rest
+  QUALIFY row_number() OVER (PARTITION BY lang, c.phrase ORDER BY score, k) = 1
+)
+SELECT * EXCLUDE (k), row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank
+FROM scored QUALIFY rank <= 2000
+"""
+
+
 @query("op1_packing")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
@@ -160,3 +241,13 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op11_merkle_manifest", merkle_sql.SQL)
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"), held_out(F.col("doc_id"), 3, 0))
+
+
+@query("op12_url_filters", OP12_SQL, native=True)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return redirects.judge(table(spark, sf_dir, "pages"), redirects.rule_table(spark))
+
+
+@query("op13_collocations", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
