@@ -7,7 +7,7 @@ gets what it misses there, its siblings to the left and right.  A witness belong
 witness is read from the subtrees above it, so nothing is copied down while the tree grows.
 
 Distribution: places in the order come from range partitions and their sizes, so no language meets in one task.  Blocks of
-``WIDTH`` leaves that are aligned with the tree are appended by one task each; their roots are appends to the next tree, whose
+``ARITY ** BLOCK_LEVELS`` leaves that are aligned with the tree are appended by one task each; their roots are appends to the next tree, whose
 blocks are tasks again, until one node is left.  A witness of a block root continues the witness of every leaf below.
 What moves is two digests per row; the texts are hashed where they are read.
 
@@ -30,7 +30,6 @@ from plotline.session import stage
 
 ARITY = 8
 BLOCK_LEVELS = 4
-WIDTH = ARITY**BLOCK_LEVELS
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -85,15 +84,15 @@ def height_of(n: int) -> int:
     return h
 
 
-def grow(nodes: Sequence[str], n: int) -> tuple[Frontier, int, str]:
-    """The tree over one aligned block of a group with ``n`` nodes, its height and its root.
+def grow(nodes: Sequence[str], n: int, levels: int) -> tuple[Frontier, int, str]:
+    """The tree over one aligned block of ``ARITY ** levels`` of a group with ``n`` nodes, its height and its root.
 
     A block of several is as high as a full one, however few nodes it has.
     """
     tree = Frontier()
     for d in nodes:
         tree.append(d)
-    height = BLOCK_LEVELS if n > WIDTH else height_of(n)
+    height = min(levels, height_of(n))
     return tree, height, tree.finish(height)
 
 
@@ -133,52 +132,59 @@ def _in_order(t: pa.Table) -> pa.Table:
     return t.sort_by("idx")
 
 
-def _block_root(t: pa.Table) -> pa.Table:
-    t = _in_order(t)
-    n = t["n"][0].as_py()
-    _, _, root = grow(t["digest"].to_pylist(), n)
-    return pa.table({"gid": t["gid"][:1], "idx": t["block"][:1], "n": pa.array([-(-n // WIDTH)], pa.int64()), "digest": [root]})
+def _block_root(levels: int) -> Callable[[pa.Table], pa.Table]:
+    def run(t: pa.Table) -> pa.Table:
+        t = _in_order(t)
+        n = t["n"][0].as_py()
+        _, _, root = grow(t["digest"].to_pylist(), n, levels)
+        return pa.table({"gid": t["gid"][:1], "idx": t["block"][:1], "n": pa.array([-(-n // ARITY**levels)], pa.int64()), "digest": [root]})
+
+    return run
 
 
-def _blocks(nodes: DataFrame) -> DataFrame:
-    return nodes.withColumn("block", F.floor(F.col("idx") / WIDTH).cast("long"))
+def _blocks(nodes: DataFrame, levels: int) -> DataFrame:
+    return nodes.withColumn("block", F.floor(F.col("idx") / ARITY**levels).cast("long"))
 
 
-def block_roots(nodes: DataFrame) -> DataFrame:
+def block_roots(nodes: DataFrame, levels: int = BLOCK_LEVELS) -> DataFrame:
     """The roots of all blocks of ``nodes`` ``(gid, idx, n, digest)``, as nodes of the next tree."""
-    rows = _blocks(nodes.select("gid", "idx", "n", "digest")).groupBy("gid", "block")
-    return rows.applyInArrow(_block_root, "gid string, idx long, n long, digest string")
+    rows = _blocks(nodes.select("gid", "idx", "n", "digest"), levels).groupBy("gid", "block")
+    return rows.applyInArrow(_block_root(levels), "gid string, idx long, n long, digest string")
 
 
-def _continued(nodes: pa.Table, above: pa.Table) -> pa.Table:
+def _continued(levels: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     """Witnesses of the nodes of a block: their steps inside it, then those of its root."""
-    nodes = _in_order(nodes)
-    tree, height, _ = grow(nodes["digest"].to_pylist(), nodes["n"][0].as_py())
-    rest = [(s["left"], s["right"]) for s in above["witness"][0].as_py()]
-    steps = [_as_rows(tree.witness(i, height) + rest) for i in range(len(nodes))]
-    return pa.table({"gid": nodes["gid"], "idx": nodes["idx"], "root": pa.array([above["root"][0].as_py()] * len(nodes), pa.string()), "witness": pa.array(steps, _PA_STEPS)})
+
+    def run(nodes: pa.Table, above: pa.Table) -> pa.Table:
+        nodes = _in_order(nodes)
+        tree, height, _ = grow(nodes["digest"].to_pylist(), nodes["n"][0].as_py(), levels)
+        rest = [(s["left"], s["right"]) for s in above["witness"][0].as_py()]
+        steps = [_as_rows(tree.witness(i, height) + rest) for i in range(len(nodes))]
+        return pa.table({"gid": nodes["gid"], "idx": nodes["idx"], "root": pa.array([above["root"][0].as_py()] * len(nodes), pa.string()), "witness": pa.array(steps, _PA_STEPS)})
+
+    return run
 
 
 def _as_rows(witness: Sequence[Step]) -> list[dict]:
     return [{"left": a, "right": b} for a, b in witness]
 
 
-def climb(nodes: DataFrame) -> DataFrame:
+def climb(nodes: DataFrame, levels: int = BLOCK_LEVELS) -> DataFrame:
     """``(gid, idx, root, witness)`` for written ``nodes`` ``(gid, idx, n, digest)``: one more tree of blocks a round."""
     most = nodes.agg(F.max("n")).first()[0] or 0
     if most <= 1:
         return nodes.select("gid", "idx", F.col("digest").alias("root"), F.array().cast(_STEPS).alias("witness"))
-    above = climb(stage(block_roots(nodes), "block_roots")).withColumnRenamed("idx", "block")
-    below = _blocks(nodes.select("gid", "idx", "n", "digest"))
-    out = below.groupBy("gid", "block").cogroup(above.groupBy("gid", "block")).applyInArrow(_continued, f"gid string, idx long, root string, witness {_STEPS}")
+    above = climb(stage(block_roots(nodes, levels), "block_roots"), levels).withColumnRenamed("idx", "block")
+    below = _blocks(nodes.select("gid", "idx", "n", "digest"), levels)
+    out = below.groupBy("gid", "block").cogroup(above.groupBy("gid", "block")).applyInArrow(_continued(levels), f"gid string, idx long, root string, witness {_STEPS}")
     return stage(out, "witnesses")
 
 
-def _proofs(full: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
+def _proofs(full: bool, levels: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def run(rows: pa.Table, above: pa.Table) -> pa.Table:
         rows = _in_order(rows)  # never empty: every block root comes from rows
         digests, shown = rows["digest"].to_pylist(), rows["shown"].to_pylist()
-        tree, height, _ = grow(digests, rows["n"][0].as_py())
+        tree, height, _ = grow(digests, rows["n"][0].as_py(), levels)
         rest = [(s["left"], s["right"]) for s in above["witness"][0].as_py()]
         subroot, root = above["subroot"][0].as_py(), above["root"][0].as_py()
         tail = "".join(a + b for a, b in rest)
@@ -202,23 +208,23 @@ def _proofs(full: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
 _SCHEMA = "doc_id {}, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean"
 
 
-def manifest(docs: DataFrame, tampered: Column | None = None, full: bool = False) -> DataFrame:
+def manifest(docs: DataFrame, tampered: Column | None = None, full: bool = False, levels: int = BLOCK_LEVELS) -> DataFrame:
     """Per row its leaf, its tree's root, the root of all, the digest of its witness and the check of the witness.
 
     Where ``tampered`` holds, the check is made with the leaf of the text in lower case.  ``full`` adds the ``witness``
-    itself: per level the siblings to the left and right.
+    itself: per level the siblings to the left and right.  A task appends blocks of ``ARITY ** levels`` leaves.
     """
     rows = stage(leaves(docs, tampered), "leaves")
     order = [F.col("doc_id").asc_nulls_first(), F.col("leaf").asc(), F.col("place").asc()]
     rows = stage(ranked(rows, "gid", order).withColumnRenamed("leaf", "digest").drop("place"), "leaf_places")
-    trees = stage(climb(stage(block_roots(rows), "block_roots")), "trees")
+    trees = stage(climb(stage(block_roots(rows, levels), "block_roots"), levels), "trees")
     subroots = stage(trees.where("idx = 0").select(F.col("gid").alias("name"), F.lit("").alias("gid"), F.col("root").alias("digest")), "subroots")
     tops = stage(ranked(subroots, "gid", [F.col("name").asc()]), "subroot_places")
-    over = climb(tops).select("idx", F.col("root").alias("__top"), F.col("witness").alias("__rest"))
+    over = climb(tops, levels).select("idx", F.col("root").alias("__top"), F.col("witness").alias("__rest"))
     over = over.join(tops.select("idx", "name"), "idx").select(F.col("name").alias("gid"), "__top", "__rest")
     above = join_per_key(trees, over, ["gid"]).select(
         "gid", F.col("idx").alias("block"), F.col("root").alias("subroot"), F.col("__top").alias("root"), F.concat("witness", "__rest").alias("witness")
     )
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = _SCHEMA.format(kind) + (f", witness {_STEPS}" if full else "")
-    return _blocks(rows).groupBy("gid", "block").cogroup(above.groupBy("gid", "block")).applyInArrow(_proofs(full), schema)
+    return _blocks(rows, levels).groupBy("gid", "block").cogroup(above.groupBy("gid", "block")).applyInArrow(_proofs(full, levels), schema)
