@@ -31,7 +31,7 @@ LEAST = 100
 LONGEST = 5
 TOP = 2000
 TILE = 1024
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 3 << 20
 _ID_BITS = 31
 _SALTS = 64
 
@@ -150,7 +150,7 @@ def _paired(chunk: int, lang: str, ids: np.ndarray) -> pa.Table:
     codes, counts = count_tiles(a[both], b[both])
     last = pa.array([0, len(codes)], pa.int32())
     return pa.table({
-        "chunk": pa.array([chunk], pa.int64()), "lang": pa.array([lang]), "seq": pa.array([ids.astype(np.int64).tobytes()], pa.binary()),
+        "chunk": pa.array([chunk], pa.int64()), "lang": pa.array([lang]), "seq": pa.array([ids.astype(np.int32).tobytes()], pa.binary()),
         "codes": pa.ListArray.from_arrays(last, pa.array(codes)), "counts": pa.ListArray.from_arrays(last, pa.array(counts)),
     })
 
@@ -169,7 +169,7 @@ def _pairs_to_ids(level: pa.Table, known: pa.Table) -> pa.Table:
     """Each place gets the id of the pair that begins there, if the pair is frequent."""
     if not len(level) or not len(known):
         return _none()
-    seq = np.frombuffer(level["seq"][0].as_py(), np.int64)
+    seq = np.frombuffer(level["seq"][0].as_py(), np.int32).astype(np.int64)
     code = known["code"].to_numpy()
     order = np.argsort(code)
     code, names = code[order], known["id"].to_numpy()[order]
