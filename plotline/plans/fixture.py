@@ -11,6 +11,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 VIEWS: dict[str, str] = {}
+# Stands where DuckDB has to be told that a replacement applies to all matches.
+EVERYWHERE = "{{,g}}"
 
 VIEWS["tx"] = """
 SELECT
@@ -118,6 +120,13 @@ SELECT 3, concat('bad', cast(id AS STRING)), CASE WHEN id % 2 = 0 THEN '' ELSE r
 FROM tx_addr WHERE id % 17 = 0
 """
 
+# Names that grow with the data: the first three words of the documents, in plain letters.
+VIEWS["titles"] = """
+SELECT min(doc_id) AS item_id, name, count(*) AS tx_count FROM (
+  SELECT doc_id, regexp_replace(lower(regexp_extract(text, '^([^ \n]{1,20} [^ \n]{1,20} [^ \n]{1,20})', 1)), '[^a-z ]', 'x'{{,g}}) AS name FROM documents) x
+WHERE name <> '' GROUP BY name
+"""
+
 
 def prefix(body: str, extra: dict[str, str] | None = None) -> str:
     """``WITH`` clause of the views a statement needs, in dependency order."""
@@ -140,14 +149,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """A table that arrives as fewer splits than there are cores (one small file) is dealt out; any
-    larger table stays as it was read."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the derived views over ``<sf_dir>/orders.parquet``."""
-    spread(table(spark, sf_dir, "orders")).createOrReplaceTempView("orders")
-    return spark.sql(prefix(f"SELECT * FROM {name}"))
+    """One of the derived views over ``<sf_dir>/orders.parquet``.
+
+    Rows are dealt evenly over the tasks, whatever files they come from (adaptive execution sets their number).
+    """
+    table(spark, sf_dir, "orders").hint("rebalance").createOrReplaceTempView("orders")
+    table(spark, sf_dir, "documents").createOrReplaceTempView("documents")
+    return spark.sql(prefix(f"SELECT * FROM {name}").replace(EVERYWHERE, ""))

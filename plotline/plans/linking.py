@@ -209,6 +209,74 @@ def _(spark, d):
     return N.match_names_by_overlap(names, q, 3).select("query_id", "norm", "score")
 
 
+# --- names of documents: a catalogue and keywords that grow with the data ---
+# One letter short, words swapped, one letter wrong.
+CTES["title_queries"] = """
+SELECT 3 * item_id AS query_id, concat(substr(name, 1, 4), substr(name, 6)) AS keyword FROM titles
+UNION ALL SELECT 3 * item_id + 1, concat(split_part(name, ' ', 2), ' ', split_part(name, ' ', 1)) FROM titles
+UNION ALL SELECT 3 * item_id + 2, concat(substr(name, 1, 2), 'q', substr(name, 4)) FROM titles"""
+
+
+def _titles(spark, d):
+    t = frame(spark, d, "titles")
+    forms = ("concat(substr(name, 1, 4), substr(name, 6))", "concat(split_part(name, ' ', 2), ' ', split_part(name, ' ', 1))", "concat(substr(name, 1, 2), 'q', substr(name, 4))")
+    asks = t.select("item_id", F.posexplode(F.array(*[F.expr(f) for f in forms])).alias("k", "keyword"))
+    return t, asks.select((3 * F.col("item_id") + F.col("k")).alias("query_id"), "keyword")
+
+
+CTES["title_pairs"] = """
+SELECT query_id, kw, norm, tx_count, greatest(1, length(kw) // 3) AS allowed, list_sort(list_distinct(string_split(kw, ''))) AS a, list_sort(list_distinct(string_split(norm, ''))) AS b
+FROM (SELECT query_id, replace(upper(keyword), ' ', '') AS kw FROM title_queries) q CROSS JOIN (SELECT replace(upper(name), ' ', '') AS norm, CAST(sum(tx_count) AS BIGINT) AS tx_count FROM titles GROUP BY 1) n"""
+CTES["title_scores"] = """
+SELECT query_id, norm, tx_count, CASE WHEN kw = norm THEN 1000.0E0 + tx_count WHEN contains(norm, kw) THEN length(kw)::DOUBLE / length(norm) * 200 + 500 + least(tx_count, 200) * 0.5E0
+  WHEN contains(kw, norm) THEN length(norm)::DOUBLE / length(kw) * 200 + 400 + least(tx_count, 200) * 0.5E0
+  WHEN length(kw) >= 2 AND norm LIKE concat('%', array_to_string(string_split(kw, ''), '%'), '%') THEN length(kw)::DOUBLE / length(norm) * 200 + 200 + least(tx_count, 50)
+  WHEN abs(length(kw) - length(norm)) <= allowed AND levenshtein(kw, norm) <= allowed THEN 100.0E0 - levenshtein(kw, norm) * 20 + least(tx_count, 30)
+  WHEN length(kw) >= 2 AND len(list_intersect(a, b))::DOUBLE / greatest(len(a), len(b)) >= 0.6 THEN len(list_intersect(a, b))::DOUBLE / greatest(len(a), len(b)) * 80 + 50 + least(tx_count, 20) ELSE 0 END AS score
+FROM title_pairs"""
+
+
+@query(
+    "j10_title_names",
+    """SELECT query_id, norm, round(score, 1) AS score, tx_count FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 1) DESC, tx_count DESC, norm) AS rn FROM title_scores WHERE score > 0) r WHERE rn <= 3""",
+)
+def _(spark, d):
+    t, asks = _titles(spark, d)
+    names = t.groupBy(T.community_name("name", spaces="remove").alias("norm")).agg(F.sum("tx_count").alias("tx_count"))
+    none = F.lit(None).cast("double")
+    names = names.select("norm", "tx_count", F.col("norm").alias("name"), none.alias("avg_price"), none.alias("avg_unit_price"), F.lit("").alias("district"))
+    return N.match_names(names, asks, 3).select("query_id", F.col("name").alias("norm"), "score", "tx_count")
+
+
+# Letters of a name in order, as one number for each letter and place among its equals.
+_TOKENS = lambda c: f"list_transform(range(1, length({c}) + 1), lambda i: concat({c}[i], length({c}[1:i]) - length(replace({c}[1:i], {c}[i], ''))))"
+
+
+@query(
+    "j11_title_names",
+    f"""SELECT query_id, norm, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, tx_count DESC, norm) AS rn FROM (
+    SELECT query_id, norm, tx_count, CAST(CASE WHEN kw = norm THEN 100 WHEN contains(norm, kw) THEN floor(length(kw)::DOUBLE / length(norm) * 15 + 70) WHEN contains(kw, norm) THEN floor(length(norm)::DOUBLE / length(kw) * 10 + 60)
+      WHEN overlap >= 0.55 THEN floor(overlap * 55) ELSE 0 END AS INT) AS score FROM (
+        SELECT *, len(list_intersect(a, b))::DOUBLE / length(kw) AS overlap
+        FROM (SELECT query_id, upper(keyword) AS kw, {_TOKENS('upper(keyword)')} AS a FROM title_queries) q, (SELECT upper(name) AS norm, tx_count, {_TOKENS('upper(name)')} AS b FROM titles) n) o) s WHERE score > 0) r WHERE rn <= 3""",
+)
+def _(spark, d):
+    t, asks = _titles(spark, d)
+    names = t.select(T.community_name("name").alias("norm"), "tx_count", "name", F.lit("").alias("district"))
+    return N.match_names_by_overlap(names, asks, 3).select("query_id", "norm", "score")
+
+
+@query(
+    "j20_title_items",
+    """SELECT query_id, item_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rn FROM (
+    SELECT q.query_id, i.item_id, CAST(CASE WHEN name = keyword THEN 100 WHEN contains(name, keyword) THEN 80 + 2 * length(keyword) WHEN contains(keyword, name) THEN 70
+      ELSE floor((length(keyword) - length(translate(keyword, name, '')))::DOUBLE / length(keyword) * 40) END AS INT) AS score FROM title_queries q CROSS JOIN titles i) s WHERE score >= 20) r WHERE rn = 1""",
+)
+def _(spark, d):
+    t, asks = _titles(spark, d)
+    return N.best_by_name(t, asks).select("query_id", "item_id", "score")
+
+
 # --- candidate scoring by address -----------------------------------------
 CTES["address_items"] = """
 SELECT id AS item_id, street AS road, concat(street, CASE WHEN lane <> '' THEN concat(lane, '巷') ELSE '' END, CASE WHEN lane <> '' AND alley <> '' THEN concat(alley, '弄') ELSE '' END) AS lane_road, CAST(number AS INT) AS num FROM tx_addr WHERE id % 20 = 0"""

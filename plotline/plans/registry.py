@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plotline.plans.fixture import prefix
+from plotline.plans.fixture import EVERYWHERE, prefix
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -42,4 +42,4 @@ def variants(template: str, sql: Callable[[str], str], names: list[str]) -> Call
 
 def oracles() -> dict[str, str]:
     """Complete oracle statements, each with the views it needs."""
-    return {n: prefix(sql, CTES) for n, sql in _SQL.items()}
+    return {n: prefix(sql, CTES).replace(EVERYWHERE, ", 'g'") for n, sql in _SQL.items()}

@@ -1,7 +1,7 @@
 """Set-at-a-time operators against brute force, input order, hot keys and restarts."""
 
 import random
-from collections import Counter
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -331,3 +331,45 @@ def test_names_with_spaces_and_widths(spark):
     df = spark.createDataFrame([(" Ａ加　ｂ館 ",)], "n string")
     r = df.select(T.community_name("n").alias("a"), T.community_name("n", "remove").alias("b")).first()
     assert (r.a, r.b) == ("A加 B館", "A加B館")
+
+
+@pytest.mark.parametrize(("rule", "most"), [("tiers", 0.2), ("overlap", 0.08), ("item", 0.08)])
+def test_name_searches_compare_few_pairs(spark, monkeypatch, rule, most):
+    """Names of 18 letters of one alphabet; the share falls as the catalogue grows (README)."""
+    from plotline.plans import linking as P
+
+    titles, asks = P._titles(spark, "/root/testdata/sf0.01")
+    seen, scored = [], N._scored
+
+    def counted(names, queries, pairs):
+        seen.append(pairs.count())
+        return scored(names, queries, pairs)
+
+    monkeypatch.setattr(N, "_scored", counted)
+    names = titles.select(F.upper("name").alias("norm"), "name", "tx_count", F.lit("").alias("district"), *[F.lit(0.0).alias(c) for c in ("avg_price", "avg_unit_price")])
+    if rule == "tiers":
+        N.match_names(names, asks, 3)
+    elif rule == "overlap":
+        N.match_names_by_overlap(names, asks, 3)
+    else:
+        N.best_by_name(titles, asks)
+    assert 0 < sum(seen) < most * titles.count() * asks.count()
+
+
+def test_names_are_few_steps_from_all_names(spark):
+    """Long and short keywords, letters that no name has, doubled letters; against the scores of all names."""
+    rnd = random.Random(8)
+    word = lambda n: "".join(rnd.choice("aabbcdefgh") for _ in range(n))
+    names = sorted({word(rnd.randint(1, 24)) for _ in range(220)})
+    keys = [(i, word(rnd.randint(1, 24)) + rnd.choice(["", "zz", "a"])) for i in range(50)] + [(99, "zzzz"), (98, "aaaa")]
+    nd = spark.createDataFrame([(n.upper(), n, len(n) % 7, 0.0, 0.0, "") for n in names], "norm string, name string, tx_count long, avg_price double, avg_unit_price double, district string")
+    qd = spark.createDataFrame(keys, "query_id long, keyword string")
+    for run in (lambda n: N.match_names(nd, qd, n), lambda n: N.match_names_by_overlap(nd, qd, n)):
+        every = defaultdict(list)
+        for r in run(10**6).collect():
+            every[r.query_id].append((-r.score, -r.tx_count, r.name))
+        for n in (1, 4):
+            got = defaultdict(list)
+            for r in run(n).collect():
+                got[r.query_id].append((-r.score, -r.tx_count, r.name))
+            assert {q: sorted(v) for q, v in got.items()} == {q: sorted(v)[:n] for q, v in every.items()}
