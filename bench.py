@@ -15,7 +15,8 @@ f5_bounding_box o1_order_by_date w1_address_count p3_display_rows
 a1_result_summary a2_community_summaries a3_price_trend_quarterly a5_community_catalogue a9_coverage
 a17_map_groups z1_standardise e1_merge_and_enrich a11_outcome_counts s1_registry_csv s3_api_rows
 r7_structured_cascade r8_variant_search r10_phrase_index j8_address_to_community j10_o4_fuzzy_names
-j12_sibling_numbers j3_w4_point_lookup j5_geocode e6_area_search o2_area_search f6_community_search t3_stream_upsert
+j12_sibling_numbers j3_w4_point_lookup j5_geocode e6_area_search e6_area_of_stored_table f5_box_of_stored_table o2_area_search
+f6_community_search t3_stream_upsert j10_title_names
 """.split()
 
 
@@ -31,6 +32,9 @@ def main() -> None:
     spark.sparkContext.setLogLevel("OFF")
     names = [n for n in os.environ.get("BENCH_QUERIES", "").split(",") if n] or HEADLINE
     catalogue.QUERIES["a9_coverage"](spark, sf_dir).collect()  # starts the session
+    for n in ("s1_registry_csv", "f5_box_of_stored_table"):  # their stored inputs are written before the clock runs
+        if n in names or n.startswith("f5") and "e6_area_of_stored_table" in names:
+            catalogue.QUERIES[n](spark, sf_dir)
     times: dict[str, float] = {}
     for n in names:
         t = time.time()

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from plotline.functions import address as A
 from plotline.functions.text import blank
 from plotline.operators import filters as P, present as R, textjoin as X
+from plotline.operators.cells import in_box
 from plotline.operators.stats import join_back, top_per
 from plotline.session import stage
 
@@ -237,8 +238,8 @@ def search_names(tx: DataFrame, names: DataFrame, filters: P.Filters | None = No
 
 
 def search_area(tx: DataFrame, box: tuple[float, float, float, float], filters: P.Filters | None = None, limit: int | None = 500) -> DataFrame:
-    """Rows inside (south, north, west, east), newest first."""
-    rows = tx.where(P.in_box(*box))
+    """Rows inside (south, north, west, east), newest first; a table laid out by place is read in part."""
+    rows = in_box(tx, box)
     if filters is not None:
         rows = rows.where(P.raw_filters(filters))
     return R.search_columns(R.newest(rows, limit))

@@ -7,9 +7,12 @@ address can be checked against them.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from plotline.session import scratch_folder
+
 VIEWS: dict[str, str] = {}
 # Stands where DuckDB has to be told that a replacement applies to all matches.
 EVERYWHERE = "{{,g}}"
@@ -157,3 +160,16 @@ def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     table(spark, sf_dir, "orders").hint("rebalance").createOrReplaceTempView("orders")
     table(spark, sf_dir, "documents").createOrReplaceTempView("documents")
     return spark.sql(prefix(f"SELECT * FROM {name}").replace(EVERYWHERE, ""))
+
+
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str, write: Callable[[str], None]) -> str:
+    """Folder of a table that queries read as it was stored; written once per application and input."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _STORED:
+        path = scratch_folder(spark, name)
+        write(path)
+        _STORED[key] = path
+    return _STORED[key]

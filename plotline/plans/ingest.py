@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from plotline import schema
 from plotline.operators import community as C, geo, ingest as I, present as R, report as Q
-from plotline.plans.fixture import frame
+from plotline.plans.fixture import frame, stored
 from plotline.plans.registry import CTES, query
 from plotline.session import scratch_folder
 from plotline.sources import readers as IN, writers as OUT
@@ -38,9 +38,7 @@ def _registry_file(spark, d):
         for n in schema.REGISTRY_COLUMNS
     ])
     english = spark.range(1).select(*[F.lit(f"The {n}").alias(n) for n in schema.REGISTRY_COLUMNS])
-    path = scratch_folder(spark, "registry")
-    rows.unionByName(english).write.option("header", True).csv(path)
-    return path
+    return stored(spark, d, "registry", lambda path: rows.unionByName(english).write.option("header", True).csv(path))
 
 
 @query(
@@ -316,7 +314,7 @@ def _(spark, d):
 def _(spark, d):
     path = scratch_folder(spark, "table")
     OUT.write_transactions(IN.canonical(frame(spark, d, "tx_addr")), path)
-    return spark.read.parquet(path).select("id", "address", "transaction_date", "total_price", "community_name")
+    return OUT.read_transactions(spark, path).select("id", "address", "transaction_date", "total_price", "community_name")
 
 
 @query("k2_incremental_upsert", "SELECT * FROM merged")
@@ -326,7 +324,7 @@ def _(spark, d):
     # The sources arrive one after the other; the table must equal one import of all.
     for rank in (1, 2, 3):
         OUT.upsert_transactions(spark, rows.where(F.col("source_rank") == rank), path)
-    return spark.read.parquet(path).select(*_MERGED_COLS)
+    return OUT.read_transactions(spark, path).select(*_MERGED_COLS)
 
 
 @query(
@@ -450,7 +448,7 @@ def _(spark, d):
         part.repartition(2, "dedup_key").write.parquet(landing)
         stream = ST.read_landing(spark, landing, part.schema, 1)
         ST.upsert_stream(stream, path, f"{mark}-{rank}", rank).awaitTermination()
-    return spark.read.parquet(path).select(*_MERGED_COLS)
+    return OUT.read_transactions(spark, path).select(*_MERGED_COLS)
 
 
 @query(

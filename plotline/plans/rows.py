@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from plotline import constants as K
 from plotline.functions import address as A, dates as D, money as M, text as T, values as V
-from plotline.operators import filters as P, gazetteer as G, geo, present as R, standardise as Z
+from plotline.operators import cells as X, filters as P, gazetteer as G, geo, present as R, standardise as Z
 from plotline.operators.filters import Filters
 from plotline.operators.stats import upper_median, with_count
-from plotline.plans.fixture import frame, table
+from plotline.plans.fixture import frame, stored, table
 from plotline.plans.registry import CTES, query, variants
 
 AS_OF = 112  # calendar year the "recent" queries look back from
@@ -229,6 +229,20 @@ def _(spark, d):
     return frame(spark, d, "tx_addr").where(P.in_box(*_BOX)).select("id", "lat", "lng")
 
 
+def by_place(spark, d):
+    """The transactions as a table laid out by place."""
+    path = stored(spark, d, "by_place", lambda p: X.write_by_place(frame(spark, d, "tx_addr"), p))
+    return spark.read.parquet(path)
+
+
+@query(
+    "f5_box_of_stored_table",
+    "SELECT id, lat, lng FROM computed WHERE lat BETWEEN 22.5 AND 23.5 AND lng BETWEEN 120.4 AND 121.2",
+)
+def _(spark, d):
+    return X.in_box(by_place(spark, d), _BOX).select("id", "lat", "lng")
+
+
 @query(
     "f7_district_of_text",
     "SELECT q.query_id, t.id FROM query_table q JOIN tx_addr t ON t.street = q.street AND t.number = q.number WHERE t.district = q.district",

@@ -11,7 +11,7 @@ from plotline.operators import (
 from plotline.operators.filters import Filters
 from plotline.plans.fixture import frame, table
 from plotline.plans.registry import CTES, query, variants
-from plotline.plans.rows import _SHOWN
+from plotline.plans.rows import _SHOWN, by_place
 from plotline.session import stage
 
 
@@ -359,6 +359,11 @@ def _(spark, d):
     return _area_rows(spark, d).select(*_SHOWN)
 
 
+@query("e6_area_of_stored_table", f"SELECT {', '.join(_SHOWN)} FROM area_rows")
+def _(spark, d):
+    return R.display_rows(S.search_area(by_place(spark, d), _AREA, limit=500), mode="db").select(*_SHOWN)
+
+
 @query(
     "e6_area_summary",
     """SELECT count(*) AS total, CAST(coalesce(round(avg(CASE WHEN price > 0 THEN price END)), 0) AS BIGINT) AS avg_price, min(CASE WHEN price > 0 THEN price END) AS min_price, max(CASE WHEN price > 0 THEN price END) AS max_price

@@ -2,40 +2,62 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from plotline.functions import dates as D
 from plotline.functions.text import blank
 from plotline.operators.ingest import merge_duplicates
 from plotline.session import stage
+from plotline.sources.snapshots import BUCKET, MONTH, Snapshot, add_files, publish, read, snapshot
 
-MONTH = "tx_month"
+# Key buckets of a new table: a batch rewrites those of its keys, not whole months.
+BUCKETS = 4
 
 
 def _month() -> Column:
-    """Partition of a transaction: year and month of its date.  A dedup key holds the date, so all
-    copies of one transaction share a partition."""
+    """Month of a transaction's date, ``none`` without a calendar month.  A dedup key holds the date, so all
+    copies of one transaction share it."""
     d = F.substring(D.compact(F.coalesce("transaction_date", F.lit(""))), 1, 7)
     # The letter keeps the folder name text when Spark infers partition types.
     return F.when(
-        d.rlike("^[0-9]{5,7}$"), F.concat(F.lit("m"), F.substring(d, F.lit(1), F.length(d) - 2))
+        d.rlike("^[0-9]{1,3}(0[1-9]|1[0-2])[0-9]{2}$"), F.concat(F.lit("m"), F.substring(d, F.lit(1), F.length(d) - 2))
     ).otherwise("none")
 
 
+def _bucket(df: DataFrame, buckets: int) -> Column:
+    """Bucket of a row's key; rows without one go by their address, so equal rows share a bucket."""
+    parts = [c for c in ("dedup_key", "address") if c in df.columns]
+    return F.pmod(F.xxhash64(F.coalesce(*parts, F.lit(""))), F.lit(buckets)).cast("int")
+
+
+def _grouped(df: DataFrame, buckets: int) -> DataFrame:
+    return df.withColumns({MONTH: _month(), BUCKET: _bucket(df, buckets)})
+
+
 def _laid_out(df: DataFrame) -> DataFrame:
-    """Rows by month; inside a file sorted for address look-ups, so that row groups can be skipped.
+    """Rows by group; inside a file sorted for address look-ups, so that row groups can be skipped.
 
-    The rebalance lets adaptive execution split a month that holds a large share of the rows and
-    put small months together.
+    The rebalance lets adaptive execution split a group that holds a large share of the rows and
+    put small ones together.
     """
     order = [c for c in ("district", "street", "number") if c in df.columns]
-    return df.withColumn(MONTH, _month()).hint("rebalance", MONTH).sortWithinPartitions(MONTH, *order)
+    return df.hint("rebalance", MONTH, BUCKET).sortWithinPartitions(MONTH, BUCKET, *order)
+
 
+def write_transactions(df: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+    """The canonical table; a table that is there is replaced by the next version."""
+    spark = df.sparkSession
+    old = snapshot(spark, path)
+    groups = add_files(_laid_out(_grouped(df, buckets)), path)
+    publish(spark, path, Snapshot(old.version + 1 if old else 1, buckets, df.schema, groups))
 
-def write_transactions(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """The canonical table, partitioned by month."""
-    _laid_out(df).write.mode(mode).partitionBy(MONTH).parquet(path)
+
+def read_transactions(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """The table's newest version, or an older one; ``tx_month`` and ``tx_bucket`` are its folders."""
+    snap = snapshot(spark, path, version)
+    if snap is None:
+        raise FileNotFoundError(f"{path} has no published version")
+    return read(spark, path, snap)
 
 
 def _larger_multiset(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -46,42 +68,35 @@ def _larger_multiset(old: DataFrame, new: DataFrame) -> DataFrame:
     return n.withColumn("__i", F.explode(F.sequence(F.lit(1), F.greatest("__a", "__b")))).select(*cols)
 
 
-def _months_of(stored: DataFrame, batch: DataFrame) -> DataFrame:
-    """The stored rows in the months of the batch; other folders are not read."""
-    months = [r[MONTH] for r in batch.select(_month().alias(MONTH)).distinct().collect()]
-    return stored.where(F.col(MONTH).isin(months))
-
-
-def upsert_transactions(spark: SparkSession, batch: DataFrame, path: str) -> None:
-    """Merge a batch into the stored table, rewriting only the months it touches.
+def upsert_transactions(spark: SparkSession, batch: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+    """Merge a batch into the stored table, rewriting only the groups (month and key bucket) it touches.
 
     Stored rows precede the batch.  Running the same batch again changes nothing: rows without a
-    key count as the same row as far as their whole content occurs equally often.
-
-    The months of a batch (calendar months, so few) become literal partition values, and the scan
-    of the stored table lists only their folders.
+    key count as the same row as far as their whole content occurs equally often.  New files are written beside the
+    old ones and become the table in one step; until then, and after a failure, readers find the version before.
     """
-    batch = stage(batch, "batch")
-    try:
-        stored = spark.read.parquet(path)
-    except AnalysisException as e:  # the table does not exist yet
-        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            raise
-        write_transactions(merge_duplicates(batch).drop("source_rank", "ingest_seq"), path, "append")
+    old = snapshot(spark, path)
+    if old is None:
+        write_transactions(merge_duplicates(batch).drop("source_rank", "ingest_seq"), path, buckets)
         return
-    touched = _months_of(stored, batch)
+    batch = stage(_grouped(batch, old.buckets), "batch")
+    # Calendar months by buckets.
+    touched = [(r[0], r[1]) for r in batch.select(MONTH, BUCKET).distinct().collect()]
+    stored = read(spark, path, old, touched).drop(MONTH, BUCKET)
+    batch = batch.drop(MONTH, BUCKET)
     # Stored rows are already merged, one per key; content decides among rows without a key.
-    old = touched.drop(MONTH).withColumns({"source_rank": F.lit(0), "ingest_seq": F.lit("")})
+    before = stored.withColumns({"source_rank": F.lit(0), "ingest_seq": F.lit("")})
     new = batch.withColumn("source_rank", F.col("source_rank") + 1)
     keyless = F.col("dedup_key").isNull()
     merged = merge_duplicates(
-        old.where(~keyless).unionByName(new.where(~keyless), allowMissingColumns=True)
+        before.where(~keyless).unionByName(new.where(~keyless), allowMissingColumns=True)
     ).drop("source_rank", "ingest_seq")
     loose = _larger_multiset(
-        old.where(keyless).drop("source_rank", "ingest_seq"), new.where(keyless).drop("source_rank", "ingest_seq")
+        before.where(keyless).drop("source_rank", "ingest_seq"), new.where(keyless).drop("source_rank", "ingest_seq")
     )
-    out = _laid_out(merged.unionByName(loose))
-    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(MONTH).parquet(path)
+    rows = merged.unionByName(loose)
+    groups = add_files(_laid_out(_grouped(rows, old.buckets)), path)
+    publish(spark, path, Snapshot(old.version + 1, old.buckets, rows.schema, old.groups | groups))
 
 
 def export_csv(df: DataFrame, path: str, newest_by: str | None = None, limit: int | None = None) -> None:

@@ -7,13 +7,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from plotline import schema
-from plotline.functions import text as T
-from plotline.operators import community as C, ingest as I, names as N, search as S, textjoin as X
+from plotline.functions import dates as D, text as T
+from plotline.operators import cells as CE, community as C, filters as P, ingest as I, names as N, search as S, textjoin as X
 from plotline.operators.gazetteer import read_gazetteer
 from plotline.operators.stats import top_per, upper_median, with_count
 from plotline.plans import fixture
 from plotline.session import scratch_folder
-from plotline.sources import readers as IN, writers as OUT
+from plotline.sources import readers as IN, snapshots as SN, writers as OUT
 
 SF = "/root/testdata/sf0.001"
 
@@ -23,6 +23,11 @@ def arrivals(spark):
     return I.with_dedup_key(accepted).drop("expected_key")
 
 
+def a_year(spark):
+    """The arrivals of few months, for tests that write the stored table several times."""
+    return arrivals(spark).where(D.compact("transaction_date").rlike("^10[45]0[1-4]"))
+
+
 def rows(df):
     return sorted((tuple(r) for r in df.collect()), key=repr)
 
@@ -56,11 +61,11 @@ def test_merge_does_not_depend_on_order_or_partitions(spark):
 
 def test_import_twice_is_import_once(spark):
     path = scratch_folder(spark, "twice")
-    a = arrivals(spark)
+    a = a_year(spark)
     OUT.upsert_transactions(spark, a, path)
-    first = rows(spark.read.parquet(path).select("dedup_key", "serial_no", "lat", "note"))
+    first = rows(OUT.read_transactions(spark, path).select("dedup_key", "serial_no", "lat", "note"))
     OUT.upsert_transactions(spark, a, path)
-    assert rows(spark.read.parquet(path).select("dedup_key", "serial_no", "lat", "note")) == first
+    assert rows(OUT.read_transactions(spark, path).select("dedup_key", "serial_no", "lat", "note")) == first
 
 
 def test_rows_without_key_survive_a_second_import(spark):
@@ -70,10 +75,10 @@ def test_rows_without_key_survive_a_second_import(spark):
     )
     a = a.unionByName(a.where("dedup_key is null"))
     OUT.upsert_transactions(spark, a, path)
-    first = rows(spark.read.parquet(path).select("dedup_key", "serial_no"))
+    first = rows(OUT.read_transactions(spark, path).select("dedup_key", "serial_no"))
     assert len([r for r in first if r[0] is None]) == a.where("dedup_key is null").count() > 0
     OUT.upsert_transactions(spark, a, path)
-    assert rows(spark.read.parquet(path).select("dedup_key", "serial_no")) == first
+    assert rows(OUT.read_transactions(spark, path).select("dedup_key", "serial_no")) == first
 
 
 def test_first_row_of_a_file_wins_whatever_the_blocks(spark, tmp_path):
@@ -110,24 +115,112 @@ def test_gazetteer_keeps_the_order_of_its_file(spark, tmp_path):
     assert read_gazetteer(spark, str(tmp_path / "g.csv")).first().cities == ["新竹市", "台中市"]
 
 
-def test_upsert_reads_and_writes_the_months_of_the_batch_only(spark, capfd):
-    path = scratch_folder(spark, "months")
-    a = arrivals(spark)
+def _files(spark, path, where):
+    return set(rows(OUT.read_transactions(spark, path).where(where).select(F.input_file_name()).distinct()))
+
+
+def test_upsert_reads_and_writes_the_groups_of_the_batch_only(spark):
+    path = scratch_folder(spark, "groups")
+    a = a_year(spark)
     OUT.upsert_transactions(spark, a, path)
-    stored = spark.read.parquet(path)
-    month = stored.select(OUT.MONTH).first()[0]
-    batch = a.where(OUT._month() == month)
-    OUT._months_of(stored, batch).explain("formatted")
-    filters = [line for line in capfd.readouterr().out.splitlines() if "PartitionFilters" in line]
-    assert filters and all(f"= {month})" in line for line in filters)
-
-    def others():
-        rest = spark.read.parquet(path).where(F.col(OUT.MONTH) != month)
-        return rows(rest.select(F.input_file_name()).distinct())
-
-    before = others()
+    month, bucket = OUT.read_transactions(spark, path).where("tx_bucket = 2").select(OUT.MONTH, OUT.BUCKET).first()
+    batch = OUT._grouped(a, OUT.BUCKETS).where((F.col(OUT.MONTH) == month) & (F.col(OUT.BUCKET) == bucket)).drop(OUT.MONTH, OUT.BUCKET)
+    mine = (F.col(OUT.MONTH) == month) & (F.col(OUT.BUCKET) == bucket)
+    others, own = _files(spark, path, ~mine), _files(spark, path, mine)
     OUT.upsert_transactions(spark, batch, path)
-    assert others() == before != []
+    assert _files(spark, path, ~mine) == others != set()
+    assert _files(spark, path, mine).isdisjoint(own)
+    assert SN.versions(spark, path) == [1, 2]
+
+
+def test_a_stopped_write_leaves_the_old_table_whole(spark, monkeypatch):
+    path = scratch_folder(spark, "stopped")
+    a = a_year(spark)
+    half = F.pmod(F.xxhash64("serial_no"), F.lit(2)) == 0
+    OUT.upsert_transactions(spark, a.where(half), path)
+    seen = lambda version=None: rows(OUT.read_transactions(spark, path, version).select("dedup_key", "serial_no", "note"))
+    first, opened = seen(), OUT.read_transactions(spark, path).select("dedup_key", "serial_no", "note")
+
+    def stop(*_):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(OUT, "publish", stop)
+        with pytest.raises(RuntimeError, match="lost"):
+            OUT.upsert_transactions(spark, a, path)
+    assert seen() == first and SN.versions(spark, path) == [1]
+    OUT.upsert_transactions(spark, a, path)
+    before = I.merge_duplicates(a.where(half)).withColumns({"source_rank": F.lit(0), "ingest_seq": F.lit("")})
+    once = rows(I.merge_duplicates(before.unionByName(a)).select("dedup_key", "serial_no", "note"))
+    assert seen() == once != first
+    assert seen(1) == first == rows(opened)  # an open reader keeps its version
+    assert SN.vacuum(spark, path) > 0
+    assert seen() == once and SN.versions(spark, path) == [2]
+    assert SN.vacuum(spark, path) == 0
+
+
+def test_a_version_is_published_once(spark):
+    path = scratch_folder(spark, "once")
+    a = arrivals(spark).limit(50)
+    OUT.upsert_transactions(spark, a, path)
+    with pytest.raises(RuntimeError, match="another writer"):
+        SN.publish(spark, path, SN.snapshot(spark, path))
+    assert SN.versions(spark, path) == [1]
+
+
+def test_months_are_calendar_months(spark):
+    dates = ["1130101", "990230", "0990101", "113/1/2", "11301", "9999999", "1131301", "", None, "20240101"]
+    got = [r[0] for r in spark.createDataFrame([(d,) for d in dates], "transaction_date string").select(OUT._month()).collect()]
+    assert got[:3] == ["m11301", "m9902", "m09901"] and got[5:9] == ["none"] * 4
+
+
+# --- boxes ----------------------------------------------------------------
+BOXES = [(22.5, 23.5, 120.4, 121.2), (23.0, 23.0, 121.0, 121.0), (-90.0, 90.0, -180.0, 180.0), (24.99, 25.01, 121.49, 121.51), (-1.0, 1.0, -1.0, 1.0), (24.0, 23.0, 120.0, 121.0), (10.0, 11.0, 179.9, 400.0)]
+
+
+@pytest.mark.parametrize("box", BOXES)
+def test_ranges_cover_their_box(spark, box):
+    rnd = random.Random(4)
+    south, north, west, east = box
+    ranges = CE.box_ranges(box)
+    assert len(ranges) <= CE.RANGES and all(a <= b for a, b in ranges) and all(x[1] + 1 < y[0] for x, y in zip(ranges, ranges[1:]))
+    points = [(rnd.uniform(south, north), rnd.uniform(west, min(east, 180.0))) for _ in range(300)] + [(south, west), (north, min(east, 180.0))]
+    df = spark.createDataFrame(points, "lat double, lng double")
+    cells = [r[0] for r in df.select(CE.cell_of(F.col("lat"), F.col("lng"))).collect()]
+    if south <= north:
+        assert all(any(a <= c <= b for a, b in ranges) for c in cells)
+    else:
+        assert ranges == []
+
+
+def test_cells_interleave_the_grid(spark):
+    points = [(-90.0, -180.0), (90.0, 180.0), (25.03, 121.5), (-0.0001, 0.0), (0.0, -0.0001), (None, 1.0)]
+
+    def cell(lat, lng):
+        x, y = (min(int((v - low) / w * 2**20), 2**20 - 1) for v, low, w in ((lng, -180, 360), (lat, -90, 180)))
+        return sum((x >> i & 1) << 2 * i | (y >> i & 1) << 2 * i + 1 for i in range(20))
+
+    got = spark.createDataFrame(points, "lat double, lng double").select(CE.cell_of(F.col("lat"), F.col("lng")).alias("c"), CE.tile_of(F.col("c")).alias("t")).collect()
+    assert [r.c for r in got] == [None if a is None else cell(a, b) for a, b in points]
+    assert [r.t for r in got] == [-1 if r.c is None else r.c >> 20 for r in got]
+
+
+def test_boxes_read_their_share_of_the_files(spark):
+    path = scratch_folder(spark, "by_place")
+    points = spark.range(40_000).select("id", (F.lit(21.0) + F.pmod(F.xxhash64("id"), F.lit(5000)) / 1000).alias("lat"), (F.lit(119.0) + F.pmod(F.hash("id"), F.lit(4000)) / 1000).alias("lng"))
+    CE.write_by_place(points.unionByName(points.limit(5).select("id", F.lit(None).cast("double").alias("lat"), "lng")), path)
+    table = spark.read.parquet(path)
+    files = lambda df: df.select(F.input_file_name()).distinct().count()
+    total = files(table)
+    for box in [(23.0, 23.2, 120.0, 120.3), (22.0, 24.0, 119.5, 121.0), (0.0, 1.0, 0.0, 1.0)]:
+        got = CE.in_box(table, box)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        chosen, pushed = (plan.split(f"{part}: [")[1].split("]")[0] for part in ("PartitionFilters", "PushedFilters"))
+        assert "tile#" in chosen and "Or(" in pushed
+        assert rows(got.select("id")) == rows(points.where(P.in_box(*box)).select("id"))
+        area = max(0, box[1] - box[0]) * max(0, box[3] - box[2]) / 20
+        assert files(got) <= total * area * 1.2 + 20  # tiles on the edge
+    assert files(CE.in_box(table, (23.0, 23.2, 120.0, 120.3))) < total / 20
 
 
 def test_merge_of_one_hot_key(spark):
