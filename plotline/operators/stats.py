@@ -7,9 +7,13 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from plotline.session import stage
+
 # Relative width of the bracket around the middle, and the sketch's accuracy.
 _BRACKET = (0.48, 0.52)
 _ACCURACY = 1000
+# Ranges of a bracket that are counted at a time.
+_BINS = 256
 # Up to this rank Spark limits window groups before the shuffle (its default threshold).
 _PUSHED_LIMIT = 1000
 
@@ -29,36 +33,44 @@ def join_back(df: DataFrame, per_key: DataFrame, keys: Sequence[str], how: str =
 def upper_median(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
     """Exact upper median (element ``n div 2`` of the sorted non-NULL values) per key.
 
-    A mergeable quantile sketch brackets the middle of each group; a second pass
-    counts what lies below the bracket and builds a histogram of the values
-    inside it.  Only that histogram is ordered, so no task ever sees a whole
-    large group.  Groups of up to ``_ACCURACY`` rows are ordered entirely, and the
-    sketch's error (1/_ACCURACY) is far smaller than the bracket, so the answer
-    is exact in every case.
+    A mergeable quantile sketch brackets the middle of each group; its error is far smaller than the bracket, and a
+    small group's sketch holds all its values.  A second pass counts what lies below the bracket and how often each value
+    inside it occurs.  The value is then selected: ``_BINS`` equal ranges of the bracket are counted, and only the range with the
+    middle goes on, until it is one value.  Nothing is ordered but the ranges of a key, so no task sees a whole group.
     """
     rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("__v"))
     edges = F.percentile_approx("__v", list(_BRACKET), _ACCURACY)
-    bracket = (
-        rows.groupBy(*keys)
-        .agg(F.count("*").alias("__n"), edges.alias("__e"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
-        .select(
-            *keys,
-            F.expr("__n div 2").alias("__skip"),
-            F.when(F.col("__n") <= _ACCURACY, F.col("__lo")).otherwise(F.col("__e")[0]).alias("__lo"),
-            F.when(F.col("__n") <= _ACCURACY, F.col("__hi")).otherwise(F.col("__e")[1]).alias("__hi"),
-        )
-    )
+    bracket = rows.groupBy(*keys).agg(F.expr("count(*) div 2").alias("__skip"), edges.alias("__e"))
+    bracket = bracket.select(*keys, "__skip", F.col("__e")[0].alias("__lo"), F.col("__e")[1].alias("__hi"))
     near = join_back(rows, bracket, keys, "inner").where(F.col("__v") <= F.col("__hi"))
     spot = F.when(F.col("__v") >= F.col("__lo"), F.col("__v"))
-    hist = near.groupBy(*keys, spot.alias("__v")).agg(
-        F.count("*").alias("__c"), F.first("__skip").alias("__skip")
+    hist = stage(near.groupBy(*keys, spot.alias("__v")).agg(F.count("*").alias("__c"), F.first("__skip").alias("__skip")), "middle")
+    below = F.coalesce(F.sum(F.when(F.col("__v").isNull(), F.col("__c"))), F.lit(0))
+    state = hist.groupBy(*keys).agg((F.first("__skip") - below).alias("__skip"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
+    done = None
+    while True:
+        state = stage(state, "median_range")
+        found = state.where("not (__lo < __hi) or __lo is null").select(*keys, F.col("__lo").alias(name))
+        done = found if done is None else done.unionByName(found)
+        if not state.where("__lo < __hi").limit(1).count():
+            return done
+        state = _middle_range(hist, state.where("__lo < __hi"), keys)
+
+
+def _middle_range(hist: DataFrame, state: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Of the ``_BINS`` ranges between ``__lo`` and ``__hi`` of a key, the one that holds element ``__skip``, and its own ends."""
+    inside = join_back(hist.drop("__skip"), state, keys, "inner").where(F.col("__v").between(F.col("__lo"), F.col("__hi")))
+    place = F.floor((F.col("__v") - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * _BINS)
+    bins = inside.groupBy(*keys, "__skip", place.alias("__b")).agg(
+        F.sum("__c").alias("__c"), F.min("__v").alias("__from"), F.max("__v").alias("__to")
     )
-    upto = F.sum("__c").over(Window.partitionBy(*keys).orderBy(F.col("__v").asc_nulls_first()))
-    return (
-        hist.withColumn("__upto", upto)
-        .where(F.col("__upto") > F.col("__skip"))
-        .groupBy(*keys)
-        .agg(F.min("__v").alias(name))
+    each = bins.groupBy(*keys, "__skip").agg(F.array_sort(F.collect_list(F.struct("__b", "__c", "__from", "__to"))).alias("__bins"))
+    before = F.transform("__bins", lambda x, i: F.aggregate(F.slice("__bins", F.lit(1), i), F.lit(0).cast("long"), lambda a, y: a + y["__c"]))
+    each = each.withColumn("__at", F.arrays_zip(F.col("__bins").alias("x"), before.alias("before")))
+    here = F.filter("__at", lambda z: (z["before"] <= F.col("__skip")) & (F.col("__skip") < z["before"] + z["x"]["__c"]))[0]
+    each = each.withColumn("__h", here)
+    return each.select(
+        *keys, (F.col("__skip") - F.col("__h.before")).alias("__skip"), F.col("__h.x.__from").alias("__lo"), F.col("__h.x.__to").alias("__hi")
     )
 
 
