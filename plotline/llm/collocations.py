@@ -6,9 +6,10 @@ frequency, so a pair is a cell of a square and frequent pairs lie near its corne
 cells) and a tile with few as a sorted coordinate list.  Frequent pairs are ranked in turn, and their ids replace the words: two
 pairs that overlap in a word are a phrase of three, and so on, so a longer phrase is always a pair of ids.
 
-Distribution: a chunk holds some megabytes of text of one language and is the unit of all tasks.  Its distinct words and
-pairs, with their counts, are summed by Spark, so the hottest word is a row per chunk.  Ids return to the chunks by the same key;
-nothing is broadcast and no dictionary is held by any task beyond that of its chunk.  Ranks come from range partitions.
+Distribution: a chunk holds some megabytes of text of one language and is the unit of all tasks.  A task adds up the pairs of
+its chunks, tile by tile, and Spark adds up the tasks, so the hottest pair is a row per task.  Ids return to the chunks
+in two parts: those of the ``HEAD`` most frequent pairs, a fixed number, go to every task; all others meet the chunks that have
+them in a join, whose keys are no hot ones.  Words return by the join alone.  Ranks come from range partitions.
 
 Defined cases: NULL text is empty; NULL language is ``und``; NULL ids and repeated rows are ordinary documents, each counted;
 other columns are ignored; an empty table, or one without frequent phrases, gives no rows.  A word is any run without space,
@@ -21,7 +22,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from plotline.llm.spread import join_per_key, ranked
@@ -32,6 +33,8 @@ LONGEST = 5
 TOP = 2000
 TILE = 1024
 CHUNK_BYTES = 3 << 20
+# The most frequent pairs of a level, over all languages, whose ids go to every task.
+HEAD = 1 << 20
 _ID_BITS = 31
 _SALTS = 64
 
@@ -140,96 +143,173 @@ def count_tiles(left: np.ndarray, right: np.ndarray, tile: int = TILE) -> tuple[
     return np.concatenate(codes).astype(np.int64), np.concatenate(counts).astype(np.int64)
 
 
-_LEVEL = "chunk long, lang string, seq binary, codes array<long>, counts array<long>"
+_LEVEL = "chunk long, lang string, seq binary"
+_COUNTS = "lang string, code long, n long"
+# Pairs of a task that are held before they are handed on.
+_HELD = 4_000_000
 
 
-def _paired(chunk: int, lang: str, ids: np.ndarray) -> pa.Table:
-    """The row of the next level: ids by place, and the adjacent pairs of ids with their counts."""
-    a, b = ids[:-1], ids[1:]
-    both = (a >= 0) & (b >= 0)
-    codes, counts = count_tiles(a[both], b[both])
-    last = pa.array([0, len(codes)], pa.int32())
-    return pa.table({
-        "chunk": pa.array([chunk], pa.int64()), "lang": pa.array([lang]), "seq": pa.array([ids.astype(np.int32).tobytes()], pa.binary()),
-        "codes": pa.ListArray.from_arrays(last, pa.array(codes)), "counts": pa.ListArray.from_arrays(last, pa.array(counts)),
-    })
+def _codes(seq: np.ndarray) -> np.ndarray:
+    """The pair that begins at each place, -1 where a phrase ends."""
+    a, b = seq[:-1].astype(np.int64), seq[1:].astype(np.int64)
+    return np.where((a >= 0) & (b >= 0), (a << _ID_BITS) | b, -1)
+
+
+def _count_pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``_COUNTS`` of the chunks of a task, each language's chunks together."""
+    held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+    size = 0
+
+    def summed() -> Iterator[pa.RecordBatch]:
+        for lang, parts in held.items():
+            codes, where = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
+            n = np.bincount(where, np.concatenate([x for _, x in parts]), len(codes)).astype(np.int64)
+            for at in range(0, len(codes), 100_000):
+                some = codes[at : at + 100_000]
+                yield pa.record_batch([pa.array([lang] * len(some), pa.string()), pa.array(some), pa.array(n[at : at + 100_000])], names=["lang", "code", "n"])
+        held.clear()
+
+    for batch in batches:
+        for lang, seq in zip(batch.column("lang").to_pylist(), batch.column("seq"), strict=True):
+            ids = np.frombuffer(seq.as_buffer(), np.int32)
+            a, b = ids[:-1], ids[1:]
+            both = (a >= 0) & (b >= 0)
+            codes, counts = count_tiles(a[both].astype(np.int64), b[both].astype(np.int64))
+            held.setdefault(lang, []).append((codes, counts))
+            size += len(codes)
+            if size > _HELD:
+                yield from summed()
+                size = 0
+    yield from summed()
 
 
 def _words_to_ids(level: pa.Table, known: pa.Table) -> pa.Table:
     """Local word numbers become ids; words that are not frequent and breaks end a phrase."""
     if not len(level) or not len(known):
-        return _none()
-    seq = np.frombuffer(level["seq"][0].as_py(), np.int32)
-    ids = np.full(int(seq.max()) + 1, _BREAK_ID, np.int64)
+        return level.slice(0, 0)
+    seq = np.frombuffer(level["seq"][0].as_buffer(), np.int32)
+    ids = np.full(int(seq.max()) + 1, _BREAK_ID, np.int32)
     ids[known["local"].to_numpy() + 1] = known["id"].to_numpy()
-    return _paired(level["chunk"][0].as_py(), level["lang"][0].as_py(), ids[seq])
+    return _chunk_row(level["chunk"][0].as_py(), level["lang"][0].as_py(), ids[seq])
 
 
-def _pairs_to_ids(level: pa.Table, known: pa.Table) -> pa.Table:
-    """Each place gets the id of the pair that begins there, if the pair is frequent."""
-    if not len(level) or not len(known):
-        return _none()
-    seq = np.frombuffer(level["seq"][0].as_py(), np.int32).astype(np.int64)
-    code = known["code"].to_numpy()
-    order = np.argsort(code)
-    code, names = code[order], known["id"].to_numpy()[order]
-    a, b = seq[:-1], seq[1:]
-    here = np.where((a >= 0) & (b >= 0), (a << _ID_BITS) | b, -1)
-    spot = np.minimum(np.searchsorted(code, here), len(code) - 1)
-    ids = np.where(code[spot] == here, names[spot], _BREAK_ID)
-    return _paired(level["chunk"][0].as_py(), level["lang"][0].as_py(), ids)
-
-
-def _none() -> pa.Table:
-    return pa.table({
-        "chunk": pa.array([], pa.int64()), "lang": pa.array([], pa.string()), "seq": pa.array([], pa.binary()),
-        "codes": pa.array([], pa.list_(pa.int64())), "counts": pa.array([], pa.list_(pa.int64())),
-    })
-
-
-def _frequent(level: DataFrame, least: int) -> DataFrame:
+def _chunk_row(chunk: int, lang: str, ids: np.ndarray) -> pa.Table:
+    return pa.table({"chunk": pa.array([chunk], pa.int64()), "lang": pa.array([lang]), "seq": pa.array([ids.astype(np.int32).tobytes()], pa.binary())})
+
+
+Head = dict[str, tuple[np.ndarray, np.ndarray]]
+
+
+def _look_up(codes: np.ndarray, known: tuple[np.ndarray, np.ndarray] | None) -> np.ndarray:
+    """Ids of codes by a sorted list of them; -1 for the others."""
+    if known is None or not len(known[0]):
+        return np.full(len(codes), _BREAK_ID, np.int32)
+    spot = np.minimum(np.searchsorted(known[0], codes), len(known[0]) - 1)
+    return np.where(known[0][spot] == codes, known[1][spot], _BREAK_ID).astype(np.int32)
+
+
+def _by_head(head: Broadcast) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Each place gets the id of the pair that begins there, if it is one of the most frequent."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, lang, seq in zip(*(batch.column(c) for c in ("chunk", "lang", "seq")), strict=True):
+                ids = _look_up(_codes(np.frombuffer(seq.as_buffer(), np.int32)), head.value.get(lang.as_py()))
+                if ids.max(initial=-1) >= 0:
+                    yield from _chunk_row(chunk.as_py(), lang.as_py(), ids).to_batches()
+
+    return run
+
+
+def _other_pairs(head: Broadcast) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``(chunk, lang, code)`` of the distinct pairs of each chunk that are not among the most frequent."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, lang, seq in zip(*(batch.column(c) for c in ("chunk", "lang", "seq")), strict=True):
+                codes = np.unique(_codes(np.frombuffer(seq.as_buffer(), np.int32)))
+                codes = codes[(codes >= 0) & (_look_up(codes, head.value.get(lang.as_py())) < 0)]
+                for at in range(0, len(codes), 100_000):
+                    some = codes[at : at + 100_000]
+                    yield pa.record_batch(
+                        [pa.array([chunk.as_py()] * len(some), pa.int64()), pa.array([lang.as_py()] * len(some)), pa.array(some)], names=["of", "lang", "code"]
+                    )
+
+    return run
+
+
+def _by_both(head: Broadcast) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """As :func:`_by_head`, with the ids of the chunk's other frequent pairs from a join."""
+
+    def run(level: pa.Table, known: pa.Table) -> pa.Table:
+        if not len(level):
+            return level
+        codes = _codes(np.frombuffer(level["seq"][0].as_buffer(), np.int32))
+        ids = _look_up(codes, head.value.get(level["lang"][0].as_py()))
+        order = np.argsort(known["code"].to_numpy())
+        rest = _look_up(codes, (known["code"].to_numpy()[order], known["id"].to_numpy()[order]))
+        return _chunk_row(level["chunk"][0].as_py(), level["lang"][0].as_py(), np.maximum(ids, rest))
+
+    return run
+
+
+def _ids(sums: DataFrame, least: int) -> DataFrame:
     """``(lang, code, a, id)``: what occurs ``least`` times in a language, numbered from the most frequent on."""
-    each = level.select("lang", F.inline(F.arrays_zip("codes", "counts"))).withColumnRenamed("codes", "code")
-    sums = stage(each.groupBy("lang", "code").agg(F.sum("counts").alias("a")).where(F.col("a") >= least), "frequent")
+    sums = stage(sums.groupBy("lang", "code").agg(F.sum("n").alias("a")).where(F.col("a") >= least), "frequent")
     out = ranked(sums, "lang", [F.col("a").desc(), F.col("code").asc()], "id", "__n").drop("__n")
     return stage(out.withColumn("id", F.when(F.col("id") < (1 << _ID_BITS), F.col("id")).otherwise(F.raise_error(F.lit("too many phrases")))), "phrase_ids")
 
 
-def _next_level(level: DataFrame, ids: DataFrame, words: bool) -> DataFrame:
-    """The chunks with their places named by ``ids``."""
-    local = level.select("chunk", "lang", F.posexplode("codes").alias("local", "code"))
-    known = local.join(ids.select("lang", "code", "id"), ["lang", "code"])
-    name = F.col("local").cast("long").alias("local") if words else F.col("code")
-    known = known.select((F.col("chunk") + 0).alias("of"), name, "id")
-    fn = _words_to_ids if words else _pairs_to_ids
+def _named_words(level: DataFrame, ids: DataFrame) -> DataFrame:
+    """Chunks of word ids from chunks of local numbers."""
+    local = level.select((F.col("chunk") + 0).alias("of"), "lang", F.posexplode("codes").alias("local", "code"))
+    known = local.join(ids.select("lang", "code", "id"), ["lang", "code"]).select("of", F.col("local").cast("long").alias("local"), "id")
     rows = level.select("chunk", "lang", "seq")
-    return stage(rows.groupBy("chunk").cogroup(known.groupBy("of")).applyInArrow(fn, _LEVEL), "phrase_chunks")
-
-
-def phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, limit: int = CHUNK_BYTES) -> tuple[DataFrame, DataFrame]:
+    return stage(rows.groupBy("chunk").cogroup(known.groupBy("of")).applyInArrow(_words_to_ids, _LEVEL), "word_ids")
+
+
+def _named_pairs(level: DataFrame, ids: DataFrame, most: int) -> DataFrame:
+    """Chunks whose places are named by the frequent pair that begins there."""
+    first = ids.orderBy(F.col("a").desc(), "lang", "id").limit(most).select("lang", "code", "id").toArrow()
+    langs, codes, names = first["lang"].to_pandas(), first["code"].to_numpy(), first["id"].to_numpy()
+    head: Head = {}
+    for lang, at in langs.groupby(langs).groups.items():
+        order = at.to_numpy()[np.argsort(codes[at])]
+        head[lang] = codes[order], names[order].astype(np.int32)
+    sent = level.sparkSession.sparkContext.broadcast(head)
+    if len(first) < most:
+        return stage(level.mapInArrow(_by_head(sent), _LEVEL), "pair_ids")
+    other = level.mapInArrow(_other_pairs(sent), "of long, lang string, code long")
+    known = other.join(ids.select("lang", "code", "id"), ["lang", "code"]).select("of", "code", "id")
+    return stage(level.groupBy("chunk").cogroup(known.groupBy("of")).applyInArrow(_by_both(sent), _LEVEL), "pair_ids")
+
+
+def phrases(
+    docs: DataFrame, least: int = LEAST, longest: int = LONGEST, limit: int = CHUNK_BYTES, head: int = HEAD
+) -> tuple[DataFrame, DataFrame]:
     """All phrases of 1 to ``longest`` words that occur ``least`` times, and the number of words per language.
 
-    ``(lang, size, id, left, right, words, a, heads, tails, longer)``: ``left`` and ``right`` are the ids of the phrase without its
-    last and its first word, ``heads`` the counts of its first 1, 2 ... words, ``tails`` those of what follows,
-    ``longer`` the count of the most frequent phrase that has one word more.
+    ``(lang, size, id, words, a, heads, tails, longer)``: ``heads`` are the counts of the phrase's first 1, 2 ... words,
+    ``tails`` those of what follows, ``longer`` the count of the most frequent phrase that has one word more.
     """
     level = stage(chunks(docs, limit), "chunks")
     totals = stage(level.select("lang", F.aggregate("counts", F.lit(0).cast("long"), lambda s, x: s + x).alias("n")).groupBy("lang").agg(F.sum("n").alias("n")), "word_totals")
-    ids = _frequent(level, least)
+    words = level.select("lang", F.inline(F.arrays_zip(F.col("codes").alias("code"), F.col("counts").alias("n"))))
+    ids = _ids(words, least)
     none = F.array().cast("array<long>")
     found = [ids.select("lang", "id", F.array("code").alias("words"), "a", none.alias("heads"), none.alias("tails"))]
     for size in range(2, longest + 1):
-        level = _next_level(level, ids, size == 2)
-        ids = _frequent(level, least)
+        level = _named_words(level, ids) if size == 2 else _named_pairs(level, ids, head)
+        ids = _ids(level.mapInArrow(_count_pairs, _COUNTS), least)
         pairs = ids.select(
             "lang", "id", "a", F.shiftright("code", _ID_BITS).alias("left"), F.col("code").bitwiseAND((1 << _ID_BITS) - 1).alias("right")
         )
         pairs = stage(pairs, "phrase_pairs")
         shorter = found[-1]
-        head = shorter.select("lang", F.col("id").alias("left"), F.col("words").alias("w1"), F.concat("heads", F.array("a")).alias("heads"))
-        tail = shorter.select("lang", F.col("id").alias("right"), F.element_at("words", -1).alias("w2"), F.concat(F.array("a"), "tails").alias("tails"))
-        both = stage(join_per_key(pairs, head, ["lang", "left"]), "phrase_heads")
-        both = join_per_key(both, tail, ["lang", "right"])
+        front = shorter.select("lang", F.col("id").alias("left"), F.col("words").alias("w1"), F.concat("heads", F.array("a")).alias("heads"))
+        back = shorter.select("lang", F.col("id").alias("right"), F.element_at("words", -1).alias("w2"), F.concat(F.array("a"), "tails").alias("tails"))
+        both = stage(join_per_key(pairs, front, ["lang", "left"]), "phrase_heads")
+        both = join_per_key(both, back, ["lang", "right"])
         found.append(stage(both.select("lang", "id", "left", "right", F.concat("w1", F.array("w2")).alias("words"), "a", "heads", "tails"), "phrases"))
     return _with_longer(found), totals
 
@@ -249,14 +329,15 @@ def _with_longer(found: list[DataFrame]) -> DataFrame:
 
 
 def mine(
-    docs: DataFrame, least: int = LEAST, longest: int = LONGEST, top: int | None = TOP, share: int = 100, limit: int = CHUNK_BYTES
+    docs: DataFrame, least: int = LEAST, longest: int = LONGEST, top: int | None = TOP, share: int = 100,
+    limit: int = CHUNK_BYTES, head: int = HEAD,
 ) -> DataFrame:
     """``(lang, rank, phrase, a, l, r, n, score)``: the ``top`` phrases of each language (None: all).
 
     The score of a cut is ``1000 a n / (l r)``, rounded down; the lowest cut counts.  A phrase is left out if a longer one that
     holds it occurs at least ``share`` times in a hundred of its own occurrences.
     """
-    rows, totals = phrases(docs, least, longest, limit)
+    rows, totals = phrases(docs, least, longest, limit, head)
     # A phrase that holds another and is as frequent implies one of one word more that is at least as frequent.
     rows = rows.where("size > 1").where(F.col("longer").isNull() | (100 * F.col("longer") < share * F.col("a")))
     rows = join_per_key(stage(rows, "candidates"), totals, ["lang"])
