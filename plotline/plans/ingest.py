@@ -323,7 +323,7 @@ def _(spark, d):
     rows = arrivals(spark, d)
     # The sources arrive one after the other; the table must equal one import of all.
     for rank in (1, 2, 3):
-        OUT.upsert_transactions(spark, rows.where(F.col("source_rank") == rank), path)
+        OUT.upsert_transactions(spark, rows.where(F.col("source_rank") == rank), path, buckets=2)
     return OUT.read_transactions(spark, path).select(*_MERGED_COLS)
 
 

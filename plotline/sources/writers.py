@@ -10,8 +10,9 @@ from plotline.operators.ingest import merge_duplicates
 from plotline.session import stage
 from plotline.sources.snapshots import BUCKET, MONTH, Snapshot, add_files, publish, read, snapshot
 
-# Key buckets of a new table: a batch rewrites those of its keys, not whole months.
-BUCKETS = 4
+# Key buckets of a month in a new table: a batch rewrites those of its keys, not whole months.  Months of many
+# gigabytes want as many buckets as files of a reasonable size; small ones want no more files.
+BUCKETS = 1
 
 
 def _month() -> Column:

@@ -122,9 +122,9 @@ def _files(spark, path, where):
 def test_upsert_reads_and_writes_the_groups_of_the_batch_only(spark):
     path = scratch_folder(spark, "groups")
     a = a_year(spark)
-    OUT.upsert_transactions(spark, a, path)
+    OUT.upsert_transactions(spark, a, path, buckets=4)
     month, bucket = OUT.read_transactions(spark, path).where("tx_bucket = 2").select(OUT.MONTH, OUT.BUCKET).first()
-    batch = OUT._grouped(a, OUT.BUCKETS).where((F.col(OUT.MONTH) == month) & (F.col(OUT.BUCKET) == bucket)).drop(OUT.MONTH, OUT.BUCKET)
+    batch = OUT._grouped(a, 4).where((F.col(OUT.MONTH) == month) & (F.col(OUT.BUCKET) == bucket)).drop(OUT.MONTH, OUT.BUCKET)
     mine = (F.col(OUT.MONTH) == month) & (F.col(OUT.BUCKET) == bucket)
     others, own = _files(spark, path, ~mine), _files(spark, path, mine)
     OUT.upsert_transactions(spark, batch, path)
