@@ -2,12 +2,13 @@
 
 A phrase can only be inside a text that holds the phrase's rarest pair of
 adjacent characters, so that pair is the join key.  Common pairs (a frequent
-street name) are then never joined on unless a phrase has nothing rarer.
+street name) are then never joined on unless a phrase has nothing rarer; they are
+dealt over tasks by salts.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from plotline.operators.stats import top_per
 from plotline.session import stage
@@ -42,42 +43,85 @@ def _phrase_grams(phrases: DataFrame, id_col: str, text_col: str, n: int) -> Dat
     return p.select("phrase_id", "phrase", F.posexplode(full).alias("off", "gram"))
 
 
+def write_index(texts: DataFrame, id_col: str, text_col: str, path: str, n: int = 2) -> None:
+    """A stored index: posting lists in the order of their pieces, and how many places each piece has.
+
+    Files hold a range of places of few pieces; the rebalance splits the list of a frequent piece over files, and sorted
+    files let a search skip the row groups of other pieces.
+    """
+    postings = build_index(texts, id_col, text_col, n).hint("rebalance", "gram").sortWithinPartitions("gram", "id", "pos")
+    postings.write.mode("overwrite").parquet(f"{path}/postings")
+    stored = texts.sparkSession.read.parquet(f"{path}/postings")
+    stored.groupBy("gram").agg(F.count("*").alias("df")).write.mode("overwrite").parquet(f"{path}/pieces")
+
+
+def search_index(
+    spark: SparkSession, path: str, phrases: DataFrame, id_col: str = "phrase_id", text_col: str = "phrase", n: int = 2
+) -> DataFrame:
+    """:func:`match_index` on a stored index."""
+    return match_index(spark.read.parquet(f"{path}/postings"), phrases, id_col, text_col, n, spark.read.parquet(f"{path}/pieces"))
+
+
 def match_index(
-    index: DataFrame, phrases: DataFrame, id_col: str = "phrase_id", text_col: str = "phrase", n: int = 2
+    index: DataFrame, phrases: DataFrame, id_col: str = "phrase_id", text_col: str = "phrase", n: int = 2,
+    places: DataFrame | None = None,
 ) -> DataFrame:
     """(phrase_id, id) of every text that holds the phrase, from the index alone.
 
-    The rarest piece of a phrase finds its possible places; each place then asks the index for the
-    few other pieces that cover the phrase.  Phrases shorter than a piece match its beginning.
+    The rarest piece of a phrase, by the table of ``places`` (counted if not given), finds its possible places; each place
+    then asks the index for the few other pieces that cover the phrase.  Equal phrases are searched once.  Phrases shorter
+    than a piece are the beginnings of pieces; the pieces that begin with them come from the table of places.
     """
-    grams = stage(_phrase_grams(phrases, id_col, text_col, n), "phrase_grams")
+    asked = phrases.select(F.col(id_col).alias("phrase_id"), F.col(text_col).alias("phrase")).where(F.length("phrase") > 0)
+    asked = stage(asked, "phrases")
+    own = asked.select(F.col("phrase").alias("phrase_id"), "phrase").distinct()
+    grams = stage(_phrase_grams(own, "phrase_id", "phrase", n).drop("phrase_id"), "phrase_grams")
     is_short = F.length("phrase") < n
-    short = grams.where(is_short).select("phrase_id", "gram")
-    heads = index.select(
-        "id", F.explode(F.array(*[F.substring("gram", 1, k) for k in range(1, n)])).alias("gram")
-    )
-    by_head = heads.join(short, "gram").select("phrase_id", "id")
-    long = grams.where(~is_short)
-    freq = index.join(long.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(
-        F.count("*").alias("df")
-    )
-    anchors = top_per(long.join(freq, "gram"), ["phrase_id"], [F.col("df"), F.col("gram"), F.col("off")], 1)
-    starts = index.join(anchors.select("phrase_id", "phrase", "gram", "off"), "gram").select(
-        "phrase_id", "phrase", "id", (F.col("pos") - F.col("off")).alias("start")
+    if places is None:
+        places = index.groupBy("gram").agg(F.count("*").alias("df"))
+    found = _by_anchor(index, grams.where(~is_short), places, n)
+    short = grams.where(is_short).select("phrase")
+    if not short.isEmpty():
+        heads = places.select("gram", F.explode(F.array(*[F.substring("gram", 1, k) for k in range(1, n)])).alias("phrase"))
+        pieces = heads.join(short.distinct(), "phrase").distinct()
+        found = found.unionByName(index.join(pieces, "gram").select("phrase", "id").distinct())
+    return found.join(asked, "phrase").select("phrase_id", "id").distinct()
+
+
+def _by_anchor(index: DataFrame, grams: DataFrame, places: DataFrame, n: int) -> DataFrame:
+    """(phrase, id) for phrases of at least a piece."""
+    anchors = top_per(grams.join(places, "gram"), ["phrase"], [F.col("df"), F.col("gram"), F.col("off")], 1)
+    starts = index.join(anchors.select("phrase", "gram", "off"), "gram").select(
+        "phrase", "id", (F.col("pos") - F.col("off")).alias("start"), F.col("off").alias("anchor")
     ).where("start >= 0")
     last = F.length("phrase") - n
-    cover = F.array_distinct(F.concat(F.sequence(F.lit(0), last, F.lit(n)), F.array(last)))
-    wanted = starts.withColumn("cover", cover).select(
-        "phrase_id", "id", "start", F.size("cover").alias("pieces"), "phrase", F.explode("cover").alias("off")
+    # The anchor has been met; the others of the pieces that cover the phrase are looked up.
+    cover = F.array_remove(F.array_distinct(F.concat(F.sequence(F.lit(0), last, F.lit(n)), F.array(last))), F.col("anchor"))
+    starts = starts.withColumn("cover", cover)
+    wanted = starts.select(
+        "phrase", "id", "start", F.size("cover").alias("pieces"), F.explode("cover").alias("off")
     ).select(
-        "phrase_id", "id", "start", "pieces", (F.col("start") + F.col("off")).alias("pos"),
+        "phrase", "id", "start", "pieces", (F.col("start") + F.col("off")).alias("pos"),
         F.substring("phrase", F.col("off") + 1, F.lit(n)).alias("gram"),
     )
-    met = wanted.join(index, ["gram", "id", "pos"]).groupBy("phrase_id", "id", "start", "pieces").agg(
-        F.count("*").alias("met")
-    )
-    full = met.where("met = pieces").select("phrase_id", "id")
-    return full.unionByName(by_head).distinct()
+    met = wanted.join(index, ["gram", "id", "pos"]).groupBy("phrase", "id", "start", "pieces").agg(F.count("*").alias("met"))
+    whole = starts.where(F.size("cover") == 0).select("phrase", "id")
+    return met.where("met = pieces").select("phrase", "id").unionByName(whole).distinct()
+
+
+# Parts of every key: a piece that all texts hold is joined by as many tasks.
+_SALTS = 16
+_MAP = 128
+
+
+def _piece_map(pieces: Column) -> list[Column]:
+    """Bitmap of pieces in two numbers; pieces may share a bit, so a lacking bit is a lacking piece."""
+    def half(k: int) -> Column:
+        at = lambda g: F.pmod(F.xxhash64(g), F.lit(_MAP)) - 64 * k
+        bit = lambda g: F.when(at(g).between(0, 63), F.call_function("shiftleft", F.lit(1).cast("long"), at(g).cast("int"))).otherwise(F.lit(0).cast("long"))
+        return F.aggregate(pieces, F.lit(0).cast("long"), lambda a, g: a.bitwiseOR(bit(g)))
+
+    return [half(0).alias("m0"), half(1).alias("m1")]
 
 
 def contains_join(
@@ -86,17 +130,26 @@ def contains_join(
 ) -> DataFrame:
     """(phrase_id, id) of every text that contains the phrase, for short texts such as addresses.
 
-    Distinct phrases are matched once however many queries share them.
+    Distinct phrases are matched once however many queries share them.  A text is a row for each of its pieces that some
+    phrase has, with a bitmap of all its pieces; a phrase meets the rows of its rarest piece, in ``_SALTS`` parts, and keeps
+    those whose bitmap has all its other pieces.  Only these fetch their text and are compared.
     """
     wanted = phrases.select(F.col(phrase_col).alias("phrase")).where(F.length("phrase") > 0).distinct()
     p = stage(_phrase_grams(wanted.withColumn("phrase_id", F.col("phrase")), "phrase_id", "phrase", 2), "phrase_grams")
     t = texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.length("text") > 0)
-    keys = F.array_distinct(F.concat(_grams(F.col("text"), 2), _grams(F.col("text"), 1)))
+    t = t.withColumn("grams", F.array_distinct(_grams(F.col("text"), 2)))
+    keys = F.array_distinct(F.concat("grams", _grams(F.col("text"), 1)))
     # Only keys some phrase uses leave the scan.
     used = p.select("gram").distinct()
-    hits = t.select("id", "text", F.explode(keys).alias("gram")).join(used, "gram", "left_semi")
+    hits = t.select("id", *_piece_map(F.col("grams")), F.explode(keys).alias("gram")).join(used, "gram", "left_semi")
+    hits = stage(hits.withColumn("salt", F.pmod(F.hash("id"), F.lit(_SALTS))), "text_pieces")
     freq = hits.groupBy("gram").agg(F.count("*").alias("df"))
-    anchors = top_per(p.join(freq, "gram"), ["phrase_id"], [F.col("df"), F.col("gram")], 1)
-    found = hits.join(anchors.select("phrase", "gram"), "gram").where(F.contains("text", F.col("phrase")))
+    anchors = top_per(p.join(freq, "gram"), ["phrase_id"], [F.col("df"), F.col("gram")], 1).select("phrase", "gram")
+    full = F.filter(F.array_distinct(_grams(F.col("phrase"), 2)), lambda g: F.length(g) == 2)
+    anchors = anchors.select("phrase", "gram", *[m.alias(f"w{k}") for k, m in enumerate(_piece_map(full))])
+    anchors = anchors.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    has = lambda k: F.col(f"w{k}").bitwiseAND(F.bitwise_not(f"m{k}")) == 0
+    near = hits.join(anchors, ["gram", "salt"]).where(has(0) & has(1)).select("id", "phrase")
+    found = near.join(t.select("id", "text"), "id").where(F.contains("text", F.col("phrase"))).select("phrase", "id")
     again = phrases.select(F.col(phrase_id).alias("phrase_id"), F.col(phrase_col).alias("phrase"))
-    return found.select("phrase", "id").join(again, "phrase").select("phrase_id", "id").distinct()
+    return found.join(again, "phrase").select("phrase_id", "id").distinct()

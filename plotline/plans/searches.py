@@ -9,7 +9,7 @@ from plotline.operators import (
     community as C, filters as P, geo, present as R, report as Q, search as S, textjoin as X,
 )
 from plotline.operators.filters import Filters
-from plotline.plans.fixture import frame, table
+from plotline.plans.fixture import frame, stored, table
 from plotline.plans.registry import CTES, query, variants
 from plotline.plans.rows import _SHOWN, by_place
 from plotline.session import stage
@@ -167,11 +167,15 @@ def _phrases(spark, d):
     return q.select("query_id", tails.alias("phrase")).unionByName(one)
 
 
+def _address_index(spark, d):
+    """The stored index of all normalised addresses."""
+    texts = frame(spark, d, "tx_addr").select("id", A.normalize("address").alias("text"))
+    return stored(spark, d, "address_index", lambda p: X.write_index(texts, "id", "text", p))
+
+
 @query("r10_phrase_index", "SELECT p.query_id, t.id FROM phrases p JOIN tx_addr t ON contains(t.address_half, p.phrase)")
 def _(spark, d):
-    texts = frame(spark, d, "tx_addr").select("id", A.normalize("address").alias("text"))
-    index = stage(X.build_index(texts, "id", "text"), "index")
-    return X.match_index(index, _phrases(spark, d), "query_id", "phrase").withColumnRenamed("phrase_id", "query_id")
+    return X.search_index(spark, _address_index(spark, d), _phrases(spark, d), "query_id").withColumnRenamed("phrase_id", "query_id")
 
 
 @query("r10_inverted_index", "SELECT gram, count(*) AS places, count(DISTINCT id) AS texts FROM (SELECT id, unnest([substr(address_half, CAST(i AS INT), 2) FOR i IN generate_series(1, length(address_half))]) AS gram FROM tx_addr) x GROUP BY gram")
@@ -191,11 +195,10 @@ def _(spark, d):
     return X.match_index(index, p, "item_id", "phrase", n=8).withColumnRenamed("phrase_id", "item_id")
 
 
-@query("j14_phrase_semi_join", "SELECT id FROM tx_addr t WHERE EXISTS (SELECT 1 FROM phrases p WHERE length(p.phrase) > 1 AND contains(t.address_half, p.phrase))")
+@query("j14_phrase_semi_join", "SELECT id FROM tx_addr t WHERE EXISTS (SELECT 1 FROM phrases p WHERE contains(t.address_half, p.phrase))")
 def _(spark, d):
     tx = frame(spark, d, "tx_addr")
-    index = stage(X.build_index(tx.select("id", A.normalize("address").alias("text")), "id", "text"), "index")
-    hits = X.match_index(index, _phrases(spark, d).where("length(phrase) > 1"), "query_id", "phrase")
+    hits = X.search_index(spark, _address_index(spark, d), _phrases(spark, d), "query_id")
     return tx.join(hits.select("id"), "id", "left_semi").select("id")
 
 
