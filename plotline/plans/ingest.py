@@ -329,12 +329,12 @@ def _(spark, d):
 
 @query(
     "k3_learned_mappings",
-    "SELECT DISTINCT address, community_name, district FROM tx_addr WHERE id % 20 = 0 AND community_name <> '' AND NOT EXISTS (SELECT 1 FROM tx_addr o WHERE o.id % 40 = 0 AND o.address = tx_addr.address AND o.community_name = tx_addr.community_name)",
+    "SELECT DISTINCT address, community_name, district FROM tx_addr WHERE community_name <> '' AND NOT EXISTS (SELECT 1 FROM tx_addr o WHERE o.id % 40 = 0 AND o.address = tx_addr.address AND o.community_name = tx_addr.community_name)",
 )
 def _(spark, d):
     tx = frame(spark, d, "tx_addr")
-    stored = tx.where("id % 40 = 0").select("address", "community_name")
-    return OUT.learned_mappings(tx.where("id % 20 = 0"), stored).select("address", "community_name", "district")
+    mapped = tx.where("id % 40 = 0").select("address", "community_name")
+    return OUT.learned_mappings(tx, mapped).select("address", "community_name", "district")
 
 
 @query("k4_insert_or_ignore", "SELECT sq, CAST(max(CASE WHEN id % 3 = 0 THEN 1 ELSE 0 END) AS INT) AS was_there FROM api GROUP BY sq")

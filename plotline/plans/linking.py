@@ -61,15 +61,12 @@ def _(spark, d):
 
 @query(
     "j8_sub_number_ignored",
-    """SELECT query_id, min(level) AS confidence FROM (SELECT q.query_id, 98 AS level FROM query_table q JOIN tx_addr t ON t.district = q.district AND t.street = q.street AND t.lane = q.lane AND t.alley = '' AND t.number = q.number AND t.community_name <> '') x GROUP BY query_id""",
+    "SELECT query_id, CAST(CASE min(level) WHEN 1 THEN 98 WHEN 5 THEN 72 ELSE 40 END AS INT) AS confidence FROM link_hits GROUP BY query_id",
 )
 def _(spark, d):
     # Stored houses carry a 之 part that the query does not name.
-    tx = frame(spark, d, "tx_addr")
-    stored = tx.withColumn("address", F.expr("replace(address, '號', '之9號')"))
-    q = frame(spark, d, "query_table").select("query_id", "query_text")
-    out = C.address_to_community(stored, q, top_n=1)
-    return out.where("confidence = 98").select("query_id", "confidence")
+    stored_rows = frame(spark, d, "tx_addr").withColumn("address", F.expr("replace(address, '號', '之9號')"))
+    return C.address_to_community(stored_rows, _link_queries(spark, d), top_n=1).select("query_id", "confidence")
 
 
 @query(
@@ -279,7 +276,7 @@ def _(spark, d):
 
 # --- candidate scoring by address -----------------------------------------
 CTES["address_items"] = """
-SELECT id AS item_id, street AS road, concat(street, CASE WHEN lane <> '' THEN concat(lane, '巷') ELSE '' END, CASE WHEN lane <> '' AND alley <> '' THEN concat(alley, '弄') ELSE '' END) AS lane_road, CAST(number AS INT) AS num FROM tx_addr WHERE id % 20 = 0"""
+SELECT id AS item_id, street AS road, concat(street, CASE WHEN lane <> '' THEN concat(lane, '巷') ELSE '' END, CASE WHEN lane <> '' AND alley <> '' THEN concat(alley, '弄') ELSE '' END) AS lane_road, CAST(number AS INT) AS num FROM tx_addr"""
 
 
 @query(
@@ -290,7 +287,7 @@ SELECT id AS item_id, street AS road, concat(street, CASE WHEN lane <> '' THEN c
     FROM query_table q JOIN address_items i ON i.road = q.street) s WHERE score >= 15) r WHERE rn = 1""",
 )
 def _(spark, d):
-    items = frame(spark, d, "tx_addr").where("id % 20 = 0").select(
+    items = frame(spark, d, "tx_addr").select(
         F.col("id").alias("item_id"), A.road("address").alias("road"), A.road_and_lane("address").alias("lane_road"),
         A.house_number("address").alias("num"),
     )

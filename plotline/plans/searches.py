@@ -50,17 +50,6 @@ def _(spark, d, n):
 
 @query(
     "r1_floor_and_sub_number",
-    "SELECT q.id AS query_id, t.id FROM tx_addr q JOIN tx_addr t ON t.district = q.district AND t.street = q.street AND t.number = q.number AND t.lane = q.lane AND t.alley = q.alley AND t.floor = q.floor AND (q.sub_number = '' OR t.sub_number = q.sub_number) WHERE q.id % 60 = 0",
-)
-def _(spark, d):
-    tx = frame(spark, d, "tx_addr")
-    # Full addresses of some transactions as search texts, floor and 之 part included.
-    q = S.parse_queries(tx.where("id % 60 = 0").select(F.col("id").alias("query_id"), F.col("address").alias("query_text")))
-    return S.search_level(tx, q, 1)
-
-
-@query(
-    "r1_floor_and_sub_number_whole",
     "SELECT q.id AS query_id, t.id FROM tx_addr q JOIN tx_addr t ON t.district = q.district AND t.street = q.street AND t.number = q.number AND t.lane = q.lane AND t.alley = q.alley AND t.floor = q.floor AND (q.sub_number = '' OR t.sub_number = q.sub_number)",
 )
 def _(spark, d):
@@ -133,19 +122,7 @@ def _(spark, d):
 
 
 # --- text search ----------------------------------------------------------
-@query(
-    "r8_variant_search",
-    """SELECT q.query_id, t.id FROM (SELECT DISTINCT query_id, concat(lane, '巷') AS a, concat(translate(lane, '0123456789', '０１２３４５６７８９'), '巷') AS b FROM query_table WHERE lane <> '' AND length(lane) = 1 AND query_id % 3 = 0) q
-    JOIN tx_addr t ON contains(t.address, q.a) OR contains(t.address, q.b)""",
-)
-def _(spark, d):
-    q = frame(spark, d, "query_table").where("lane <> '' and length(lane) = 1 and query_id % 3 = 0").select(
-        "query_id", F.concat("lane", F.lit("巷")).alias("query_text")
-    )
-    return S.search_variants(frame(spark, d, "tx_addr"), q, limit=None).select("query_id", "id")
-
-
-@query("r8_variant_search_whole")
+@query("r8_variant_search")
 def _(spark, d):
     # All lanes and whole house texts, in all their spellings.
     q = frame(spark, d, "query_table")
@@ -216,23 +193,15 @@ def _any_queries(spark, d):
 
 @query(
     "r9_methods",
-    """SELECT q.query_id, q.method, t.id FROM any_queries q JOIN query_table p ON p.query_id = q.query_id JOIN tx_addr t
-    ON q.method = 'structured' AND t.district = p.district AND t.street = p.street AND t.number = p.number AND t.lane = p.lane AND t.alley = ''
-    UNION ALL SELECT q.query_id, q.method, t.id FROM any_queries q JOIN tx_addr t ON q.method = 'phrase' AND contains(t.address_half, q.query_text)""",
+    f"""SELECT query_id, method, CAST(level AS INT) AS level, id FROM (SELECT *, min(level) OVER (PARTITION BY query_id) AS best FROM (
+      SELECT q.query_id, t.id, 'structured' AS method, {_LABEL} AS level FROM any_queries a JOIN query_table q ON q.query_id = a.query_id AND a.method = 'structured' JOIN tx_addr t ON t.street = q.street) m) f WHERE level = best
+    UNION ALL SELECT q.query_id, q.method, NULL, t.id FROM any_queries q JOIN tx_addr t ON q.method = 'phrase' AND contains(t.address_half, q.query_text)""",
 )
 def _(spark, d):
-    out = S.search_addresses(frame(spark, d, "tx_addr"), _any_queries(spark, d), limit=None)
-    # Queries whose house only exists at a wider level are compared by the cascade queries.
-    return out.where("level is null or level = 1").select("query_id", "method", "id")
+    return S.search_addresses(frame(spark, d, "tx_addr"), _any_queries(spark, d), limit=None).select("query_id", "method", "level", "id")
 
 
-@query("r11_batch_search", """SELECT q.query_id, count(*) AS rows FROM search_queries q JOIN tx_addr t ON t.district = q.district AND t.street = q.street AND t.number = q.number AND t.lane = q.lane AND t.alley = '' GROUP BY q.query_id""")
-def _(spark, d):
-    out = S.search_addresses(frame(spark, d, "tx_addr"), _mixed(spark, d), limit=None)
-    return out.where("level = 1").groupBy("query_id").agg(F.count("*").alias("rows"))
-
-
-@query("r11_batch_search_whole", "SELECT query_id, CAST(level AS INT) AS level, count(*) AS rows FROM (SELECT *, min(level) OVER (PARTITION BY query_id) AS best FROM (SELECT q.query_id, " + _LABEL + " AS level FROM search_queries q JOIN tx_addr t ON t.street = q.street) m) f WHERE level = best GROUP BY query_id, level")
+@query("r11_batch_search", "SELECT query_id, CAST(level AS INT) AS level, count(*) AS rows FROM (SELECT *, min(level) OVER (PARTITION BY query_id) AS best FROM (SELECT q.query_id, " + _LABEL + " AS level FROM search_queries q JOIN tx_addr t ON t.street = q.street) m) f WHERE level = best GROUP BY query_id, level")
 def _(spark, d):
     # Every query has a street that exists, so one of the six levels answers it.
     out = S.search_addresses(frame(spark, d, "tx_addr"), _mixed(spark, d), limit=None)
@@ -240,7 +209,7 @@ def _(spark, d):
 
 
 @query(
-    "r12_shortened_search_whole",
+    "r12_shortened_search",
     """SELECT q.query_id, t.id FROM (SELECT query_id, concat(street, lane, '巷') AS text FROM query_table WHERE lane <> '') q JOIN tx_addr t ON contains(t.address_half, q.text)""",
 )
 def _(spark, d):
@@ -248,18 +217,6 @@ def _(spark, d):
     return S.search_shortened(frame(spark, d, "tx_addr"), q, limit=None).select("query_id", "id")
 
 
-@query(
-    "r12_shortened_search",
-    """SELECT q.query_id, t.id FROM (SELECT query_id, concat(street, lane, '巷') AS text FROM query_table WHERE lane <> '' AND query_id % 3 = 0) q JOIN tx_addr t ON contains(t.address_half, q.text)""",
-)
-def _(spark, d):
-    # No house has this number, so the first shorter text that matches is the lane.
-    q = frame(spark, d, "query_table").where("lane <> '' and query_id % 3 = 0").select(
-        "query_id", F.concat("street", "lane", F.lit("巷777號")).alias("query_text")
-    )
-    return S.search_shortened(frame(spark, d, "tx_addr"), q, limit=None).select("query_id", "id")
-
-
 # --- name and area search -------------------------------------------------
 CTES["name_queries"] = "SELECT min(id) AS query_id, community_name AS name FROM tx_addr WHERE community_name <> '' GROUP BY community_name"
 

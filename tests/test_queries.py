@@ -14,7 +14,7 @@ o1_order_by_count a1_result_summary a2_community_summaries a3_price_trend_quarte
 a6_community_info a9_coverage a11_outcome_counts a14_cache_stats a17_map_groups a19_group_profile a22_address_ranges z1_standardise
 n9_parse_address n10_parse_query e1_merge_and_enrich e3_outcomes j2_backfill_community s1_registry_csv s2_generic_csv s3_api_rows
 r7_structured_filtered r10_phrase_index j3_w4_point_lookup j5_geocode j7_upgrade_roads j8_address_to_community j11_overlap_names
-j12_sibling_numbers j19_best_item_by_address k4_insert_or_ignore k5_j6_write_back u1_merge_paths t2_stream_unique t4_stream_trend
+j12_sibling_numbers j19_best_item_by_address j20_title_items k2_incremental_upsert k4_insert_or_ignore r1_floor_and_sub_number r11_batch_search r12_shortened_search k5_j6_write_back u1_merge_paths t2_stream_unique t4_stream_trend
 """.split()
 # ORACLE_ALL=1 runs every query that has an oracle.
 NAMES = list(catalogue.ORACLES) if os.environ.get("ORACLE_ALL") else QUICK
@@ -79,14 +79,6 @@ def test_variant_search_is_whole(spark):
     assert max(map(len, spelled.values())) > 8
     rows = frame(spark, SF, "tx_addr").select("id", "address").collect()
     hits = {t: {r.id for r in rows if any(v in r.address for v in spelled[t])} for t in spelled}
-    got = catalogue.QUERIES["r8_variant_search_whole"](spark, SF).collect()
+    got = catalogue.QUERIES["r8_variant_search"](spark, SF).collect()
     assert sorted((r.query_id, r.id) for r in got) == sorted((i, k) for i, t in texts for k in hits[t])
     assert len({r.query_id for r in got}) == len({i for i, t in texts if hits[t]}) > 0
-
-
-@pytest.mark.parametrize("name", ["r1_floor_and_sub_number_whole", "r11_batch_search_whole", "r12_shortened_search_whole"])
-def test_whole_searches(spark, con, name):
-    ok, text = compare(spark, con, name, SF)
-    assert ok, text
-    wide, cut = (catalogue.QUERIES[n](spark, SF).select("query_id").distinct().count() for n in (name, name.removesuffix("_whole")))
-    assert wide > cut
