@@ -146,7 +146,7 @@ def count_tiles(left: np.ndarray, right: np.ndarray, tile: int = TILE) -> tuple[
 _LEVEL = "chunk long, lang string, seq binary"
 _COUNTS = "lang string, code long, n long"
 # Pairs of a task that are held before they are handed on.
-_HELD = 4_000_000
+_HELD = 1_000_000
 
 
 def _codes(seq: np.ndarray) -> np.ndarray:
