@@ -213,20 +213,24 @@ def strip_city_district(col: Column | str) -> Column:
     return strip(F.regexp_replace(c, f"^{_TOWN}", ""))
 
 
-# What stands before the road, and what may follow the house number, in the order of writing.
-_QUARTER = f"(?:{_HAN}*里(?:[0-9]*鄰)?|[0-9]+鄰)"
-_STOREY = "(?:地下)?(?:[0-9]+|[一二三四五六七八九十百]+)樓"
-_FLAT = r"(?:[A-Za-z][0-9]*-)?[0-9]+F|(?<=\s)[A-Za-z][0-9]+-[A-Za-z]?[0-9]*F?"
-_AFTER_NUMBER = f"(?:之[0-9]+)?(?:共[0-9]+筆)?(?:[,，\\s]*{_STOREY}.*|旁.*|\\s*[A-Za-z][0-9]*棟.*|\\s*(?:{_FLAT}))?"
+# A located address by its grammar: village and neighbourhood, road and section or a place name, lane, alley, number.
+_VILLAGE = f"(?:{_HAN}+?里(?=[0-9]|{_HAN}+?(?:路|街|大道|巷|村)))?(?:[0-9]+鄰)?"
+_LOCATED = f"^{_VILLAGE}({_HAN}*?(?:路|街|大道))?({_SECTION})?({_HAN}*)([0-9]+巷)?([0-9]+弄)?([0-9]+(?:[之-][0-9]+)?號)"
+# Where the building ends and its inside begins: the storey.
+_INSIDE = "(?:地下)?[0-9一二三四五六七八九十百]+(?:樓|層|[Ff](?![a-z]))"
 
 
 def _located(c: Column) -> Column:
-    """What stands before the quarter, and the shortest text after it behind which nothing but
-    remarks follows; without white space."""
-    parts = f"(?s)^(?:(.*?){_QUARTER})?(.*?){_AFTER_NUMBER}$"
-    return bound(c, lambda t: F.regexp_replace(
-        F.concat(F.regexp_extract(t, parts, 1), F.regexp_extract(t, parts, 2)), r"\s+", ""
-    ))
+    """Road, section, place name, lane, alley and number, put together; whatever follows the number is left out.
+
+    A text that does not lead to a number is itself, without village and storey.
+    """
+    def parts(t: Column) -> Column:
+        whole = F.concat(*[F.regexp_extract(t, _LOCATED, i) for i in range(1, 7)])
+        other = F.regexp_extract(t, f"^{_VILLAGE}(.*?)(?:{_INSIDE}.*)?$", 1)
+        return F.when(t.rlike(_LOCATED), whole).otherwise(other)
+
+    return bound(F.regexp_replace(c, r"\s+", ""), parts)
 
 
 def road_and_number(col: Column | str) -> Column:
@@ -267,7 +271,7 @@ def road_in(col: Column | str) -> Column:
 def road_and_lane(col: Column | str) -> Column:
     """Road with section, lane and alley, put together from its parts."""
     parts = f"({_HAN}+?(?:路|街|大道))({_SECTION})?([0-9]+巷)?((?<=巷)[0-9]+弄)?"
-    rest = F.regexp_replace(strip_city_district(col), f"(?s)^(.*?){_QUARTER}(.*)$", "$1$2")
+    rest = F.regexp_replace(strip_city_district(col), f"^{_VILLAGE}", "")
     return bound(rest, lambda t: F.concat(*[F.regexp_extract(t, parts, i) for i in (1, 2, 3, 4)]))
 
 
@@ -296,8 +300,12 @@ def strip_city_for_key(col: Column | str) -> Column:
 
 
 def strip_floor(col: Column | str) -> Column:
-    """Base address of a building: what stands before its floor, without 之 and 號 at the end."""
-    return F.regexp_extract(_c(col), r"(?s)^(.*?)[之号號 ]*(?:(?:地下|-)?[0-9]+[樓Ff][之0-9]*)?$", 1)
+    """Base address of a building: the text without the storey it ends in, and without the marks left at its end."""
+    def cut(t: Column) -> Column:
+        storey = F.regexp_extract(t, "(?:地下|-)?[0-9]+(?:樓|[Ff])(?:之|[0-9])*$", 0)
+        return F.rtrim(F.substring(t, F.lit(1), F.length(t) - F.length(storey)), F.lit("之號号 "))
+
+    return bound(_c(col), cut)
 
 
 def map_base(col: Column | str) -> Column:

@@ -179,3 +179,20 @@ def test_sql_functions(spark):
     Z.register_sql_functions(spark)
     r = spark.sql("SELECT to_ping(33.0579D) AS p, house_number_of('29巷5號') AS n, roc_year_of('113/01/01') AS y").first()
     assert (r.p, r.n, r.y) == (10.0, 5, 113)
+
+
+@pytest.mark.parametrize(("address", "want"), [
+    ("臺中市北區三民路三段100號8樓", "三民路三段100號"), ("台北市大安區和平東路二段９巷１弄３之２號５樓之１", "和平東路二段9巷1弄3之2號"),
+    ("新北市板橋區文化里3鄰中山路12號旁空地", "中山路12號"), ("桃園市中壢區7鄰 忠孝路 5 號 A棟", "忠孝路5號"), ("臺中市霧峰區大里路12號", "大里路12號"),
+    ("宜蘭縣員山鄉中興村12號", "中興村12號"), ("台北市中山區市民大道四段50號B1", "市民大道四段50號"), ("高雄市三民區建國路八樓", "建國路"), ("", ""),
+])
+def test_road_and_number_by_the_grammar(spark, address, want):
+    assert spark.range(1).select(A.road_and_number(F.lit(address))).first()[0] == want
+
+
+@pytest.mark.parametrize(("address", "want"), [
+    ("三民路1號2樓", "三民路1"), ("三民路1號2樓之3", "三民路1"), ("三民路1號地下1樓", "三民路1"), ("三民路1號", "三民路1"),
+    ("三民路1號之3", "三民路1號之3"), ("三民路1之2號3F", "三民路1之2"), ("三民路", "三民路"), ("", ""),
+])
+def test_base_address_has_no_storey(spark, address, want):
+    assert spark.range(1).select(A.strip_floor(F.lit(address))).first()[0] == want
