@@ -480,3 +480,51 @@ def _(spark, d):
     daily = ST.daily_trend(ST.read_landing(spark, path, rows.schema))
     ST.table_stream(daily, out, mark).awaitTermination()
     return ST.roll_up_months(spark.read.parquet(out))
+
+
+# --- streams behind a watermark ---------------------------------------------
+def _by_date(spark, d):
+    """Orders in three parts, the oldest first."""
+    rows = spark.read.parquet(f"{d}/orders.parquet").select(
+        F.col("o_orderkey").alias("id"), F.col("o_orderdate").cast("timestamp").alias("tx_time"), F.floor("o_totalprice").alias("total_price")
+    )
+    year = F.year("tx_time")
+    first, last = rows.agg(F.min(year), F.max(year)).first()
+    third = (last - first + 1) / 3
+    part = F.least(F.floor((year - first) / third), F.lit(2))
+    return [rows.where(part == k) for k in range(3)]
+
+
+def _arriving(spark, parts, run):
+    """Files that arrive one after the other; the stream stops after the second and goes on from its checkpoint."""
+    landing = scratch_folder(spark, "landing")
+    for k, part in enumerate(parts):
+        part.coalesce(1).write.mode("append").parquet(landing)
+        if k:
+            run(ST.read_landing(spark, landing, part.schema, 1)).awaitTermination()
+
+
+@query("t2_unique_within_watermark", "SELECT o_orderkey AS id FROM orders")
+def _(spark, d):
+    old, mid, new = _by_date(spark, d)
+    # Copies in the same file, and copies that come when their time is over.
+    parts = [old.unionByName(old.where("id % 3 = 0")), mid, new.unionByName(new.where("id % 5 = 0")).unionByName(old)]
+    out, mark = scratch_folder(spark, "out"), scratch_folder(spark, "mark")
+    _arriving(spark, parts, lambda s: ST.append_stream(ST.unique_rows(s, "id", "tx_time", "30 days"), out, mark))
+    return spark.read.parquet(out).select("id")
+
+
+@query(
+    "t4_append_daily_trend",
+    """SELECT day, count(*) AS count, CAST(sum(price) AS BIGINT) AS sum_price, min(price) AS min_price, max(price) AS max_price
+    FROM (SELECT CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day, CAST(o_orderdate AS DATE) AS born, CAST(floor(o_totalprice) AS BIGINT) AS price FROM orders) o
+    WHERE born + 8 <= (SELECT max(CAST(o_orderdate AS DATE)) FROM orders) GROUP BY day""",
+)
+def _(spark, d):
+    old, mid, new = _by_date(spark, d)
+    # The first year once more, after its days were reported.
+    late = old.where(F.year("tx_time") == old.agg(F.min(F.year("tx_time"))).first()[0]).withColumn("total_price", F.lit(1).cast("long"))
+    out, mark = scratch_folder(spark, "out"), scratch_folder(spark, "mark")
+    _arriving(spark, [old, mid, new.unionByName(late)], lambda s: ST.append_stream(ST.daily_trend(s), out, mark))
+    days = spark.read.parquet(out)
+    return days.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "count", "sum_price", "min_price", "max_price")

@@ -13,6 +13,7 @@ from plotline.operators.gazetteer import read_gazetteer
 from plotline.operators.stats import top_per, upper_median, with_count
 from plotline.plans import fixture
 from plotline.session import scratch_folder
+from plotline.streaming import ingest as ST
 from plotline.sources import readers as IN, snapshots as SN, writers as OUT
 
 SF = "/root/testdata/sf0.001"
@@ -466,3 +467,20 @@ def test_names_are_few_steps_from_all_names(spark):
             for r in run(n).collect():
                 got[r.query_id].append((-r.score, -r.tx_count, r.name))
             assert {q: sorted(v) for q, v in got.items()} == {q: sorted(v)[:n] for q, v in every.items()}
+
+
+def test_watermarks_bound_the_state(spark):
+    """One day a file: rows of the days behind the watermark leave the state, and late copies are not let in again."""
+    landing, out, mark = (scratch_folder(spark, n) for n in ("days", "out", "mark"))
+    day = lambda k: F.timestamp_seconds(F.lit(86_400 * (k + 9000)))
+    sizes = []
+    for k in range(12):
+        rows = spark.range(k * 50, k * 50 + 50).withColumn("at", day(k))
+        rows = rows.unionByName(rows.limit(5)).unionByName(spark.range(20).withColumn("at", day(0)))
+        rows.coalesce(1).write.mode("append").parquet(landing)
+        if k in (5, 11):  # stopped and started once
+            q = ST.append_stream(ST.unique_rows(ST.read_landing(spark, landing, rows.schema, 1), "id", "at", "2 days"), out, mark)
+            q.awaitTermination()
+            sizes += [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
+    assert sorted(r.id for r in spark.read.parquet(out).collect()) == list(range(600))
+    assert max(sizes) <= 5 * 50 and len(sizes) >= 12
