@@ -31,14 +31,14 @@ def join_back(df: DataFrame, per_key: DataFrame, keys: Sequence[str], how: str =
 
 
 def upper_median(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
-    """Exact upper median (element ``n div 2`` of the sorted non-NULL values) per key.
+    """Exact upper median (element ``n div 2`` of the sorted values, NULL and NaN left out) per key.
 
     A mergeable quantile sketch brackets the middle of each group; its error is far smaller than the bracket, and a
     small group's sketch holds all its values.  A second pass counts what lies below the bracket and how often each value
     inside it occurs.  The value is then selected: ``_BINS`` equal ranges of the bracket are counted, and only the range with the
     middle goes on, until it is one value.  Nothing is ordered but the ranges of a key, so no task sees a whole group.
     """
-    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("__v"))
+    rows = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(*keys, F.col(value).alias("__v"))
     edges = F.percentile_approx("__v", list(_BRACKET), _ACCURACY)
     bracket = rows.groupBy(*keys).agg(F.expr("count(*) div 2").alias("__skip"), edges.alias("__e"))
     bracket = bracket.select(*keys, "__skip", F.col("__e")[0].alias("__lo"), F.col("__e")[1].alias("__hi"))
@@ -60,7 +60,8 @@ def upper_median(df: DataFrame, keys: Sequence[str], value: str, name: str) -> D
 def _middle_range(hist: DataFrame, state: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Of the ``_BINS`` ranges between ``__lo`` and ``__hi`` of a key, the one that holds element ``__skip``, and its own ends."""
     inside = join_back(hist.drop("__skip"), state, keys, "inner").where(F.col("__v").between(F.col("__lo"), F.col("__hi")))
-    place = F.floor((F.col("__v") - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * _BINS)
+    # Halves, so that the width of any two numbers is a number.
+    place = F.floor((F.col("__v") / 2 - F.col("__lo") / 2) / (F.col("__hi") / 2 - F.col("__lo") / 2) * _BINS)
     bins = inside.groupBy(*keys, "__skip", place.alias("__b")).agg(
         F.sum("__c").alias("__c"), F.min("__v").alias("__from"), F.max("__v").alias("__to")
     )
@@ -105,6 +106,22 @@ def top_per(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int,
     return out if rank else out.drop(r)
 
 
+def ranked_per(df: DataFrame, keys: Sequence[str], order: Sequence[Column], rank: str) -> DataFrame:
+    """All rows with their place in their key, from 1, under a total order; a key may hold any number of rows.
+
+    The rows are dealt by ranges of keys and order, each task numbers its own, and the numbers of rows per task and key
+    (one more than tasks and keys together, at most) give each task's start.
+    """
+    by = [*[F.col(k).asc_nulls_first() for k in keys], *order]
+    laid = stage(df, "rows").repartitionByRange(*by).sortWithinPartitions(*by).withColumn("__id", F.monotonically_increasing_id())
+    laid = stage(laid, "laid").withColumn("__part", F.shiftright("__id", 33))
+    runs = laid.groupBy(*keys, "__part").agg(F.min("__id").alias("__first"), F.count("*").alias("__c"))
+    before = F.sum("__c").over(Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = runs.select(*keys, "__part", (F.coalesce(before, F.lit(0)) - F.col("__first") + 1).alias("__shift"))
+    out = join_back(laid, starts, [*keys, "__part"], "inner")
+    return out.withColumn(rank, F.col("__id") + F.col("__shift")).drop("__id", "__part", "__shift")
+
+
 def first_per(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """One row per key, the smallest by ``order``; combines on the map side."""
     rest = [c for c in df.columns if c not in keys]

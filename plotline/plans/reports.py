@@ -28,7 +28,7 @@ _CENTS = lambda c, scale=100: f"floor({c} * {scale} + 0.0001E0) / {scale}.0E0"
 
 
 # --- summaries ------------------------------------------------------------
-_SUMMARY = f"""
+SUMMARY = f"""
 count(*) AS total, CAST(coalesce(round({_POS('avg', 'price')}), 0) AS BIGINT) AS avg_price,
 coalesce({_POS('min', 'price')}, 0) AS min_price, coalesce({_POS('max', 'price')}, 0) AS max_price,
 {_fixed('area_ping', 2, 2)} AS avg_ping, {_fixed('unit_price_ping', 2, 2)} AS avg_unit_price_ping,
@@ -36,28 +36,32 @@ coalesce(round({_POS('min', 'unit_price_ping')}, 2), 0) AS min_unit_price_ping,
 {_fixed('public_ratio', 1, 1)} AS avg_ratio"""
 
 
-@query("a1_result_summary", f"SELECT {_SUMMARY} FROM display")
+@query("a1_result_summary", f"SELECT {SUMMARY} FROM display")
 def _(spark, d):
     return Q.summary(display(spark, d))
 
 
-@query("a1_summary_of_nothing", f"SELECT {_SUMMARY} FROM display WHERE price < 0")
+@query("a1_summary_of_nothing", f"SELECT {SUMMARY} FROM display WHERE price < 0")
 def _(spark, d):
     return Q.summary(display(spark, d).where("price < 0"))
 
 
-def _community_sql(avg) -> str:
+def community_sql(avg, rows: str = "display") -> str:
     return f"""SELECT community_name, count(*) AS count, CAST(coalesce(round({_POS('avg', 'price')}), 0) AS BIGINT) AS avg_price,
     {avg('unit_price_ping', 2)} AS avg_unit_price_ping, {avg('area_ping', 1)} AS avg_ping, {avg('public_ratio', 1)} AS avg_ratio
-    FROM display WHERE community_name <> '' GROUP BY community_name"""
+    FROM {rows} WHERE community_name <> '' GROUP BY community_name"""
 
 
-@query("a2_community_summaries", _community_sql(lambda c, n: _fixed(c, 1 if c == "public_ratio" else 2, n)))
+def rounded_avg(c: str, n: int) -> str:
+    return _fixed(c, 1 if c == "public_ratio" else 2, n)
+
+
+@query("a2_community_summaries", community_sql(rounded_avg))
 def _(spark, d):
     return Q.community_summaries(display(spark, d))
 
 
-@query("a26_group_stats", _community_sql(lambda c, n: _CENTS(f"coalesce({_POS('avg', c)}, 0)")))
+@query("a26_group_stats", community_sql(lambda c, n: _CENTS(f"coalesce({_POS('avg', c)}, 0)")))
 def _(spark, d):
     return _cents(Q.community_summaries(display(spark, d), rounded=False), "avg_unit_price_ping", "avg_ping", "avg_ratio")
 

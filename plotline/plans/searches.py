@@ -9,8 +9,10 @@ from plotline.operators import (
     community as C, filters as P, geo, present as R, report as Q, search as S, textjoin as X,
 )
 from plotline.operators.filters import Filters
+from plotline.operators.stats import ranked_per
 from plotline.plans.fixture import frame, stored, table
 from plotline.plans.registry import CTES, query, variants
+from plotline.plans.reports import SUMMARY, community_sql, rounded_avg
 from plotline.plans.rows import _SHOWN, by_place
 from plotline.session import stage
 
@@ -257,14 +259,12 @@ UNION ALL SELECT query_id, id, 1, row_number() OVER (PARTITION BY query_id ORDER
     SELECT query_id, id, min(path) AS path, arg_min(place, path) AS place FROM paths GROUP BY query_id, id) o) x WHERE rn <= 600""",
 )
 def _(spark, d):
-    from plotline.operators.stats import top_per
-
     tx = frame(spark, d, "tx_addr")
     q = name_queries(spark, d)
     named = S.search_names(tx, q, limit=None).select("query_id", "id", "transaction_date")
     own = q.join(tx.select(F.col("id").alias("query_id"), "street", "number"), "query_id")
     by_house = own.join(tx.select("id", "street", "number", "transaction_date"), ["street", "number"])
-    place = lambda p: top_per(p.select("query_id", "id", "transaction_date"), ["query_id"], R.result_order("date"), 10**9, rank="position")
+    place = lambda p: ranked_per(p.select("query_id", "id", "transaction_date"), ["query_id"], R.result_order("date"), "position")
     return S.merge_paths([place(named), place(by_house)], 600).select("query_id", "id", "path")
 
 
@@ -286,18 +286,27 @@ CTES["by_address"] = f"""
 SELECT query_id, id, 1 AS path, position AS rn FROM ({_CASCADE('query_id < 1000000', _DATE, 100)}) x"""
 
 
-@query(
-    "e5_keyword_search",
-    """SELECT query_id, id, CAST(path AS INT) AS path, CAST(position AS INT) AS position FROM (
+_KEYWORD_SQL = """SELECT query_id, id, CAST(path AS INT) AS path, CAST(position AS INT) AS position FROM (
     SELECT u.*, row_number() OVER (PARTITION BY u.query_id ORDER BY path, rn, u.id) AS position FROM (
       SELECT query_id, id, min(path) AS path, arg_min(rn, path) AS rn FROM (SELECT * FROM by_project UNION ALL SELECT * FROM by_address) p GROUP BY query_id, id) u
-    JOIN query_table q ON q.query_id = u.query_id JOIN tx_addr t ON t.id = u.id WHERE contains(t.district, q.district) OR contains(t.address, q.district)) r WHERE position <= 100""",
-)
+    JOIN query_table q ON q.query_id = u.query_id JOIN tx_addr t ON t.id = u.id WHERE contains(t.district, q.district) OR contains(t.address, q.district)) r WHERE position <= 100"""
+
+
+@query("e5_keyword_search", _KEYWORD_SQL)
 def _(spark, d):
     return _keyword(spark, d).select("query_id", "id", "path", "position")
 
 
-@query("e5_keyword_summary")
+@query("e5_named_search", _KEYWORD_SQL)
+def _(spark, d):
+    # The caller names the project (path 0); it is the one the address leads to.
+    tx = frame(spark, d, "tx_addr")
+    q = frame(spark, d, "query_table").select("query_id", "query_text")
+    lead = C.best_link(C.address_to_community(tx, q)).select("query_id", F.col("name").alias("community"))
+    return S.keyword_search(tx, q.join(lead, "query_id", "left"), limit=100).select("query_id", "id", "path", "position")
+
+
+@query("e5_keyword_summary", community_sql(rounded_avg, f"(SELECT d.* FROM ({_KEYWORD_SQL}) e JOIN display d ON d.id = e.id WHERE NOT d.is_special) s"))
 def _(spark, d):
     rows = _keyword(spark, d)
     shown = R.display_rows(rows.drop("query_id"), mode="db")
@@ -324,14 +333,9 @@ def _(spark, d):
     return R.display_rows(S.search_area(by_place(spark, d), _AREA, limit=500), mode="db").select(*_SHOWN)
 
 
-@query(
-    "e6_area_summary",
-    """SELECT count(*) AS total, CAST(coalesce(round(avg(CASE WHEN price > 0 THEN price END)), 0) AS BIGINT) AS avg_price, min(CASE WHEN price > 0 THEN price END) AS min_price, max(CASE WHEN price > 0 THEN price END) AS max_price
-    FROM area_rows WHERE NOT is_special""",
-)
+@query("e6_area_summary", f"SELECT {SUMMARY} FROM area_rows WHERE NOT is_special")
 def _(spark, d):
-    s = Q.summary(_area_rows(spark, d).where("not is_special"))
-    return s.select("total", "avg_price", "min_price", "max_price")
+    return Q.summary(_area_rows(spark, d).where("not is_special"))
 
 
 @query("e6_area_by_points")

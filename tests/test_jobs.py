@@ -10,7 +10,7 @@ from plotline import schema
 from plotline.functions import dates as D, text as T
 from plotline.operators import cells as CE, community as C, filters as P, ingest as I, names as N, search as S, textjoin as X
 from plotline.operators.gazetteer import read_gazetteer
-from plotline.operators.stats import top_per, upper_median, with_count
+from plotline.operators.stats import ranked_per, top_per, upper_median, upper_medians, with_count
 from plotline.plans import fixture
 from plotline.session import scratch_folder
 from plotline.streaming import ingest as ST
@@ -175,6 +175,25 @@ def test_months_are_calendar_months(spark):
     assert got[:3] == ["m11301", "m9902", "m09901"] and got[5:9] == ["none"] * 4
 
 
+def test_ranks_of_a_hot_key(spark):
+    data = [("hot", i * 7919 % 5000, i) for i in range(5000)] + [(None, 1, 1), (None, 0, 2), ("a", None, 3)]
+    df = spark.createDataFrame(data, "k string, v long, id long")
+    got = ranked_per(df, ["k"], [F.col("v").desc_nulls_last(), F.col("id")], "r").collect()
+    assert sorted((r.r, r.v) for r in got if r.k == "hot") == [(i + 1, 4999 - i) for i in range(5000)]
+    assert sorted((r.r, r.v) for r in got if r.k is None) == [(1, 1), (2, 0)] and [r.r for r in got if r.k == "a"] == [1]
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 10, 25, 997, 1001])
+def test_medians_of_small_and_odd_groups(spark, n):
+    rnd = random.Random(n)
+    values = [rnd.choice([rnd.uniform(-1e9, 1e9), rnd.randint(0, 5), 1e-300, 1e300]) for _ in range(n)]
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double")
+    got = upper_medians(df, [], {"m": F.col("v")}).collect()
+    assert [r.m for r in got if r.m is not None] == ([sorted(values)[n // 2]] if n else [])
+    plan = upper_median(df, [], "v", "m")._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan
+
+
 # --- boxes ----------------------------------------------------------------
 BOXES = [(22.5, 23.5, 120.4, 121.2), (23.0, 23.0, 121.0, 121.0), (-90.0, 90.0, -180.0, 180.0), (24.99, 25.01, 121.49, 121.51), (-1.0, 1.0, -1.0, 1.0), (24.0, 23.0, 120.0, 121.0), (10.0, 11.0, 179.9, 400.0)]
 
