@@ -186,7 +186,7 @@ def test_ranks_of_a_hot_key(spark):
 @pytest.mark.parametrize("n", [0, 1, 2, 3, 10, 25, 997, 1001])
 def test_medians_of_small_and_odd_groups(spark, n):
     rnd = random.Random(n)
-    values = [rnd.choice([rnd.uniform(-1e9, 1e9), rnd.randint(0, 5), 1e-300, 1e300]) for _ in range(n)]
+    values = [rnd.choice([rnd.uniform(-1e9, 1e9), float(rnd.randint(0, 5)), 1e-300, 1e300]) for _ in range(n)]
     df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double")
     got = upper_medians(df, [], {"m": F.col("v")}).collect()
     assert [r.m for r in got if r.m is not None] == ([sorted(values)[n // 2]] if n else [])
