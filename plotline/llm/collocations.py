@@ -6,7 +6,7 @@ frequency, so a pair is a cell of a square and frequent pairs lie near its corne
 cells) and a tile with few as a sorted coordinate list.  Frequent pairs are ranked in turn, and their ids replace the words: two
 pairs that overlap in a word are a phrase of three, and so on, so a longer phrase is always a pair of ids.
 
-Distribution: a chunk holds some megabytes of text of one language and is the unit of all tasks.  A task adds up the pairs of
+Distribution: a chunk holds some hundred kilobytes of text of one language (rows of megabytes fragment the heap) and is the unit of all tasks.  A task adds up the pairs of
 its chunks, tile by tile, and Spark adds up the tasks, so the hottest pair is a row per task.  Ids return to the chunks
 in two parts: those of the ``HEAD`` most frequent pairs, a fixed number, go to every task; all others meet the chunks that have
 them in a join, whose keys are no hot ones.  Words return by the join alone.  Ranks come from range partitions.
@@ -32,7 +32,7 @@ LEAST = 100
 LONGEST = 5
 TOP = 2000
 TILE = 1024
-CHUNK_BYTES = 3 << 20
+CHUNK_BYTES = 640 << 10
 # The most frequent pairs of a level, over all languages, whose ids go to every task.
 HEAD = 1 << 19
 _ID_BITS = 31
@@ -146,7 +146,7 @@ def count_tiles(left: np.ndarray, right: np.ndarray, tile: int = TILE) -> tuple[
 _LEVEL = "chunk long, lang string, seq binary"
 _COUNTS = "lang string, code long, n long"
 # Pairs of a task that are held before they are handed on.
-_HELD = 300_000
+_HELD = 1_000_000
 
 
 def _codes(seq: np.ndarray) -> np.ndarray:
