@@ -146,7 +146,7 @@ def count_tiles(left: np.ndarray, right: np.ndarray, tile: int = TILE) -> tuple[
 _LEVEL = "chunk long, lang string, seq binary"
 _COUNTS = "lang string, code long, n long"
 # Pairs of a task that are held before they are handed on.
-_HELD = 1_000_000
+_HELD = 200_000
 
 
 def _codes(seq: np.ndarray) -> np.ndarray:
@@ -255,9 +255,7 @@ def _by_both(head: Broadcast) -> Callable[[pa.Table, pa.Table], pa.Table]:
 
 def _ids(sums: DataFrame, least: int) -> DataFrame:
     """``(lang, code, a, id)``: what occurs ``least`` times in a language, numbered from the most frequent on."""
-    # Tasks have added up their own rows: dealt out first, they are not hashed twice.
-    sums = sums.repartition("lang", "code").groupBy("lang", "code").agg(F.sum("n").alias("a"))
-    sums = stage(sums.where(F.col("a") >= least), "frequent")
+    sums = stage(sums.groupBy("lang", "code").agg(F.sum("n").alias("a")).where(F.col("a") >= least), "frequent")
     out = ranked(sums, "lang", [F.col("a").desc(), F.col("code").asc()], "id", "__n").drop("__n")
     return stage(out.withColumn("id", F.when(F.col("id") < (1 << _ID_BITS), F.col("id")).otherwise(F.raise_error(F.lit("too many phrases")))), "phrase_ids")
 
