@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plotline.llm import chat, collocations, decontaminate, fingerprints, jaccard, language, licenses, line_dedup, merkle, merkle_sql, packing, quality, redirects, toxicity
 from plotline.llm.sampling import held_out
-from plotline.llm.shipping import ship
+from plotline.shipping import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
 

@@ -485,6 +485,22 @@ def test_name_searches_compare_few_pairs(spark, monkeypatch, rule, most):
     assert 0 < sum(seen) < most * titles.count() * asks.count()
 
 
+def test_only_the_best_names_of_a_block_are_scored(spark, monkeypatch):
+    """Letters of one alphabet, in which many names share most of a keyword's; blocks of several names and keywords."""
+    from plotline.plans import linking as P
+
+    titles, asks = P._titles(spark, "/root/testdata/sf0.001")
+    seen, scored = [], N._scored
+    monkeypatch.setattr(N, "_scored", lambda n, q, pairs: (seen.append(pairs.count()), scored(n, q, pairs))[1])
+    whole = rows(N.best_by_name(titles, asks))
+    monkeypatch.setattr(N, "_BLOCK", 50)
+    assert rows(N.best_by_name(titles, asks)) == whole
+    names = titles.select(F.upper("name").alias("norm"), "name", "tx_count", F.lit("").alias("district"))
+    N.match_names_by_overlap(names, asks, 3)
+    # The nearest names and the few looked at beyond them, and names that hold the keyword.
+    assert 0 < max(seen) < 12 * asks.count()
+
+
 def test_names_are_few_steps_from_all_names(spark):
     """Long and short keywords, letters that no name has, doubled letters; against the scores of all names."""
     rnd = random.Random(8)
