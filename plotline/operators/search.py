@@ -199,15 +199,13 @@ def search_addresses(
 
 def search_shortened(tx: DataFrame, queries: DataFrame, text: str = "query_text", limit: int | None = 200) -> DataFrame:
     """Rows containing the longest of the progressively shortened texts that matches anything."""
-    cuts = queries.select("query_id", F.posexplode(A.shortened(text)).alias("step", "phrase"))
+    cuts = stage(queries.select("query_id", F.posexplode(A.shortened(text)).alias("step", "phrase")), "shortened")
     texts = tx.select("id", A.normalize("address").alias("text"))
-    stepped = cuts.withColumn("pid", F.struct("query_id", "step"))
-    hits = X.contains_join(texts, stepped, "id", "text", "pid", "phrase").select(
-        F.col("phrase_id.query_id").alias("query_id"), F.col("phrase_id.step").alias("step"), "id"
-    )
-    hits = stage(hits, "shortened_hits")
-    first = hits.groupBy("query_id").agg(F.min("step").alias("step"))
-    kept = hits.join(first, ["query_id", "step"])
+    # Every text is matched once; the rows of the shorter texts of a query are never handed to it.
+    hits = X.contains_join(texts, cuts.select("phrase").distinct(), "id", "text", "phrase", "phrase")
+    hits = stage(hits.withColumnRenamed("phrase_id", "phrase"), "shortened_hits")
+    first = cuts.join(hits.select("phrase").distinct(), "phrase").groupBy("query_id").agg(F.min(F.struct("step", "phrase")).alias("f"))
+    kept = first.select("query_id", "f.step", "f.phrase").join(hits, "phrase").drop("phrase")
     rows = kept.join(tx, "id")
     return rows if limit is None else top_per(rows, ["query_id"], R.result_order("date"), limit)
 

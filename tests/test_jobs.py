@@ -410,6 +410,17 @@ def test_search_methods_take_turns(spark):
     assert {r.id for r in out if r.query_id == 2} == {i for i, a in half.items() if f"{one.number}號{one.floor}樓" in a}
 
 
+def test_shortened_texts_meet_rows_once(spark, monkeypatch):
+    """Queries that share a street do not each get the street's rows while a longer text has some."""
+    held, stage = {}, S.stage
+    monkeypatch.setattr(S, "stage", lambda df, name: (out := stage(df, name), held.update({name: out.count()}))[0])
+    tx = spark.createDataFrame([(i, f"三民路{i % 40 + 1}巷{i}號") for i in range(200)], "id long, address string")
+    q = spark.createDataFrame([(i, f"三民路{i % 40 + 1}巷999號") for i in range(400)], "query_id long, query_text string")
+    got = {(r.query_id, r.id) for r in S.search_shortened(tx, q, limit=None).collect()}
+    assert got == {(a, b) for a in range(400) for b in range(200) if a % 40 == b % 40}
+    assert held["shortened_hits"] <= 41 * 200
+
+
 def test_keyword_search_keeps_first_path_and_district(spark):
     tx = fixture.frame(spark, SF, "tx_addr")
     one = tx.where("community_name <> ''").first()
