@@ -546,3 +546,17 @@ def test_watermarks_bound_the_state(spark):
             sizes += [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
     assert sorted(r.id for r in spark.read.parquet(out).collect()) == list(range(600))
     assert max(sizes) <= 5 * 50 and len(sizes) >= 12
+
+
+def test_duplicates_are_merged_in_one_pass(spark):
+    given = spark.createDataFrame(
+        [("k", 1, "a", "", "n1"), ("k", 1, "b", "x", "n2"), ("k", 2, "c", "y", ""), (None, 1, "d", "", ""), (None, 1, "d", "", "")],
+        "dedup_key string, source_rank int, ingest_seq string, building_type string, note string",
+    )
+    merged, first = I.merge_duplicates(given), I.first_by_key(given)
+    for out in (merged, first):
+        assert "Union" not in out._jdf.queryExecution().optimizedPlan().toString()
+    none = (None, 1, "d", "", "")
+    by_key = lambda out: sorted(map(tuple, out.collect()), key=str)
+    assert by_key(merged) == sorted([("k", 1, "a", "x", "n1"), none, none], key=str)
+    assert by_key(first) == sorted([("k", 1, "a", "", "n1"), none, none], key=str)
