@@ -1,5 +1,10 @@
 """License scans by conditional compression and exact naming words.
 
+Every place of some template's naming words is a candidate: the words around it are compressed with each template as a
+zstandard raw dictionary, in a window as long as the template may be, and the templates are ranked by their savings, as shares of
+what they save on themselves.  Those with at least the share ``CLOSE`` of the highest are confirmed by their wording, down to
+the end of the ranking if none of them is.
+
 A template is a wording of a license: a text, header, heading or notice, each one its own template (``license_texts`` has
 the default table).  Its naming words, marked by braces (name, version, clauses), must be in the text as they are, next to
 each other; as many words as the share ``DIFFERENCE`` of all may be missing, if that is not more than half of the other
@@ -8,8 +13,7 @@ its line breaks are: the naming words are looked up in the words of the whole do
 and behind them are aligned by longest common subsequences, so the smallest difference is found.  A wording between
 ``^`` and ``$`` is a heading and must be all the words of its line.  An SPDX line is read as an expression, a row per
 license in it.  Of templates that claim the same naming words the one with more matching words is reported, then the one
-that differs less, then the one that saves more: a passage is compressed alone and with the template as a zstandard raw
-dictionary.
+that differs less, then the one that saves more on the passage itself.
 
 Candidate blocks are runs of neighbouring lines that contain a cue word.  A block without a confirmed template is reported
 with a NULL license and its closest template: it is cut into overlapping windows around its cues, long enough for the
@@ -46,6 +50,7 @@ from plotline.llm.textops import slices
 CUES = ("licens", "licenc", "copyright", "all rights reserved", "spdx", "warrant", "redistribut", "public domain")
 RANKED = 3
 LONG = 40
+CLOSE = 0.5
 DIFFERENCE = 0.2
 LEVEL = 6
 _CUE = re.compile("|".join(map(re.escape, CUES)), re.IGNORECASE)
@@ -189,6 +194,43 @@ def nearest(block: str, known: Sequence[Wording], difference: float = DIFFERENCE
     return best or (0, len(block.encode()), 1.0, [], [])
 
 
+def _window(w: Wording) -> tuple[int, int]:
+    """First word and end, from its first naming word, of the place that holds the template with all words it may have more."""
+    slack = int(DIFFERENCE * len(w.words) + 1e-9)
+    begin = -w.names[0][0] - slack
+    return begin, begin + len(w.words) + 2 * slack
+
+
+@lru_cache(maxsize=None)
+def _whole(template: str) -> int:
+    return max(1, saving(template, template))
+
+
+def _by_window(known: Sequence[Wording]) -> dict[tuple[int, int], list[tuple[int, str, int]]]:
+    """The templates by their windows: number, words without layout, and bytes saved on itself."""
+    out: dict[tuple[int, int], list[tuple[int, str, int]]] = {}
+    for i, w in enumerate(known):
+        plain = " ".join(w.words)
+        out.setdefault(_window(w), []).append((i, plain, _whole(plain)))
+    return out
+
+
+def shares(words: Sequence[str], at: int, known: Mapping[tuple[int, int], Sequence[tuple[int, str, int]]], seen: dict) -> dict[int, float]:
+    """Of each template the saving on its window around a word, as a share of its saving on itself.
+
+    Layout and the spelling of 'license' do not count.  ``seen`` keeps the shares of windows that a text repeats.
+    """
+    out = {}
+    for (begin, end), group in known.items():
+        window = " ".join(words[max(0, at + begin) : at + end])
+        key = (begin, end, window)
+        if key not in seen:
+            alone = _with(window, None)
+            seen[key] = {i: (alone - _with(window, plain)) / whole for i, plain, whole in group}
+        out |= seen[key]
+    return out
+
+
 def _common(want: Sequence[int], own: Sequence[int]) -> np.ndarray:
     """Lengths of the longest common subsequences of all beginnings of ``want`` and ``own``."""
     out = np.zeros((len(want) + 1, len(own) + 1), np.int32)
@@ -260,8 +302,8 @@ def _align(want: list[int], names: Sequence[tuple[int, int]], own: list[int], fi
     return best and best[1:]
 
 
-def matches(text: str, known: Sequence[Wording], difference: float = DIFFERENCE) -> list[Match]:
-    """Every confirmed template of a text, by place."""
+def matches(text: str, known: Sequence[Wording], difference: float = DIFFERENCE, close: float = CLOSE) -> list[Match]:
+    """Every confirmed template of a text, by place; with ``close`` below every share each template is confirmed that can be."""
     spans, words = [], []
     for m in _WORD.finditer(text):
         spans.append(m.span())
@@ -274,38 +316,56 @@ def matches(text: str, known: Sequence[Wording], difference: float = DIFFERENCE)
     for i, n in enumerate(own):
         place.setdefault(n, []).append(i)
 
-    found = []
-    for w in known:
+    # The templates by the places of their first naming words.
+    places: dict[int, list[int]] = {}
+    for k, w in enumerate(known):
         a, b = w.names[0]
         name = [number.get(x, -1) for x in w.words[a:b]]
-        if -1 in name:
-            continue
+        if -1 not in name:
+            for first in place.get(name[0], []):
+                if own[first : first + b - a] == name:
+                    places.setdefault(first, []).append(k)
+    mixed: dict[int, list[int]] = {}
+
+    def confirm(k: int, first: int) -> tuple | None:
+        w = known[k]
         slack = int(difference * len(w.words) + 1e-9)
         want = [number.get(x, -1) for x in w.words]
         named = {i for x, y in w.names for i in range(x, y)}
-        seen = own if exact else None
-        for first in place.get(name[0], []):
-            if own[first : first + b - a] != name:
-                continue
-            seen = seen or _mixed(plain, own, want, named)
-            at = _align(want, w.names, seen, first, min(slack, (len(w.words) - len(named)) // 2), slack)
-            if at is None or w.heading and not _whole_line(text, spans, at[0], at[1]):
-                continue
-            begin, end, pairs = at
-            has = {i for i, _ in pairs}
-            met = {j for _, j in pairs}
-            missing = [x for i, x in enumerate(w.words) if i not in has]
-            added = [words[j] for j in range(begin, end) if j not in met]
-            if not w.without.isdisjoint(added):
-                continue
-            start, stop = spans[begin][0], spans[end - 1][1]
-            stop += text[stop : stop + 1] == "."
-            passage = text[start:stop]
-            saved = saving(passage, w.text)
-            size = len(passage.encode())
-            share = max(len(missing), len(added)) / len(w.words)
-            row = Match(start, stop, w.license, saved, size, share, missing, added)
-            found.append((-len(pairs), share, -saved / size, w.license, row, met, {j for i, j in pairs if i in named}))
+        if k not in mixed:
+            mixed[k] = own if exact else _mixed(plain, own, want, named)
+        at = _align(want, w.names, mixed[k], first, min(slack, (len(w.words) - len(named)) // 2), slack)
+        if at is None or w.heading and not _whole_line(text, spans, at[0], at[1]):
+            return None
+        begin, end, pairs = at
+        has = {i for i, _ in pairs}
+        met = {j for _, j in pairs}
+        missing = [x for i, x in enumerate(w.words) if i not in has]
+        added = [words[j] for j in range(begin, end) if j not in met]
+        if not w.without.isdisjoint(added):
+            return None
+        start, stop = spans[begin][0], spans[end - 1][1]
+        stop += text[stop : stop + 1] == "."
+        passage = text[start:stop]
+        saved = saving(passage, w.text)
+        size = len(passage.encode())
+        row = Match(start, stop, w.license, saved, size, max(len(missing), len(added)) / len(w.words), missing, added)
+        return -len(pairs), row.difference, -saved / size, w.license, row, met, {j for i, j in pairs if i in named}
+
+    found, windowed = [], {}
+    spelled = [_name(x) for x in words]
+    windows_of = _by_window(known) if places else {}
+    for first, there in places.items():
+        share = shares(spelled, first, windows_of, windowed)
+        least, some = close * max(share.values()), False
+        for k in sorted(there, key=lambda k: (-share[k], k)):
+            # The winners are confirmed; the others only until one is, where no winner is.
+            if share[k] < least and some:
+                break
+            row = confirm(k, first)
+            if row is not None:
+                found.append(row)
+                some = True
 
     out, taken = _expressions(text, {w.license.lower(): w.license for w in known}), set()
     for *_, row, met, claimed in sorted(found, key=lambda x: (*x[:4], x[4].start)):

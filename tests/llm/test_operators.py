@@ -7,6 +7,7 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -332,3 +333,25 @@ def test_chat(spark):
         text = "".join(r.segment for r in own)
         assert [text[r.loss_start : r.loss_end] for r in own if r.loss] == [("hi" if who == "ann" else "") + chat.END]
         assert all(text[r.segment_start :].startswith(r.segment) for r in own)
+
+
+def test_license_savings_rank_the_templates(monkeypatch):
+    known = licenses.wordings(licenses.TEMPLATES)
+    docs = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column("text").to_pylist()
+    filler = " ".join(f"w{i % 977}" for i in range(400))
+    texts = [t for t in docs if t and licenses.worth_reading(t, licenses.cueless(known))]
+    texts += [f"{filler}\n{w.text}\n{filler}" for w in known[::7]]
+    # Every template that can be confirmed against those that the savings put in front: none is lost.
+    whole = [licenses.matches(t, known, close=float("-inf")) for t in texts]
+    assert sum(map(len, whole)) >= 100
+    tried, align = [], licenses._align
+    monkeypatch.setattr(licenses, "_align", lambda *a: tried.append(1) or align(*a))
+    assert [licenses.matches(t, known) for t in texts] == whole
+    few = len(tried)
+    tried.clear()
+    assert [licenses.matches(t, known, close=float("-inf")) for t in texts] == whole and few < len(tried)
+    # A saving that names the wrong templates changes which are confirmed first.
+    asked = []
+    monkeypatch.setattr(licenses, "_with", lambda block, template: asked.append(template) or len(block))
+    licenses.matches("Released under the MIT License.", known)
+    assert len(set(asked)) > len(known) // 2
