@@ -9,6 +9,8 @@ number of transactions and of distinct keys, never their product.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from plotline.functions import address as A
@@ -107,46 +109,66 @@ def search_structured(
 
     ``addr_count`` counts the rows of the level that share the address, before the filters.
     """
+    return _structured(tx, parsed, filters, sort_by, limit)[0]
+
+
+def _structured(tx, parsed, filters, sort_by, limit) -> tuple[DataFrame, DataFrame]:
+    """:func:`search_structured`, and the queries that found something (``query_id``, ``level``, ``key``).
+
+    Rows of equal address and parts answer to the same keys, so they are one row until level and key of each query are known.
+    """
     keys = stage(query_keys(parsed), "query_keys")
     computed = R.with_computed(tx)
-    if filters is not None:
-        computed = computed.withColumn("__ok", P.computed_filters(filters))
-    matched = match_keys(computed, keys)
-    passing = matched if filters is None else matched.where("__ok")
-    alive = passing.select("key").distinct()
+    computed = computed.withColumn("__ok", F.lit(True) if filters is None else P.computed_filters(filters))
+    same = ["address", "district", "street", "lane", "alley", "number", "sub_number", "floor"]
+    houses = computed.where(~blank("address")).groupBy(*same).agg(F.count("*").alias("__n"), F.max("__ok").alias("__some"))
+    matched = stage(match_keys(houses, keys), "matched_houses")
+    alive = matched.where("__some").select("key").distinct()
     best = keys.join(alive, "key", "left_semi").groupBy("query_id").agg(
         F.min(F.struct("level", "key")).alias("b")
     ).select("query_id", "b.level", "b.key")
     best = stage(best, "query_levels")
-    needed = best.select("key").distinct()
-    counts = (
-        matched.join(needed, "key", "left_semi").groupBy("key", "address")
-        .agg(F.count("*").alias("addr_count"))
-    )
-    rows = passing.join(needed, "key", "left_semi")
-    if sort_by == "count":
-        rows = join_back(rows, counts, ["key", "address"])
-    if limit is not None:
-        rows = top_per(rows, ["key"], R.result_order(sort_by), limit, rank="position")
-    if sort_by != "count":
-        rows = join_back(rows, counts, ["key", "address"])
-    drop = ["key"] + ([] if filters is None else ["__ok"])
-    return best.join(rows, "key").drop(*drop)
-
-
-def _ranked(hits: DataFrame, tx: DataFrame, filters: P.Filters | None, sort_by: str, limit: int | None) -> DataFrame:
-    """Rows for (ask, id) pairs: counted, filtered, ordered and cut per distinct search text."""
-    rows = hits.join(R.with_computed(tx.where(~blank("address"))), "id")
-    counts = rows.groupBy("ask", "address").agg(F.count("*").alias("addr_count"))
+    needed = matched.join(best.select("key").distinct(), "key", "left_semi")
+    counts = needed.groupBy("key", "address").agg(F.sum("__n").alias("addr_count"))
+    held = needed.where("__some").select("key", *same).join(counts, ["key", "address"])
+    passing = computed.where("__ok").drop("__ok")
+    if limit is None:
+        held = stage(best.join(held, "key").drop("key"), "held_houses")
+        return join_back(passing, held, same, "inner"), best
+    rows = join_back(passing, stage(held, "held_houses"), same, "inner")
+    rows = top_per(rows, ["key"], R.result_order(sort_by), limit, rank="position")
+    return best.join(rows, "key").drop("key"), best
+
+
+def _addresses(tx: DataFrame, form: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(id, address, text, addr_count): each address once, named by its smallest row, with the form that is searched."""
+    once = tx.where(~blank("address")).groupBy("address").agg(F.min("id").alias("id"), F.count("*").alias("addr_count"))
+    return stage(once.withColumn("text", F.col("address") if form is None else form(F.col("address"))), "addresses")
+
+
+def _by_text(asked, spelled, addresses, tx, filters, sort_by, limit) -> tuple[DataFrame, DataFrame]:
+    """Rows of the addresses that hold a spelling of a query's text, and the texts (``ask``) that have some.
+
+    ``asked``: query_id, ask; ``spelled``: ask, phrase.  Addresses are searched once, counted, and only then meet their rows,
+    which are filtered, ordered and cut per distinct search text.
+    """
+    hits = X.contains_join(addresses, spelled, "id", "text", "ask", "phrase").withColumnRenamed("phrase_id", "ask")
+    held = stage(hits.join(addresses, "id").select("ask", "address", "addr_count"), "held_addresses")
+    each = held if limit is not None else stage(asked.join(held, "ask"), "asked_addresses")
+    rows = each.join(R.with_computed(tx), "address")
     if filters is not None:
         rows = rows.where(P.computed_filters(filters))
-    if sort_by == "count":
-        rows = join_back(rows, counts, ["ask", "address"])
-    if limit is not None:
-        rows = top_per(rows, ["ask"], R.result_order(sort_by), limit, rank="position")
-    if sort_by != "count":
-        rows = join_back(rows, counts, ["ask", "address"])
-    return rows
+    if limit is None:
+        return rows.drop("ask"), (held if filters is None else rows).select("ask").distinct()
+    rows = stage(top_per(rows, ["ask"], R.result_order(sort_by), limit, rank="position"), "text_rows")
+    return asked.join(rows, "ask").drop("ask"), rows.select("ask").distinct()
+
+
+def _phrase(tx, parsed, filters, sort_by, limit) -> tuple[DataFrame, DataFrame]:
+    asked = stage(parsed.select("query_id", F.col("q_normal").alias("ask")), "asked")
+    spelled = asked.select("ask", F.col("ask").alias("phrase")).distinct()
+    rows, found = _by_text(asked, spelled, _addresses(tx, A.normalize), tx, filters, sort_by, limit)
+    return rows, asked.join(found, "ask", "left_semi").select("query_id")
 
 
 def search_phrase(tx, parsed, filters=None, sort_by="date", limit=200) -> DataFrame:
@@ -154,22 +176,17 @@ def search_phrase(tx, parsed, filters=None, sort_by="date", limit=200) -> DataFr
 
     Queries with the same text share one search.
     """
-    texts = tx.select("id", A.normalize("address").alias("text"))
-    asks = parsed.select(F.col("q_normal").alias("ask")).distinct()
-    hits = X.contains_join(texts, asks, "id", "text", "ask", "ask").withColumnRenamed("phrase_id", "ask")
-    rows = _ranked(hits, tx, filters, sort_by, limit)
-    return parsed.select("query_id", F.col("q_normal").alias("ask")).join(rows, "ask").drop("ask")
+    return _phrase(tx, parsed, filters, sort_by, limit)[0]
 
 
 def search_variants(
     tx, queries, filters=None, sort_by="date", limit=200, text: str = "query_text", variants: int | None = None
 ) -> DataFrame:
     """Rows whose raw address contains a spelling of the text (only the first ``variants`` spellings if that is given)."""
-    asks = queries.select(F.col(text).alias("ask")).distinct()
+    asked = stage(queries.select("query_id", F.col(text).alias("ask")), "asked")
+    asks = asked.select("ask").distinct()
     spelled = asks.select("ask", F.explode(A.variants("ask") if variants is None else F.slice(A.variants("ask"), 1, variants)).alias("phrase"))
-    hits = X.contains_join(tx, spelled, "id", "address", "ask", "phrase").withColumnRenamed("phrase_id", "ask")
-    rows = _ranked(hits, tx, filters, sort_by, limit)
-    return queries.select("query_id", F.col(text).alias("ask")).join(rows, "ask").drop("ask")
+    return _by_text(asked, spelled, _addresses(tx), tx, filters, sort_by, limit)[0]
 
 
 def search_addresses(
@@ -185,12 +202,12 @@ def search_addresses(
     ``method`` says which of the three answered.
     """
     parsed = stage(parse_queries(queries, text), "parsed_queries")
-    by_parts = search_structured(tx, parsed, filters, sort_by, limit).withColumn("method", F.lit("structured"))
-    by_parts = stage(by_parts, "by_parts")
-    left = stage(parsed.join(by_parts.select("query_id").distinct(), "query_id", "left_anti"), "unanswered")
-    by_phrase = search_phrase(tx, left, filters, sort_by, limit).withColumn("method", F.lit("phrase"))
-    by_phrase = stage(by_phrase, "by_phrase")
-    rest = stage(left.join(by_phrase.select("query_id").distinct(), "query_id", "left_anti"), "unanswered")
+    by_parts, answered = _structured(tx, parsed, filters, sort_by, limit)
+    by_parts = by_parts.withColumn("method", F.lit("structured"))
+    left = stage(parsed.join(answered.select("query_id").distinct(), "query_id", "left_anti"), "unanswered")
+    by_phrase, answered = _phrase(tx, left, filters, sort_by, limit)
+    by_phrase = by_phrase.withColumn("method", F.lit("phrase"))
+    rest = stage(left.join(answered.distinct(), "query_id", "left_anti"), "unanswered")
     by_variant = search_variants(tx, rest, filters, sort_by, limit, text).withColumn("method", F.lit("variants"))
     return by_parts.unionByName(by_phrase, allowMissingColumns=True).unionByName(
         by_variant, allowMissingColumns=True
@@ -200,13 +217,13 @@ def search_addresses(
 def search_shortened(tx: DataFrame, queries: DataFrame, text: str = "query_text", limit: int | None = 200) -> DataFrame:
     """Rows containing the longest of the progressively shortened texts that matches anything."""
     cuts = stage(queries.select("query_id", F.posexplode(A.shortened(text)).alias("step", "phrase")), "shortened")
-    texts = tx.select("id", A.normalize("address").alias("text"))
     # Every text is matched once; the rows of the shorter texts of a query are never handed to it.
-    hits = X.contains_join(texts, cuts.select("phrase").distinct(), "id", "text", "phrase", "phrase")
-    hits = stage(hits.withColumnRenamed("phrase_id", "phrase"), "shortened_hits")
+    addresses = _addresses(tx, A.normalize)
+    hits = X.contains_join(addresses, cuts.select("phrase").distinct(), "id", "text", "phrase", "phrase")
+    hits = stage(hits.withColumnRenamed("phrase_id", "phrase").join(addresses.select("id", "address"), "id").drop("id"), "shortened_hits")
     first = cuts.join(hits.select("phrase").distinct(), "phrase").groupBy("query_id").agg(F.min(F.struct("step", "phrase")).alias("f"))
-    kept = first.select("query_id", "f.step", "f.phrase").join(hits, "phrase").drop("phrase")
-    rows = kept.join(tx, "id")
+    kept = stage(first.select("query_id", "f.step", "f.phrase").join(hits, "phrase").drop("phrase"), "shortened_rows")
+    rows = kept.join(tx, "address")
     return rows if limit is None else top_per(rows, ["query_id"], R.result_order("date"), limit)
 
 

@@ -575,3 +575,30 @@ def test_equal_texts_are_indexed_once(spark, tmp_path):
     assert rows(X.search_index_any(spark, path, pd, "pid")) == sorted({(i,) for _, i in want}, key=repr)
     counts = {r.gram: (r.places, r.texts) for r in X.piece_counts(spark.createDataFrame([(1, "abab"), (2, "abab"), (3, "ab")], "id long, text string"), "id", "text").collect()}
     assert counts == {"ab": (5, 3), "ba": (2, 2), "b": (3, 3)}
+
+
+def test_equal_addresses_are_searched_once(spark, monkeypatch):
+    tx = fixture.frame(spark, SF, "tx_addr")
+    copies = tx.where("id < 40").withColumn("id", F.explode(F.sequence(F.col("id"), F.col("id") + 10000 * 7, F.lit(10000))))
+    copies = spark.createDataFrame(copies.collect(), copies.schema)
+    data = copies.select("id", "address", "address_half").collect()
+    seen = {"texts": [], "rows": []}
+    joined, matched = X.contains_join, S.match_keys
+    monkeypatch.setattr(X, "contains_join", lambda t, *a: seen["texts"].append(t.count()) or joined(t, *a))
+    monkeypatch.setattr(S, "match_keys", lambda t, *a: seen["rows"].append(t.count()) or matched(t, *a))
+    first = data[0].address_half
+    asked = [(1, first.split("號")[0] + "號"), (2, "1號"), (3, "1號"), (4, "沒有這個")]
+    q = spark.createDataFrame(asked, "query_id long, query_text string")
+    parsed = S.parse_queries(q)
+    per = Counter(r.address for r in data)
+    for limit in (None, 20):
+        got = S.search_phrase(copies, parsed, limit=limit).select("query_id", "id", "addr_count", "address").collect()
+        want = {k: {r.id for r in data if t in r.address_half} for k, t in asked}
+        for k, ids in want.items():
+            mine = [r.id for r in got if r.query_id == k]
+            assert len(mine) == (len(ids) if limit is None else min(limit, len(ids))) and set(mine) <= ids
+        assert got and all(r.addr_count == per[r.address] for r in got)
+    named = S.search_structured(copies, parsed, limit=None).collect()
+    assert named and all(r.query_id == 1 and r.addr_count == per[r.address] for r in named)
+    assert {r.id for r in data if r.address_half.startswith(asked[0][1])} == {r.id for r in named}
+    assert set(seen["texts"]) == {len(per)} and seen["rows"] == [len(per)] and len(data) == 8 * len(per)
