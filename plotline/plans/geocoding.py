@@ -8,6 +8,7 @@ from plotline.operators import filters as P, gazetteer as G, geo, present as R,
 from plotline.plans.fixture import frame
 from plotline.plans.ingest import _GEO_BASE, _GEO_ROAD
 from plotline.plans.registry import CTES, query
+from plotline.session import stage
 
 _STREET = "concat(t.street, CASE WHEN t.lane <> '' THEN concat(t.lane, '巷') ELSE '' END, CASE WHEN t.alley <> '' THEN concat(t.alley, '弄') ELSE '' END)"
 CTES["exact_points"] = "SELECT district, street, housenumber, min(point_id) AS point_id, arg_min(lat, point_id) AS lat, arg_min(lng, point_id) AS lng FROM points GROUP BY district, street, housenumber"
@@ -107,10 +108,14 @@ def _(spark, d):
     return out.select("id", F.round("name_lat", 6).alias("name_lat"), F.round("name_lng", 6).alias("name_lng"))
 
 
+def _address_keys(spark, d):
+    """Geocoding keys of the distinct addresses, written so that no condition on a key is evaluated for every row."""
+    return geo.with_geo_keys(stage(frame(spark, d, "tx_addr").select("district", "address").distinct(), "addresses"))
+
+
 @query("u4_uncovered", "SELECT DISTINCT geo_base FROM located WHERE c_lat IS NULL AND e_lat IS NULL AND l_lat IS NULL")
 def _(spark, d):
-    keyed = geo.with_geo_keys(frame(spark, d, "tx_addr"))
-    return geo.uncovered(keyed, frame(spark, d, "cache"), frame(spark, d, "points")).select("geo_base")
+    return geo.uncovered(_address_keys(spark, d), frame(spark, d, "cache"), frame(spark, d, "points")).select("geo_base")
 
 
 @query(
@@ -119,8 +124,7 @@ def _(spark, d):
     WHERE c_lat IS NULL AND e_lat IS NULL AND l_lat IS NULL GROUP BY 1""",
 )
 def _(spark, d):
-    keyed = geo.with_geo_keys(frame(spark, d, "tx_addr"))
-    return geo.road_groups(geo.uncovered(keyed, frame(spark, d, "cache"), frame(spark, d, "points")))
+    return geo.road_groups(geo.uncovered(_address_keys(spark, d), frame(spark, d, "cache"), frame(spark, d, "points")))
 
 
 @query(
