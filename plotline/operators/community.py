@@ -76,9 +76,10 @@ def address_to_community(
     need_place = F.col("level").isin(*[lv for lv, _, _, _, need in _STEPS if need])
     qk = stage(qk.where(~need_place | (F.col("place") != "")), "link_keys")
     named = tx.where(~blank("community_name") & ~blank("address"))
-    facts = named.select(
-        "community_name", "district", "county_city", A.link_form("address").alias("__form")
-    ).groupBy("community_name", "district", "county_city", "__form").agg(F.count("*").alias("n"))
+    # Equal addresses are counted before their form is made, equal forms after it.
+    place = ["community_name", "district", "county_city"]
+    facts = named.groupBy(*place, "address").agg(F.count("*").alias("n")).select(*place, A.link_form("address").alias("__form"), "n")
+    facts = stage(facts.groupBy(*place, "__form").agg(F.sum("n").alias("n")), "link_forms")
     near = _keyed(facts, ["community_name", "district", "county_city", "n"]).join(
         qk.select("level", "key").distinct(), ["level", "key"], "left_semi"
     )
@@ -123,12 +124,14 @@ def manual_rows(manual: DataFrame) -> DataFrame:
 
 def community_index(tx: DataFrame, manual: DataFrame | None = None) -> DataFrame:
     """(norm, name, address, district, county_city, n, origin): trades per project and address."""
+    # Equal rows are counted first, then their forms are made and added up.
+    raw = tx.groupBy("community_name", "address", "district", "county_city").agg(F.count("*").alias("n"))
     ok = ~blank(T.strip("community_name")) & ~blank(T.strip("address"))
-    rows = tx.where(ok).groupBy(
+    rows = raw.where(ok).groupBy(
         T.community_name("community_name").alias("norm"), T.strip("community_name").alias("name"),
         T.strip("address").alias("address"), F.coalesce(T.strip("district"), F.lit("")).alias("district"),
         F.coalesce(T.strip("county_city"), F.lit("")).alias("county_city"),
-    ).agg(F.count("*").alias("n")).withColumn("origin", F.lit("db"))
+    ).agg(F.sum("n").alias("n")).withColumn("origin", F.lit("db"))
     return rows if manual is None else rows.unionByName(manual_rows(manual))
 
 
@@ -195,9 +198,11 @@ def address_ranges(addresses: DataFrame, group: str = "norm", address: str = "ad
     numbers to be spelled out are ever gathered.
     """
     a = F.col(address)
-    rows = addresses.select(
-        group, A.road_and_lane(a).alias("road"), A.house_number(a).alias("number"), a.alias("__a")
+    # Written once, read for the counts, the spelled numbers and the roads without any.
+    rows = addresses.select(group, a.alias("__a")).distinct().select(
+        group, A.road_and_lane("__a").alias("road"), A.house_number("__a").alias("number"), F.col("__a").rlike("|".join(K.CROSSING_WORDS)).alias("crossing")
     ).where("road <> ''")
+    rows = stage(rows.distinct(), "house_numbers")
     numbers = rows.where("number > 0").select(group, "road", "number").distinct()
     base = numbers.groupBy(group, "road").agg(
         F.count("*").alias("count"), F.min("number").alias("first"), F.max("number").alias("last")
@@ -215,9 +220,8 @@ def address_ranges(addresses: DataFrame, group: str = "norm", address: str = "ad
         group, "road", "count", "first", "last",
         F.when(F.col("count") <= listed, spelled).otherwise(span).alias("formatted"),
     )
-    crossing = F.col("__a").rlike("|".join(K.CROSSING_WORDS))
     bare = (
-        rows.where((F.col("number") <= 0) & ~crossing).select(group, "road").distinct()
+        rows.where((F.col("number") <= 0) & ~F.col("crossing")).select(group, "road").distinct()
         .join(base.select(group, "road"), [group, "road"], "left_anti")
         .select(
             group, "road", F.lit(0).cast("long").alias("count"), F.lit(None).cast("int").alias("first"),
