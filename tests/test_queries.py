@@ -88,3 +88,16 @@ def test_variant_search_is_whole(spark):
 def test_addresses_are_taken_apart_once(spark, name, part):
     # What is taken apart was written first, so no condition on the parts is evaluated for every row.
     assert any(part in f for f in catalogue.QUERIES[name](spark, SF).inputFiles())
+
+
+def test_no_task_writes_a_whole_arrival(spark, monkeypatch):
+    from plotline.plans import ingest as plans
+
+    seen = []
+    landing = plans.ST.read_landing
+    monkeypatch.setattr(plans.ST, "read_landing", lambda s, path, *a: seen.append(path) or landing(s, path, *a))
+    got = catalogue.QUERIES["t2_unique_within_watermark"](spark, SF)
+    ids = [r.id for r in got.collect()]
+    per_file = [r["count"] for r in spark.read.parquet(seen[0]).groupBy("_metadata.file_path").count().collect()]
+    assert sorted(ids) == sorted(r.o_orderkey for r in spark.read.parquet(f"{SF}/orders.parquet").collect())
+    assert len(per_file) == 48 and max(per_file) * 4 < sum(per_file) / 3
