@@ -101,3 +101,19 @@ def test_no_task_writes_a_whole_arrival(spark, monkeypatch):
     per_file = [r["count"] for r in spark.read.parquet(seen[0]).groupBy("_metadata.file_path").count().collect()]
     assert sorted(ids) == sorted(r.o_orderkey for r in spark.read.parquet(f"{SF}/orders.parquet").collect())
     assert len(per_file) == 48 and max(per_file) * 4 < sum(per_file) / 3
+
+
+def test_no_micro_batch_is_one_file(spark, monkeypatch):
+    from plotline.plans import ingest as plans
+
+    seen = []
+    landing = plans.ST.read_landing
+    monkeypatch.setattr(plans.ST, "read_landing", lambda s, path, *a: seen.append(path) or landing(s, path, *a))
+    batches = []
+    upsert = plans.ST.upsert_transactions
+    monkeypatch.setattr(plans.ST, "upsert_transactions", lambda s, rows, path: batches.append(path) or upsert(s, rows, path))
+    catalogue.QUERIES["t3_stream_upsert"](spark, SF)
+    assert len(seen) == 3 and len(batches) == 6
+    for path in seen:
+        per_file = [r["count"] for r in spark.read.parquet(path).groupBy("_metadata.file_path").count().collect()]
+        assert len(per_file) == 32 and max(per_file) * 8 < sum(per_file)
