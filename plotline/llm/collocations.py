@@ -183,6 +183,18 @@ def _count_pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from summed()
 
 
+def in_pairs(ids: np.ndarray) -> np.ndarray:
+    """The places that have a neighbour to pair with; one break stands for all that lies between two runs of them."""
+    named = ids >= 0
+    both = named[:-1] & named[1:]
+    keep = np.zeros(len(ids), bool)
+    keep[:-1] |= both
+    keep[1:] |= both
+    # What follows a run is never named, else it would belong to it.
+    keep[np.flatnonzero(keep[:-1] & ~keep[1:]) + 1] = True
+    return ids[keep]
+
+
 def _words_to_ids(level: pa.Table, known: pa.Table) -> pa.Table:
     """Local word numbers become ids; words that are not frequent and breaks end a phrase."""
     if not len(level) or not len(known):
@@ -194,7 +206,13 @@ def _words_to_ids(level: pa.Table, known: pa.Table) -> pa.Table:
 
 
 def _chunk_row(chunk: int, lang: str, ids: np.ndarray) -> pa.Table:
-    return pa.table({"chunk": pa.array([chunk], pa.int64()), "lang": pa.array([lang]), "seq": pa.array([ids.astype(np.int32).tobytes()], pa.binary())})
+    """A row of the next level, which holds only what can be part of a pair; no row without pairs.
+
+    A task's rows go to Python as one batch, and the longer the phrases, the fewer places have an id.
+    """
+    ids = in_pairs(ids.astype(np.int32))
+    rows = 1 if len(ids) else 0
+    return pa.table({"chunk": pa.array([chunk] * rows, pa.int64()), "lang": pa.array([lang] * rows, pa.string()), "seq": pa.array([ids.tobytes()] * rows, pa.binary())})
 
 
 Head = dict[str, tuple[np.ndarray, np.ndarray]]
@@ -215,8 +233,7 @@ def _by_head(head: Broadcast) -> Callable[[Iterable[pa.RecordBatch]], Iterator[p
         for batch in batches:
             for chunk, lang, seq in zip(*(batch.column(c) for c in ("chunk", "lang", "seq")), strict=True):
                 ids = _look_up(_codes(np.frombuffer(seq.as_buffer(), np.int32)), head.value.get(lang.as_py()))
-                if ids.max(initial=-1) >= 0:
-                    yield from _chunk_row(chunk.as_py(), lang.as_py(), ids).to_batches()
+                yield from _chunk_row(chunk.as_py(), lang.as_py(), ids).to_batches()
 
     return run
 

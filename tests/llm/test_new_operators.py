@@ -248,6 +248,28 @@ def test_collocations(spark, limit, top, head):
     assert order(every) == order(mine_by_hand(rows, 12, 5, 10**9))
 
 
+def test_levels_hold_only_places_in_pairs(spark, monkeypatch):
+    levels = []
+    named = collocations._named_pairs
+    monkeypatch.setattr(collocations, "_named_pairs", lambda *a: levels.append(named(*a)) or levels[-1])
+    rare = [" ".join(f"w{i}x{k}" for k in range(2_000)) for i in range(20)]
+    got = collocations.mine(docs_of(spark, [(i, f"a b c d {w} a b. {w}", "en", None, None) for i, w in enumerate(rare)]), least=20).collect()
+    assert {r.phrase for r in got} == {"a b c d", "a b"}
+    # Each level keeps the chain of a phrase, not the rest of its text.
+    kept = [[np.frombuffer(r.seq, np.int32).tolist() for r in level.collect()] for level in levels]
+    assert [sum(map(len, rows)) for rows in kept] == [20 * 4, 20 * 3, 0]
+
+
+def test_in_pairs_loses_no_pair():
+    rng = np.random.default_rng(7)
+    for size in (0, 1, 2, 3, 50, 500):
+        ids = np.where(rng.random(size) < 0.5, -1, rng.integers(0, 5, size)).astype(np.int32)
+        kept = collocations.in_pairs(ids)
+        pairs = [c[c >= 0].tolist() for c in map(collocations._codes, (ids, kept))]
+        assert pairs[0] == pairs[1]
+        assert not ((kept[:-1] < 0) & (kept[1:] < 0)).any()
+
+
 def test_collocations_of_nothing(spark):
     assert collocations.mine(docs_of(spark, [])).count() == 0
     assert collocations.mine(docs_of(spark, [(1, None, None, None, None)])).count() == 0
