@@ -22,6 +22,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -33,8 +34,9 @@ LONGEST = 5
 TOP = 2000
 TILE = 1024
 CHUNK_BYTES = 640 << 10
-# The most frequent pairs of a level, over all languages, whose ids go to every task.
+# The most frequent words or pairs of a level, over all languages, whose ids go to every task; of words, those up to ``_SHORT`` bytes.
 HEAD = 1 << 19
+_SHORT = 64
 _ID_BITS = 31
 _SALTS = 64
 
@@ -144,9 +146,30 @@ def count_tiles(left: np.ndarray, right: np.ndarray, tile: int = TILE) -> tuple[
 
 
 _LEVEL = "chunk long, lang string, seq binary"
-_COUNTS = "lang string, code long, n long"
-# Pairs of a task that are held before they are handed on.
-_HELD = 200_000
+_COUNTS = "lang string, bucket int, pairs binary"
+# Pairs of a task that are held before they are handed on; places of the input for each bucket of pairs.
+_HELD = 1 << 20
+_PER_BUCKET = 1 << 20
+
+
+def pack(codes: np.ndarray, counts: np.ndarray) -> bytes:
+    """Ascending codes and their counts, first bytes first: most of the others are zero, and Spark compresses what it shuffles."""
+    steps = np.diff(codes, prepend=0).astype("<i8")
+    return np.concatenate([x.view(np.uint8).reshape(-1, 8).T.ravel() for x in (steps, counts.astype("<i8"))]).tobytes()
+
+
+def unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    steps, counts = (np.ascontiguousarray(x.reshape(8, -1).T).view("<i8").ravel() for x in np.split(np.frombuffer(data, np.uint8), 2))
+    return np.cumsum(steps), counts
+
+
+def _added(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes, ascending, with the sums of their counts."""
+    every, n = np.concatenate(codes), np.concatenate(counts)
+    order = np.argsort(every)
+    every, n = every[order], n[order]
+    first = np.flatnonzero(np.diff(every, prepend=-1))
+    return every[first], np.add.reduceat(n, first) if len(first) else n
 
 
 def _codes(seq: np.ndarray) -> np.ndarray:
@@ -155,32 +178,57 @@ def _codes(seq: np.ndarray) -> np.ndarray:
     return np.where((a >= 0) & (b >= 0), (a << _ID_BITS) | b, -1)
 
 
-def _count_pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``_COUNTS`` of the chunks of a task, each language's chunks together."""
-    held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
-    size = 0
-
-    def summed() -> Iterator[pa.RecordBatch]:
-        for lang, parts in held.items():
-            codes, where = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
-            n = np.bincount(where, np.concatenate([x for _, x in parts]), len(codes)).astype(np.int64)
-            for at in range(0, len(codes), 100_000):
-                some = codes[at : at + 100_000]
-                yield pa.record_batch([pa.array([lang] * len(some), pa.string()), pa.array(some), pa.array(n[at : at + 100_000])], names=["lang", "code", "n"])
-        held.clear()
-
-    for batch in batches:
-        for lang, seq in zip(batch.column("lang").to_pylist(), batch.column("seq"), strict=True):
-            ids = np.frombuffer(seq.as_buffer(), np.int32)
-            a, b = ids[:-1], ids[1:]
-            both = (a >= 0) & (b >= 0)
-            codes, counts = count_tiles(a[both].astype(np.int64), b[both].astype(np.int64))
-            held.setdefault(lang, []).append((codes, counts))
-            size += len(codes)
-            if size > _HELD:
-                yield from summed()
-                size = 0
-    yield from summed()
+def _count_pairs(buckets: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``_COUNTS`` of the chunks of a task: the pairs of a language by buckets of their codes."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+        size = 0
+
+        def summed() -> Iterator[pa.RecordBatch]:
+            for lang, parts in held.items():
+                codes, n = _added(*zip(*parts, strict=True))
+                of = ((codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % buckets
+                order = np.argsort(of, kind="stable")
+                met, starts = np.unique(of[order], return_index=True)
+                rows = [pack(codes[x], n[x]) for x in np.split(order, starts[1:])] if len(met) else []
+                yield pa.record_batch([pa.array([lang] * len(rows), pa.string()), pa.array(met, pa.int32()), pa.array(rows, pa.binary())], names=["lang", "bucket", "pairs"])
+            held.clear()
+
+        for batch in batches:
+            for lang, seq in zip(batch.column("lang").to_pylist(), batch.column("seq"), strict=True):
+                ids = np.frombuffer(seq.as_buffer(), np.int32)
+                a, b = ids[:-1], ids[1:]
+                both = (a >= 0) & (b >= 0)
+                codes, counts = count_tiles(a[both].astype(np.int64), b[both].astype(np.int64))
+                held.setdefault(lang, []).append((codes, counts))
+                size += len(codes)
+                if size > _HELD:
+                    yield from summed()
+                    size = 0
+        yield from summed()
+
+    return run
+
+
+def _add_pairs(least: int) -> Callable[[pa.Table], pa.Table]:
+    """``(lang, code, a)`` of the pairs of a bucket that occur ``least`` times."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        codes, n = _added(*zip(*(unpack(x.as_py()) for x in rows["pairs"]), strict=True))
+        codes, n = codes[n >= least], n[n >= least]
+        return pa.table({"lang": pa.array([rows["lang"][0].as_py()] * len(codes), pa.string()), "code": pa.array(codes, pa.int64()), "a": pa.array(n, pa.int64())})
+
+    return run
+
+
+def pair_counts(level: DataFrame, least: int, places: int) -> DataFrame:
+    """``(lang, code, a)``: the pairs of all chunks that occur ``least`` times.
+
+    There are as many buckets as keep one at ``_PER_BUCKET`` different pairs, as no language has more pairs than places.
+    """
+    rows = level.mapInArrow(_count_pairs(max(1, -(-places // _PER_BUCKET))), _COUNTS)
+    return rows.groupBy("lang", "bucket").applyInArrow(_add_pairs(least), "lang string, code long, a long")
 
 
 def in_pairs(ids: np.ndarray) -> np.ndarray:
@@ -195,14 +243,58 @@ def in_pairs(ids: np.ndarray) -> np.ndarray:
     return ids[keep]
 
 
-def _words_to_ids(level: pa.Table, known: pa.Table) -> pa.Table:
-    """Local word numbers become ids; words that are not frequent and breaks end a phrase."""
-    if not len(level) or not len(known):
-        return level.slice(0, 0)
-    seq = np.frombuffer(level["seq"][0].as_buffer(), np.int32)
-    ids = np.full(int(seq.max()) + 1, _BREAK_ID, np.int32)
-    ids[known["local"].to_numpy() + 1] = known["id"].to_numpy()
-    return _chunk_row(level["chunk"][0].as_py(), level["lang"][0].as_py(), ids[seq])
+WordHead = dict[str, tuple[pa.Array, np.ndarray]]
+
+
+def _word_ids(words: pa.Array, known: tuple[pa.Array, np.ndarray] | None) -> np.ndarray:
+    """Ids of words; -1 for the others."""
+    if known is None or not len(words):
+        return np.full(len(words), _BREAK_ID, np.int32)
+    spot = pc.fill_null(pc.index_in(words, value_set=known[0]), -1).to_numpy(zero_copy_only=False)
+    return np.where(spot >= 0, known[1][spot], _BREAK_ID).astype(np.int32)
+
+
+def _words_by_head(head: Broadcast) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Local word numbers become ids, if the word is one of the most frequent; others and breaks end a phrase."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, lang, seq, words in zip(*(batch.column(c) for c in ("chunk", "lang", "seq", "codes")), strict=True):
+                ids = _word_ids(words.values, head.value.get(lang.as_py()))
+                ids = np.concatenate([np.full(1, _BREAK_ID, np.int32), ids])[np.frombuffer(seq.as_buffer(), np.int32)]
+                yield from _chunk_row(chunk.as_py(), lang.as_py(), ids).to_batches()
+
+    return run
+
+
+def _other_words(head: Broadcast) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``(of, lang, local, code)`` of the words of each chunk that are not among the most frequent."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, lang, words in zip(*(batch.column(c) for c in ("chunk", "lang", "codes")), strict=True):
+                local = np.flatnonzero(_word_ids(words.values, head.value.get(lang.as_py())) < 0)
+                n = len(local)
+                yield pa.record_batch(
+                    [pa.array([chunk.as_py()] * n, pa.int64()), pa.array([lang.as_py()] * n, pa.string()), pa.array(local, pa.int64()), words.values.take(pa.array(local))],
+                    names=["of", "lang", "local", "code"],
+                )
+
+    return run
+
+
+def _words_by_both(head: Broadcast) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """As :func:`_words_by_head`, with the ids of the chunk's other frequent words from a join."""
+
+    def run(level: pa.Table, known: pa.Table) -> pa.Table:
+        if not len(level):
+            return level.select(["chunk", "lang", "seq"])
+        lang = level["lang"][0].as_py()
+        ids = np.concatenate([np.full(1, _BREAK_ID, np.int32), _word_ids(level["codes"][0].values, head.value.get(lang))])
+        ids[known["local"].to_numpy() + 1] = known["id"].to_numpy()
+        return _chunk_row(level["chunk"][0].as_py(), lang, ids[np.frombuffer(level["seq"][0].as_buffer(), np.int32)])
+
+    return run
 
 
 def _chunk_row(chunk: int, lang: str, ids: np.ndarray) -> pa.Table:
@@ -270,24 +362,34 @@ def _by_both(head: Broadcast) -> Callable[[pa.Table, pa.Table], pa.Table]:
     return run
 
 
-def _ids(sums: DataFrame, least: int) -> DataFrame:
-    """``(lang, code, a, id)``: what occurs ``least`` times in a language, numbered from the most frequent on."""
-    sums = stage(sums.groupBy("lang", "code").agg(F.sum("n").alias("a")).where(F.col("a") >= least), "frequent")
-    out = ranked(sums, "lang", [F.col("a").desc(), F.col("code").asc()], "id", "__n").drop("__n")
+def _ids(frequent: DataFrame) -> DataFrame:
+    """``(lang, code, a, id)``: what is frequent in a language, numbered from the most frequent on."""
+    out = ranked(stage(frequent, "frequent"), "lang", [F.col("a").desc(), F.col("code").asc()], "id", "__n").drop("__n")
     return stage(out.withColumn("id", F.when(F.col("id") < (1 << _ID_BITS), F.col("id")).otherwise(F.raise_error(F.lit("too many phrases")))), "phrase_ids")
 
 
-def _named_words(level: DataFrame, ids: DataFrame) -> DataFrame:
+def _first(ids: DataFrame, most: int) -> pa.Table:
+    """``(lang, code, id)`` of the most frequent."""
+    return ids.orderBy(F.col("a").desc(), "lang", "id").limit(most).select("lang", "code", "id").toArrow()
+
+
+def _named_words(level: DataFrame, ids: DataFrame, most: int) -> DataFrame:
     """Chunks of word ids from chunks of local numbers."""
-    local = level.select((F.col("chunk") + 0).alias("of"), "lang", F.posexplode("codes").alias("local", "code"))
-    known = local.join(ids.select("lang", "code", "id"), ["lang", "code"]).select("of", F.col("local").cast("long").alias("local"), "id")
-    rows = level.select("chunk", "lang", "seq")
-    return stage(rows.groupBy("chunk").cogroup(known.groupBy("of")).applyInArrow(_words_to_ids, _LEVEL), "word_ids")
+    first = _first(ids.where(F.octet_length("code") <= _SHORT), most)
+    langs, codes, names = first["lang"].to_pandas(), first["code"].combine_chunks(), first["id"].to_numpy()
+    head: WordHead = {lang: (codes.take(pa.array(at)), names[at].astype(np.int32)) for lang, at in langs.groupby(langs).indices.items()}
+    sent = level.sparkSession.sparkContext.broadcast(head)
+    rows = level.select("chunk", "lang", "seq", "codes")
+    if len(first) == ids.count():
+        return stage(rows.mapInArrow(_words_by_head(sent), _LEVEL), "word_ids")
+    other = rows.mapInArrow(_other_words(sent), "of long, lang string, local long, code string")
+    known = other.join(ids.select("lang", "code", "id"), ["lang", "code"]).select("of", "local", "id")
+    return stage(rows.groupBy("chunk").cogroup(known.groupBy("of")).applyInArrow(_words_by_both(sent), _LEVEL), "word_ids")
 
 
 def _named_pairs(level: DataFrame, ids: DataFrame, most: int) -> DataFrame:
     """Chunks whose places are named by the frequent pair that begins there."""
-    first = ids.orderBy(F.col("a").desc(), "lang", "id").limit(most).select("lang", "code", "id").toArrow()
+    first = _first(ids, most)
     langs, codes, names = first["lang"].to_pandas(), first["code"].to_numpy(), first["id"].to_numpy()
     head: Head = {}
     for lang, at in langs.groupby(langs).groups.items():
@@ -312,12 +414,13 @@ def phrases(
     level = stage(chunks(docs, limit), "chunks")
     totals = stage(level.select("lang", F.aggregate("counts", F.lit(0).cast("long"), lambda s, x: s + x).alias("n")).groupBy("lang").agg(F.sum("n").alias("n")), "word_totals")
     words = level.select("lang", F.inline(F.arrays_zip(F.col("codes").alias("code"), F.col("counts").alias("n"))))
-    ids = _ids(words, least)
+    ids = _ids(words.groupBy("lang", "code").agg(F.sum("n").alias("a")).where(F.col("a") >= least))
+    places = totals.agg(F.max("n")).first()[0] or 0
     none = F.array().cast("array<long>")
     found = [ids.select("lang", "id", F.array("code").alias("words"), "a", none.alias("heads"), none.alias("tails"))]
     for size in range(2, longest + 1):
-        level = _named_words(level, ids) if size == 2 else _named_pairs(level, ids, head)
-        ids = _ids(level.mapInArrow(_count_pairs, _COUNTS), least)
+        level = (_named_words if size == 2 else _named_pairs)(level, ids, head)
+        ids = _ids(pair_counts(level, least, places))
         pairs = ids.select(
             "lang", "id", "a", F.shiftright("code", _ID_BITS).alias("left"), F.col("code").bitwiseAND((1 << _ID_BITS) - 1).alias("right")
         )
