@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -270,6 +271,18 @@ def test_in_pairs_loses_no_pair():
         assert not ((kept[:-1] < 0) & (kept[1:] < 0)).any()
 
 
+def test_pairs_leave_a_task_as_a_list_for_each_bucket():
+    seq = np.random.default_rng(3).integers(0, 300, 20_000).astype(np.int32)
+    level = pa.table({"chunk": [1, 2], "lang": ["en", "en"], "seq": pa.array([seq.tobytes(), seq.tobytes()], pa.binary())})
+    rows = pa.Table.from_batches(collocations._count_pairs(3)(level.to_batches()))
+    assert rows["bucket"].to_pylist() == [0, 1, 2]
+    got = [collocations.unpack(x.as_py()) for x in rows["pairs"]]
+    want = np.unique(collocations._codes(seq), return_counts=True)
+    codes, counts = (np.concatenate(x) for x in zip(*got, strict=True))
+    order = np.argsort(codes)
+    assert (codes[order] == want[0]).all() and (counts[order] == 2 * want[1]).all()
+
+
 def test_collocations_of_nothing(spark):
     assert collocations.mine(docs_of(spark, [])).count() == 0
     assert collocations.mine(docs_of(spark, [(1, None, None, None, None)])).count() == 0
