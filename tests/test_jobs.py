@@ -531,6 +531,88 @@ def test_names_are_few_steps_from_all_names(spark):
             assert {q: sorted(v) for q, v in got.items()} == {q: sorted(v)[:n] for q, v in every.items()}
 
 
+@pytest.mark.parametrize("rule", ["size", "repeats", "weighted"])
+@pytest.mark.parametrize("alphabet", ["abcdefgh", "".join(chr(0x4E00 + 7 * k) for k in range(600))])
+def test_blocks_of_letters_are_counted_whole(monkeypatch, rule, alphabet):
+    """Turns, strips and counts of few pairs; own bits and shared ones; names of equal letters."""
+    import numpy as np
+    import pyarrow as pa
+
+    from plotline.operators import letters as L
+
+    for name, n in (("_FIRST", 4), ("_NAMES", 16), ("_PAIRS", 64), ("_PENDING", 50)):
+        monkeypatch.setattr(L, name, n)
+    rnd = random.Random(rule)
+    some = rnd.sample(alphabet, min(200, len(alphabet)))
+    word = lambda: "".join(sorted(rnd.choice(some) for _ in range(rnd.randint(1, 12))))
+    near = lambda w: "".join(sorted(w[1:] + rnd.choice(some)))
+    words = [word() for _ in range(150)]
+    form = (lambda w: "".join(sorted(set(w)))) if rule != "repeats" else str
+    held = defaultdict(list)
+    for place, w in enumerate(words + [near(w) for w in words for _ in range(3)]):
+        held[form(w)].append((place, max(0.0, 9.0 - place // 60)))
+    asked = [near(rnd.choice(words)) for _ in range(60)] + ["~~", "".join(some)]
+    asked = sorted({form(w) if rule == "size" else w for w in asked})
+    of_size = rule == "size"
+    points = lambda same, n, size, trades: np.where(same >= 0.4 * n, np.floor((same / (np.maximum(n, size) if of_size else n) * 50 + trades * of_size) * 10) / 10, 0.0)
+    least = lambda level, n, size, trades: np.maximum(0.4 * n, (level - trades * of_size) / 50 * (np.maximum(n, size) if of_size else n)) - 1e-4
+
+    def shared(a, b):
+        return sum(c in b for c in a) if rule == "weighted" else sum((Counter(a) & Counter(b)).values())
+
+    def table(**columns):
+        return pa.table({c: pa.array(v, t) for c, (v, t) in columns.items()})
+
+    names = table(
+        letters=(list(held), pa.string()), size=([float(len(k)) for k in held], pa.float64()),
+        places=([[p for p, _ in v] for v in held.values()], pa.list_(pa.int64())), trades=([[t for _, t in v] for v in held.values()], pa.list_(pa.float64())),
+    )
+    ids = list(range(len(asked)))
+    every = {
+        i: sorted((-float(points(shared(a, k), len(a), len(k), t)), p) for k, v in held.items() for p, t in v)
+        for i, a in enumerate(asked)
+    }
+    every = {i: [x for x in v if x[0] < 0] for i, v in every.items()}
+    for bars in (None, [-every[i][5][0] if len(every[i]) > 5 else 0.0 for i in ids]):
+        last = [every[i][5][1] if len(every[i]) > 5 else 0 for i in ids]
+        asks = table(
+            query_id=(ids, pa.int64()), letters=(asked, pa.string()), n=([float(len(a)) for a in asked], pa.float64()),
+            bar=(bars or [float("nan")] * len(ids), pa.float64()), last=(last, pa.int64()),
+        )
+        got = defaultdict(list)
+        for r in L.best_pairs(L.Rule(points, least, 0.1, rule == "weighted"), 6)(names, asks).to_pylist():
+            got[r["query_id"]].append((-r["points"], r["place"]))
+        assert sum(map(len, every.values())) > 300
+        assert {i: sorted(v) for i, v in got.items()} == {i: v[:6] if bars is None or len(v) > 5 else v for i, v in every.items() if v}
+
+
+def test_names_that_spell_a_keyword_are_cut_to_the_best():
+    import pyarrow as pa
+
+    from plotline.operators import letters as L
+
+    rnd = random.Random(2)
+    word = lambda n: "".join(rnd.choice("aabcd😀中") for _ in range(rnd.randint(1, n)))
+    texts = [word(14) for _ in range(400)] + ["ab" * 60, "b" * 80 + "a" + "c" * 80]
+    gain = [float(max(0, 50 - k // 3)) for k in range(len(texts))]
+    kws = [word(5) for _ in range(80)] + ["z"]
+    names = pa.table({"norm": texts, "place": pa.array(range(len(texts)), pa.int64()), "gain": gain})
+    asks = pa.table({"query_id": pa.array(range(len(kws)), pa.int64()), "kw": kws})
+
+    def spells(kw, text):
+        rest = iter(text)
+        return all(c in rest for c in kw)
+
+    for top_n in (3, 10**6):
+        got = defaultdict(set)
+        for r in L.spelled(top_n)(names, asks).to_pylist():
+            got[r["query_id"]].add(r["norm"])
+        for i, kw in enumerate(kws):
+            hits = sorted((-round(len(kw) / len(t) * 200 + 200 + gain[j], 1), j) for j, t in enumerate(texts) if spells(kw, t))
+            assert {texts[j] for _, j in hits[:top_n]} <= got[i] <= {texts[j] for _, j in hits}
+            assert top_n == 10**6 or len(got[i]) < 30
+
+
 def test_watermarks_bound_the_state(spark):
     """One day a file: rows of the days behind the watermark leave the state, and late copies are not let in again."""
     landing, out, mark = (scratch_folder(spark, n) for n in ("days", "out", "mark"))
