@@ -659,6 +659,35 @@ def test_equal_texts_are_indexed_once(spark, tmp_path):
     assert counts == {"ab": (5, 3), "ba": (2, 2), "b": (3, 3)}
 
 
+def test_equal_rows_are_parsed_and_matched_once(spark, monkeypatch):
+    from plotline.plans import registry, searches as plans
+
+    tx = fixture.frame(spark, SF, "tx_addr").where("id < 60")
+    copies = tx.withColumn("id", F.explode(F.sequence(F.col("id"), F.col("id") + 10000 * 4, F.lit(10000))))
+    kinds = ", ".join(f"{n} {t}" for n, t in copies.dtypes)
+    copies = spark.createDataFrame([tuple(r) for r in copies.collect()] + [(None,) * len(copies.columns)], kinds)
+    seen, parsed = [], S.parse_queries
+    monkeypatch.setattr(plans, "frame", lambda *a: copies)
+    monkeypatch.setattr(S, "parse_queries", lambda q, *a: seen.append(q.count()) or parsed(q, *a))
+    got = rows(registry.QUERIES["r1_floor_and_sub_number"](spark, SF))
+    queries = parsed(copies.select(F.col("id").alias("query_id"), F.col("address").alias("query_text")))
+    assert got == rows(S.search_level(copies, queries, 1)) and len(got) >= 25 * tx.count()
+    assert seen == [copies.select(*S.HOUSE).distinct().count()]
+
+
+def test_numbers_tell_values_apart(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "a", None), (2, None, "a"), (3, "a", None), (4, "", "a"), (5, None, None)], "id long, x string, y string")
+    every, numbers = S.numbered(df, "id", ["x", "y"])
+    of = {r.id: r.number_of for r in numbers.collect()}
+    assert of[1] == of[3] and len(set(of.values())) == 4 == every.count()
+    assert {(r.x, r.y): r.number_of for r in every.collect()} == {("a", None): of[1], (None, "a"): of[2], ("", "a"): of[4], (None, None): of[5]}
+    # A seed that gives differing values one number is not used.
+    hashed, tried = F.xxhash64, []
+    monkeypatch.setattr(F, "xxhash64", lambda *c: tried.append(c) or (F.lit(7).cast("long") if len(tried) == 1 else hashed(*c)))
+    again = {r.id: r.number_of for r in S.numbered(df, "id", ["x", "y"])[1].collect()}
+    assert len(tried) == 2 and again[1] == again[3] and len(set(again.values())) == 4
+
+
 def test_equal_addresses_are_searched_once(spark, monkeypatch):
     tx = fixture.frame(spark, SF, "tx_addr")
     copies = tx.where("id < 40").withColumn("id", F.explode(F.sequence(F.col("id"), F.col("id") + 10000 * 7, F.lit(10000))))
