@@ -613,6 +613,17 @@ def test_names_that_spell_a_keyword_are_cut_to_the_best():
             assert top_n == 10**6 or len(got[i]) < 30
 
 
+def test_names_and_keywords_that_hold_each_other_are_whole_and_dealt_over_tasks(spark):
+    names = ["大安", "大安區大安路", "安", "xx大安xx", "大安區", ""] + [f"大安區大安{c}" for c in "甲乙丙丁戊"]
+    kws = [(1, "大安"), (2, "大安區大安路九號"), (3, "安"), (3, "大安區"), (4, "大安區大安"), (5, "沒有這個名字")]
+    nd, qd = spark.createDataFrame([(n,) for n in names], "norm string"), spark.createDataFrame(kws, "query_id long, kw string")
+    held, inside = N._holding(nd, qd), N._inside(nd, qd)
+    assert set(rows(held)) == {(q, n) for q, k in kws for n in names if k in n}
+    assert set(rows(inside)) == {(q, n) for q, k in kws for n in names if n and n in k}
+    for out in (held, inside):
+        assert "REPARTITION_BY_NUM" in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_watermarks_bound_the_state(spark):
     """One day a file: rows of the days behind the watermark leave the state, and late copies are not let in again."""
     landing, out, mark = (scratch_folder(spark, n) for n in ("days", "out", "mark"))
